@@ -224,7 +224,7 @@ def slot_weights(
     rows = rows.withColumn("is_anchor", on_stride("seg_pos", stride, "segment_last"))
     ws = order.window("segment_id")
     whole = Window.partitionBy(order.entity, "_chunk", "segment_id")
-    rows = rows.withColumn("_seen", F.count(F.when("is_anchor", 1)).over(ws.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_seen", F.count(F.when(F.col("is_anchor"), 1)).over(ws.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumns(
         {
             "_all_seen": F.max("_seen").over(whole),
@@ -233,8 +233,8 @@ def slot_weights(
     )
     upto = F.coalesce(F.lead("_seen", back).over(ws), F.col("_all_seen"))
     earlier = F.coalesce(F.lag("_seen", ahead + 1).over(ws), F.lit(0))
-    left = F.sum(F.when("is_anchor", F.greatest(back - F.col("seg_pos"), F.lit(0)))).over(whole)
-    right = F.sum(F.when("is_anchor", F.greatest(F.col("seg_pos") + ahead - F.col("_end"), F.lit(0)))).over(whole)
+    left = F.sum(F.when(F.col("is_anchor"), F.greatest(back - F.col("seg_pos"), F.lit(0)))).over(whole)
+    right = F.sum(F.when(F.col("is_anchor"), F.greatest(F.col("seg_pos") + ahead - F.col("_end"), F.lit(0)))).over(whole)
     weight = upto - earlier
     weight += F.when(F.col("seg_pos") == 0, F.coalesce(left, F.lit(0))).otherwise(0)
     weight += F.when(F.col("segment_last"), F.coalesce(right, F.lit(0))).otherwise(0)

@@ -121,7 +121,7 @@ def window_features(df: DataFrame, rows: str = "window") -> DataFrame:
 
     Works row by row on the array: no shuffle on top of the one that built the windows.
     """
-    df = df.withColumns({c: F.transform(F.col(rows), lambda r, c=c: r[c]) for c in RAW_FEATURES})
+    df = df.withColumns({c: F.col(rows)[c] for c in RAW_FEATURES})
     df = df.withColumns(
         {
             "dx": _changes("lon"),
