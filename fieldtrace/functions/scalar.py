@@ -92,7 +92,7 @@ def argmax(a: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma list -> trimmed, non-empty items."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_ids(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import haversine_m
 from fieldtrace.operators.align import keep_first
-from fieldtrace.operators.ordered import Order, chunked, own_rows
+from fieldtrace.operators.ordered import Order, chunked, hot_entities, own_rows
 
 # Fixed values of the published rules.
 LABEL_LOW, LABEL_HIGH = 0, 10
@@ -59,13 +59,13 @@ def mark_rows(df: DataFrame, required: list[str] = REQUIRED, audio_flag: str = "
     return df.withColumn("drop_reason", F.coalesce("_early", late)).drop("_early")
 
 
-def motion(df: DataFrame, order: Order = MOTION_ORDER) -> DataFrame:
+def motion(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None = None) -> DataFrame:
     """Add second_gap and prev_distance (metres) to the previous row of the entity.
 
     A missing previous coordinate is replaced by the current one; an entity's first row has no gap.
     """
     w = order.window()
-    rows = chunked(df, order, before=1, after=0)
+    rows = chunked(df, order, before=1, after=0, hot=hot)
     lat0 = F.coalesce(F.lag("lat").over(w), F.col("lat"))
     lon0 = F.coalesce(F.lag("lon").over(w), F.col("lon"))
     rows = rows.withColumns({"_lat0": lat0, "_lon0": lon0, "second_gap": F.col(order.second) - F.lag(order.second).over(w)})
@@ -80,21 +80,23 @@ def is_jump() -> Column:
     return F.coalesce((F.col("second_gap") == 1) & (F.col("prev_distance") > allowed), F.lit(False))
 
 
-def jump_flags(df: DataFrame, order: Order = MOTION_ORDER) -> DataFrame:
-    return motion(df, order).withColumn("gps_jump", is_jump())
+def jump_flags(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None = None) -> DataFrame:
+    return motion(df, order, hot).withColumn("gps_jump", is_jump())
 
 
 def survivors(marked: DataFrame, first_by: list[str], order: Order = MOTION_ORDER, frame: str = "frame_path") -> DataFrame:
     """Rows left after the row-local rules and both deduplications, with the jump flag and copy counts.
 
-    ``first_by`` decides which of several rows is the first one; it has to be unique.
+    ``first_by`` decides which of several rows is the first one; it has to be unique. Hot entities are counted
+    before the rules, on the two columns that takes.
     """
+    hot = hot_entities(marked.select(order.entity, order.second), order)
     left = marked.where(F.col("drop_reason").isNull()).drop("drop_reason")
     left = keep_first(left, [order.entity, order.second], first_by, "_copies")
     per_second = left.withColumn("same_second", F.col("_copies") - 1).drop("_copies")
     left = keep_first(per_second, [frame], first_by, "_copies")
     left = left.withColumn("same_frame", F.col("_copies") - 1).drop("_copies")
-    return jump_flags(left, order)
+    return jump_flags(left, order, hot)
 
 
 def final_casts(df: DataFrame) -> DataFrame:
@@ -109,11 +111,12 @@ def final_casts(df: DataFrame) -> DataFrame:
 def clean_rows(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
     """The cleaned rows."""
     marked = mark_rows(coerce_rows(df)).drop("heading_was_360")
+    hot = hot_entities(marked.select(order.entity, order.second), order)
     # No counts are wanted here, so both deduplications can be rank filters.
     left = marked.where(F.col("drop_reason").isNull()).drop("drop_reason")
     left = keep_first(left, [order.entity, order.second], first_by)
     left = keep_first(left, ["frame_path"], first_by)
-    left = jump_flags(left, order).where(~F.col("gps_jump"))
+    left = jump_flags(left, order, hot).where(~F.col("gps_jump"))
     return final_casts(left.drop("gps_jump", "second_gap", "prev_distance"))
 
 

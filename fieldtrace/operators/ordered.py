@@ -80,12 +80,16 @@ def positions(df: DataFrame, order: Order, hot: DataFrame) -> DataFrame:
     )
 
 
-def chunked(df: DataFrame, order: Order, before: int = 1, after: int = 1) -> DataFrame:
+def chunked(
+    df: DataFrame, order: Order, before: int = 1, after: int = 1, hot: DataFrame | None = None
+) -> DataFrame:
     """Add the window key ``_chunk`` and halo copies; ``_own`` marks the rows that are not copies.
 
     Also adds ``_pos`` (hot rows only), ``_size`` and ``_rows``. Ordinary entities pass straight through.
+    ``hot`` may come from ``hot_entities`` of an earlier, larger state of the same rows: at the end of a long
+    chain that spares running the chain once more just to count.
     """
-    hot = hot_entities(df, order)
+    hot = hot_entities(df, order) if hot is None else hot
     hot = hot.withColumn("_size", F.greatest("_size", F.lit(before + after + 1)))
     plain = df.join(F.broadcast(hot.select(order.entity)), order.entity, "left_anti").select(
         *df.columns,

@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills ``BOOK``."""
 
-from fieldtrace.registry import sequences  # noqa: F401
+from fieldtrace.registry import preparation, sequences  # noqa: F401
 from fieldtrace.registry.book import BOOK
 
 __all__ = ["BOOK"]

@@ -20,6 +20,16 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="fieldtrace-")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared work folder and read back.
+
+    For a long chain that several branches use: the branches then scan a table instead of repeating the chain.
+    """
+    path = work_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_split(df: DataFrame, path: str, order: list[str], file_format: str = "parquet", by: str = "split") -> None:
     """One folder per split, rows sorted inside each file; partitioning by range keeps large splits spread out."""
     ranged = df.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
