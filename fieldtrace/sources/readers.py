@@ -53,11 +53,14 @@ def normalise_part(raw: DataFrame) -> DataFrame:
     return raw.withColumns(absent) if absent else raw
 
 
-def read_parts(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
-    """Trajectory points of all parts: date from the file name (files without one are ignored), one row per
-    (date, second), the earliest one. One scan over all files."""
+def read_parts(spark: SparkSession, paths, columns: list[str] | None = None, dated_by: str = "file_name") -> DataFrame:
+    """Trajectory points of all parts, one row per (date, second), the earliest one. One scan over all files.
+
+    The date comes from the file name, or from the whole path with ``dated_by="file_path"``; files without a date
+    are ignored.
+    """
     raw = read_text_columns(spark, paths, columns)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("part_file"))
+    raw = raw.select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
     raw = raw.withColumn("date", date_in_name(F.col("part_file"))).where(F.col("date").isNotNull())
     points = normalise_part(raw).select("date", "part_file", *TRAJECTORY_COLUMNS)
     return keep_first(points, ["date", "epoch_second"], ["fix_time", "part_file", "lon", "lat", "speed", "heading"])
@@ -104,26 +107,30 @@ def decode_pcm16(content: bytes) -> tuple[int, np.ndarray]:
         return clip.getframerate(), samples.reshape(-1, clip.getnchannels()).mean(axis=1)
 
 
-def read_waveforms(rows: DataFrame, root: str, path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
-    """Add waveform (exactly ``sample_rate`` samples) to rows whose ``path`` is below ``root``; NULL if absent.
+def decode_waveforms(files: DataFrame, sample_rate: int = 16000) -> DataFrame:
+    """(path, content) of clips -> (path, waveform of exactly ``sample_rate`` samples), channels averaged.
 
-    Files are joined by path and decoded in Arrow batches; padding and cutting stay in Spark expressions.
-    Clips at another sample rate are rejected: resampling is not part of this package.
+    Bytes are decoded in Arrow batches; padding and cutting stay in Spark expressions. A clip at another sample
+    rate fails the job: resampling is not part of this package.
     """
-    spark = rows.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             clips = [decode_pcm16(c) for c in batch["content"]]
             yield pd.DataFrame({"path": batch["path"], "rate": [r for r, _ in clips], "samples": [s for _, s in clips]})
 
-    decoded = files.mapInPandas(decode, "path string, rate int, samples array<float>")
+    decoded = files.select("path", "content").mapInPandas(decode, "path string, rate int, samples array<float>")
     wrong = F.raise_error(F.concat(F.lit("unexpected sample rate in "), F.col("path"))).cast("array<float>")
     fitted = fit_length(F.col("samples"), sample_rate, F.lit(0.0).cast("float"))
-    clips = decoded.select("path", F.when(F.col("rate") == sample_rate, fitted).otherwise(wrong).alias("waveform"))
+    return decoded.select("path", F.when(F.col("rate") == sample_rate, fitted).otherwise(wrong).alias("waveform"))
+
+
+def read_waveforms(rows: DataFrame, root: str, path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
+    """Add waveform to rows whose ``path`` is relative to ``root``; NULL where there is no such file."""
+    reader = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
+    clips = decode_waveforms(reader.load(root), sample_rate)
     place = root.rstrip("/") + "/"
-    named = clips.withColumn("path", F.element_at(F.split("path", place), -1)).withColumnRenamed("path", path)
+    named = clips.withColumn(path, F.substring_index("path", place, -1)).select(path, "waveform")
     return rows.join(named, path, "left")
 
 
