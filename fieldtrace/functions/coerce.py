@@ -34,14 +34,15 @@ def flag(c) -> Column:
     return F.coalesce(_col(c).try_cast("boolean"), F.lit(False))
 
 
-def epoch_micros(c) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, whatever the session time zone is."""
-    ts = _col(c).cast("timestamp_ntz")
-    whole = F.unix_date(ts.cast("date")).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
-    return whole * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("bigint")
+def epoch_micros(c: str) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp column, whatever the session time zone is."""
+    return F.expr(
+        f"(unix_date(CAST({c} AS DATE)) * 86400L + hour({c}) * 3600 + minute({c}) * 60) * 1000000"
+        f" + CAST(extract(SECOND FROM {c}) * 1000000 AS BIGINT)"
+    )
 
 
-def epoch_second(c) -> Column:
+def epoch_second(c: str) -> Column:
     """Whole seconds since 1970, rounded down."""
     return F.floor(epoch_micros(c) / 1000000).cast("bigint")
 

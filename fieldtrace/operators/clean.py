@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import haversine_m
 from fieldtrace.operators.align import keep_first
-from fieldtrace.operators.ordered import Order, chunked, hot_entities, own_rows
+from fieldtrace.operators.ordered import Order, chunked, hot_entities, may_be_hot, own_rows
 
 # Fixed values of the published rules.
 LABEL_LOW, LABEL_HIGH = 0, 10
@@ -59,6 +59,18 @@ def mark_rows(df: DataFrame, required: list[str] = REQUIRED, audio_flag: str = "
     return df.withColumn("drop_reason", F.coalesce("_early", late)).drop("_early")
 
 
+def passing(df: DataFrame, required: list[str] = REQUIRED, audio_flag: str = "audio_exists") -> DataFrame:
+    """Rows that break none of the row-local rules, heading normalised.
+
+    Written as separate simple filters on the source columns, which reach the scan one by one.
+    """
+    for c in required:
+        df = df.where(F.col(c).isNotNull())
+    heading = F.col("heading").between(0, HEADING_HIGH) | (F.col("heading") == 360)
+    kept = df.where(F.col("label").between(LABEL_LOW, LABEL_HIGH)).where(coerce.flag(audio_flag)).where(heading)
+    return kept.withColumn("heading", normalised_heading())
+
+
 def motion(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None = None) -> DataFrame:
     """Add second_gap and prev_distance (metres) to the previous row of the entity.
 
@@ -84,15 +96,20 @@ def jump_flags(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None
     return motion(df, order, hot).withColumn("gps_jump", is_jump())
 
 
-def survivors(marked: DataFrame, first_by: list[str], order: Order = MOTION_ORDER, frame: str = "frame_path") -> DataFrame:
+def early_hot(df: DataFrame, order: Order) -> DataFrame | None:
+    """Hot entities before the rules: two columns of a row-local plan instead of the whole chain again."""
+    keys = df.select(order.entity, order.second)
+    return hot_entities(keys, order) if may_be_hot(df, order) else None
+
+
+def survivors(coerced: DataFrame, first_by: list[str], order: Order = MOTION_ORDER, frame: str = "frame_path") -> DataFrame:
     """Rows left after the row-local rules and both deduplications, with the jump flag and copy counts.
 
     ``first_by`` decides which of several rows is the first one; it has to be unique. Hot entities are counted
     before the rules, on the two columns that takes.
     """
-    hot = hot_entities(marked.select(order.entity, order.second), order)
-    left = marked.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    left = keep_first(left, [order.entity, order.second], first_by, "_copies")
+    hot = early_hot(coerced, order)
+    left = keep_first(passing(coerced), [order.entity, order.second], first_by, "_copies")
     per_second = left.withColumn("same_second", F.col("_copies") - 1).drop("_copies")
     left = keep_first(per_second, [frame], first_by, "_copies")
     left = left.withColumn("same_frame", F.col("_copies") - 1).drop("_copies")
@@ -110,11 +127,10 @@ def final_casts(df: DataFrame) -> DataFrame:
 
 def clean_rows(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
     """The cleaned rows."""
-    marked = mark_rows(coerce_rows(df)).drop("heading_was_360")
-    hot = hot_entities(marked.select(order.entity, order.second), order)
+    coerced = coerce_rows(df)
+    hot = early_hot(coerced, order)
     # No counts are wanted here, so both deduplications can be rank filters.
-    left = marked.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    left = keep_first(left, [order.entity, order.second], first_by)
+    left = keep_first(passing(coerced), [order.entity, order.second], first_by)
     left = keep_first(left, ["frame_path"], first_by)
     left = jump_flags(left, order, hot).where(~F.col("gps_jump"))
     return final_casts(left.drop("gps_jump", "second_gap", "prev_distance"))
@@ -122,7 +138,8 @@ def clean_rows(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER)
 
 def clean_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
     """(measure, rows): source rows, rows lost to each rule in turn, headings set to 0, clean rows."""
-    marked = mark_rows(coerce_rows(df))
+    coerced = coerce_rows(df)
+    marked = mark_rows(coerced)
 
     def lost(reason: str) -> Column:
         return F.count_if(F.col("drop_reason") == reason)
@@ -136,7 +153,7 @@ def clean_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER
         lost("invalid_heading").alias("dropped_invalid_heading"),
         F.count_if(F.col("drop_reason").isNull()).alias("_kept"),
     )
-    rest = survivors(marked.drop("heading_was_360"), first_by, order).agg(
+    rest = survivors(coerced, first_by, order).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.coalesce(F.sum("same_frame"), F.lit(0)).alias("dropped_duplicate_frame_path"),
         F.count_if("gps_jump").alias("dropped_extreme_motion_rows"),

@@ -44,7 +44,7 @@ def segment_features(df: DataFrame, order: Order, max_gap: float = 1.0) -> DataF
     """
     w = order.window()
     rows = chunked(df, order, before=LOOK_BACK, after=0)
-    gap = breaks(local_position(order), gap_break(order, max_gap), order)
+    gap = breaks(local_position(rows, order), gap_break(order, max_gap), order)
     rows = rows.withColumn("_gap", gap)
     rows = rows.withColumn("_seg", F.count(F.when(F.col("_gap"), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 # An entity is hot only above 1/MAX_HOT of all rows, so there are fewer than MAX_HOT of them.
 MAX_HOT = 10_000
 
+# Below this many bytes per row of ``hot_rows`` an input counts as too small to hold a hot entity.
+ROW_BYTES = 64
+
 HELPERS = ["_chunk", "_own", "_pos", "_size", "_rows"]
 
 
@@ -50,6 +53,18 @@ class Order:
         return Window.partitionBy(self.entity, "_chunk", *extra).orderBy(*self.by)
 
 
+def may_be_hot(df: DataFrame, order: Order) -> bool:
+    """False when the optimizer's size estimate says that the whole input is smaller than one hot entity.
+
+    A wrong guess costs speed, not correctness. Where there is no estimate the answer is True.
+    """
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - a remote session has no plan to ask
+        return True
+    return size > order.hot_rows * ROW_BYTES
+
+
 def hot_entities(df: DataFrame, order: Order) -> DataFrame:
     """(entity, n, lo, hi, size): entities above a shuffle partition's fair share, and their chunk size."""
     second = F.col(order.second).cast("double")
@@ -80,25 +95,27 @@ def positions(df: DataFrame, order: Order, hot: DataFrame) -> DataFrame:
     )
 
 
+def uncut(df: DataFrame) -> DataFrame:
+    """Rows that belong to no hot entity: each entity is one chunk."""
+    return df.selectExpr("*", "-1L AS _chunk", "true AS _own")
+
+
 def chunked(
     df: DataFrame, order: Order, before: int = 1, after: int = 1, hot: DataFrame | None = None
 ) -> DataFrame:
     """Add the window key ``_chunk`` and halo copies; ``_own`` marks the rows that are not copies.
 
-    Also adds ``_pos`` (hot rows only), ``_size`` and ``_rows``. Ordinary entities pass straight through.
+    Where hot entities are possible it also adds ``_pos``, ``_size`` and ``_rows``, NULL for ordinary entities, which
+    pass straight through.
     ``hot`` may come from ``hot_entities`` of an earlier, larger state of the same rows: at the end of a long
     chain that spares running the chain once more just to count.
     """
+    if hot is None and not may_be_hot(df, order):
+        return uncut(df)
     hot = hot_entities(df, order) if hot is None else hot
     hot = hot.withColumn("_size", F.greatest("_size", F.lit(before + after + 1)))
-    plain = df.join(F.broadcast(hot.select(order.entity)), order.entity, "left_anti").select(
-        *df.columns,
-        F.lit(-1).cast("bigint").alias("_chunk"),
-        F.lit(True).alias("_own"),
-        F.lit(None).cast("bigint").alias("_pos"),
-        F.lit(None).cast("bigint").alias("_size"),
-        F.lit(None).cast("bigint").alias("_rows"),
-    )
+    plain = uncut(df.join(F.broadcast(hot.select(order.entity)), order.entity, "left_anti").select(*df.columns))
+    plain = plain.selectExpr("*", *(f"CAST(NULL AS BIGINT) AS {c}" for c in ("_pos", "_size", "_rows")))
     home = F.floor(F.col("_pos") / F.col("_size"))
     place = F.col("_pos") % F.col("_size")
     onward = (place >= F.col("_size") - before) & ((home + 1) * F.col("_size") < F.col("_rows"))
@@ -115,9 +132,10 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").select(*keep)
 
 
-def local_position(order: Order) -> Column:
+def local_position(chunks: DataFrame, order: Order) -> Column:
     """Zero-based place of the row in its entity: carried for hot rows, counted otherwise."""
-    return F.coalesce(F.col("_pos"), F.row_number().over(order.window()).cast("bigint") - 1)
+    counted = F.row_number().over(order.window()).cast("bigint") - 1
+    return F.coalesce(F.col("_pos"), counted) if "_pos" in chunks.columns else counted
 
 
 def breaks(pos: Column, condition: Column, order: Order) -> Column:
@@ -134,9 +152,22 @@ def islands(chunks: DataFrame, order: Order, flags: dict[str, Column], before: i
     ``_start`` is the position of the island's first row, ``_last`` tells whether the row ends its island. All
     three are exact for own rows and for halo rows (``_last`` only where the next row is in the halo too).
     """
-    marked = chunks.withColumn("pos", local_position(order))
+    marked = chunks.withColumn("pos", local_position(chunks, order))
     marked = marked.withColumns({f"_{n}": breaks(F.col("pos"), c, order) for n, c in flags.items()})
 
+    w = order.window()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for n in flags:
+        hit = F.expr(f"CASE WHEN _{n} THEN pos END")
+        out[f"{n}_id"] = F.count(hit).over(so_far) - 1
+        out[f"{n}_start"] = F.max(hit).over(so_far)
+        out[f"{n}_last"] = F.coalesce(F.lead(f"_{n}").over(w), F.lit(True))
+    local = marked.withColumns(out) if flags else marked
+    keep = [*chunks.columns, "pos", *(f"{n}_{part}" for n in flags for part in ("id", "start", "last"))]
+    if not flags or "_pos" not in chunks.columns:
+        return local.select(*keep)
+
     # Breaks at or before the first row of chunk k + 1 (its halo included) are unknown there: they are carried.
     head = F.col("pos") <= (F.col("_chunk") + 1) * F.col("_size") - before
     totals = []
@@ -162,18 +193,9 @@ def islands(chunks: DataFrame, order: Order, flags: dict[str, Column], before: i
         ]
     carry = per_chunk.select(order.entity, "_chunk", *carried)
 
-    w = order.window()
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = {}
-    for n in flags:
-        hit = F.when(F.col(f"_{n}"), F.col("pos"))
-        out[f"{n}_id"] = F.count(hit).over(so_far) - 1
-        out[f"{n}_start"] = F.max(hit).over(so_far)
-        out[f"{n}_last"] = F.coalesce(F.lead(f"_{n}").over(w), F.lit(True))
-    local = marked.withColumns(out).join(F.broadcast(carry), [order.entity, "_chunk"], "left")
+    local = local.join(F.broadcast(carry), [order.entity, "_chunk"], "left")
     final = {}
     for n in flags:
         final[f"{n}_id"] = F.col(f"{n}_id") + F.coalesce(F.col(f"cn_{n}"), F.lit(0))
         final[f"{n}_start"] = F.coalesce(f"{n}_start", f"cs_{n}")
-    keep = [*chunks.columns, "pos", *(f"{n}_{part}" for n in flags for part in ("id", "start", "last"))]
     return local.withColumns(final).select(*keep)

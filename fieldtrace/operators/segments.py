@@ -19,8 +19,8 @@ def gap_break(order: Order, max_gap: float) -> Column:
     jump = second_step(order) > max_gap
     if order.time is None:
         return jump
-    step = (epoch_micros(order.time) - epoch_micros(F.lag(order.time).over(order.window()))) / 1e6
-    return jump | (step > max_gap)
+    micros = epoch_micros(order.time)
+    return jump | (micros - F.lag(micros).over(order.window()) > max_gap * 1e6)
 
 
 def label_break(order: Order, label: str) -> Column:

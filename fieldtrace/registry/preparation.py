@@ -484,10 +484,19 @@ m2 AS (SELECT *, coalesce(second_gap = 1 AND {HAVERSINE} > CASE WHEN speed IS NO
 cleaned AS (SELECT * FROM m2 WHERE NOT gps_jump)"""
 
 
+@BOOK.query(
+    "drop_reason",
+    f"""WITH {OBSERVATIONS} SELECT tie, CASE WHEN frame_time IS NULL THEN 'missing_required' WHEN label > 10 THEN 'invalid_label'
+    WHEN NOT coalesce(audio_exists, false) THEN 'missing_audio' WHEN heading < 0 THEN 'invalid_heading' END AS drop_reason FROM observations""",
+)
+def drop_reason(spark, sf):
+    return clean.mark_rows(clean.coerce_rows(observations(spark, sf))).select("tie", "drop_reason")
+
+
 @BOOK.query("gps_jump_flag", f"WITH {CLEAN} SELECT tie, gps_jump FROM m2")
 def gps_jump_flag(spark, sf):
-    marked = clean.mark_rows(clean.coerce_rows(observations(spark, sf)))
-    return clean.survivors(marked, FIRST_BY, RULE_ORDER).select("tie", "gps_jump")
+    rows = clean.coerce_rows(observations(spark, sf))
+    return clean.survivors(rows, FIRST_BY, RULE_ORDER).select("tie", "gps_jump")
 
 
 def cleaned(spark, sf):

@@ -18,23 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trajectory per user: an event is a row, and an hour of real time plays the part of a second."""
-    e = table(spark, sf_dir, "events")
-    micros = epoch_micros("ts") - BASE_MICROS
-    played = (F.floor(micros / 3600) / 1000000).cast("decimal(18,6)")
-    day_label = (F.floor(micros / 86400000000) % 11).cast("int")
-    return e.select(
-        F.col("user_id").alias("entity_id"),
-        (F.to_timestamp_ntz(F.lit("2024-01-01")) + F.make_dt_interval(secs=played)).alias("frame_time"),
-        F.col("event_id").alias("tie"),
-        F.col("ts").alias("fix_time"),
-        F.floor(micros / 3600000000).cast("bigint").alias("second"),
-        day_label.alias("label"),
-        F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 11).cast("int")).otherwise(day_label).alias("pred"),
-        (120 + (F.col("event_id") % 97) * 1e-4).alias("lon"),
-        (35 + (F.col("event_id") % 89) * 1e-4).alias("lat"),
-        F.col("value").alias("speed"),
-        (F.get_json_object("props", "$.k").try_cast("double") / 100).alias("depth"),
-        ((F.col("event_id") * 37) % 360).cast("double").alias("heading"),
+    e = table(spark, sf_dir, "events").withColumn("us", epoch_micros("ts") - BASE_MICROS)
+    day = "CAST(floor(us / 86400000000) % 11 AS INT)"
+    return e.selectExpr(
+        "user_id AS entity_id",
+        "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, CAST(floor(us / 3600) / 1000000 AS DECIMAL(18, 6))) AS frame_time",
+        "event_id AS tie",
+        "ts AS fix_time",
+        "floor(us / 3600000000) AS second",
+        f"{day} AS label",
+        f"CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 11 AS INT) ELSE {day} END AS pred",
+        "120 + (event_id % 97) * 1e-4D AS lon",
+        "35 + (event_id % 89) * 1e-4D AS lat",
+        "value AS speed",
+        "try_cast(get_json_object(props, '$.k') AS DOUBLE) / 100 AS depth",
+        "CAST((event_id * 37) % 360 AS DOUBLE) AS heading",
     )
 
 
@@ -77,33 +75,30 @@ SPLIT_DATES = {"train": DAYS[:20], "val": DAYS[20:25], "test": DAYS[25:]}
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-second rows with missing times, bad labels, lost audio, odd headings, copies and jumps."""
-    t = track(spark, sf_dir)
-    i = F.col("tie")
-    entity = F.concat(F.lit("user"), F.col("entity_id").cast("string"), F.lit(".mp4"))
-    return t.select(
-        i.alias("tie"),
-        F.concat(F.lit("frames/f"), F.when(i % 50 == 49, i - 1).otherwise(i).cast("string"), F.lit(".jpg")).alias("frame_path"),
-        F.when(i % 41 != 0, F.col("frame_time")).alias("frame_time"),
-        F.when(i % 5 == 0, "guess").otherwise("meta").alias("timestamp_source"),
-        (i % 5 == 0).alias("timestamp_inferred"),
-        entity.alias("entity_id"),
-        (i * 25).cast("double").alias("frame_number"),
+    return track(spark, sf_dir).withColumn("name", F.expr("concat('user', entity_id, '.mp4')")).selectExpr(
+        "tie",
+        "concat('frames/f', CASE WHEN tie % 50 = 49 THEN tie - 1 ELSE tie END, '.jpg') AS frame_path",
+        "CASE WHEN tie % 41 <> 0 THEN frame_time END AS frame_time",
+        "CASE WHEN tie % 5 = 0 THEN 'guess' ELSE 'meta' END AS timestamp_source",
+        "tie % 5 = 0 AS timestamp_inferred",
+        "name AS entity_id",
+        "CAST(tie * 25 AS DOUBLE) AS frame_number",
         "second",
-        (120 + (i % 97) * 3e-6).alias("lon"),
-        (35 + (i % 89) * 3e-6).alias("lat"),
+        "120 + (tie % 97) * 3e-6D AS lon",
+        "35 + (tie % 89) * 3e-6D AS lat",
         "fix_time",
-        F.when(i % 29 != 0, F.col("speed") % 7).alias("speed"),
-        F.when(i % 47 == 0, -1.0).otherwise(((i * 37) % 361).cast("double")).alias("heading"),
+        "CASE WHEN tie % 29 <> 0 THEN speed % 7 END AS speed",
+        "CASE WHEN tie % 47 = 0 THEN -1D ELSE CAST((tie * 37) % 361 AS DOUBLE) END AS heading",
         "depth",
-        (F.col("entity_id") % 13).alias("did"),
-        F.when(i % 43 == 0, F.lit(11)).otherwise(F.col("label")).alias("label"),
-        (F.col("second") + 1704067200).alias("epoch_second"),
-        F.concat(F.lit("/raw/"), entity).alias("source_video_path"),
-        F.col("second").alias("audio_start_second"),
-        F.lit(1.0).alias("audio_duration_seconds"),
-        F.concat(F.lit("clips/"), entity, F.lit("/"), F.col("second").cast("string"), F.lit(".wav")).alias("audio_path"),
-        F.when(i % 37 != 0, i % 31 != 0).alias("audio_exists"),
-        (i % 17 == 0).alias("audio_is_silence_fill"),
+        "entity_id % 13 AS did",
+        "CASE WHEN tie % 43 = 0 THEN 11 ELSE label END AS label",
+        "second + 1704067200 AS epoch_second",
+        "concat('/raw/', name) AS source_video_path",
+        "second AS audio_start_second",
+        "1D AS audio_duration_seconds",
+        "concat('clips/', name, '/', second, '.wav') AS audio_path",
+        "CASE WHEN tie % 37 <> 0 THEN tie % 31 <> 0 END AS audio_exists",
+        "tie % 17 = 0 AS audio_is_silence_fill",
     )
 
 
