@@ -50,7 +50,7 @@ def f1_pivot(per_class: DataFrame, models: list[str]) -> DataFrame:
 
 def best_single_gain(pivot: DataFrame, fused: str, singles: list[str]) -> DataFrame:
     """Add best_single and gain: the fused model against the best single one, per class."""
-    best: Column = F.greatest(*singles)
+    best: Column = F.greatest(*singles) if len(singles) > 1 else F.col(singles[0])
     return pivot.withColumns({"best_single": best, "gain": F.col(fused) - best})
 
 

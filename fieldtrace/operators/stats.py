@@ -39,12 +39,9 @@ def normalise(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame
     """Replace each feature by (x - mean) / (std + 1e-6); ``stats`` (a row per feature) becomes one constant."""
     entry = F.struct("feature", F.struct("mean", "std"))
     table = stats.agg(F.map_from_entries(F.collect_list(entry)).alias("s")).scalar()
-
-    def scaled(f: str) -> Column:
-        s = F.element_at(table, F.lit(f))
-        return (F.col(f) - s["mean"]) / (s["std"] + STD_OFFSET)
-
-    return df.withColumns({f: scaled(f) for f in features})
+    # Held in one column first: the subquery is then planned once, not once per feature.
+    scaled = {f: F.expr(f"({f} - _stats['{f}'].mean) / (_stats['{f}'].std + {STD_OFFSET}D)") for f in features}
+    return df.withColumn("_stats", table).withColumns(scaled).drop("_stats")
 
 
 def class_counts(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
