@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -14,11 +15,16 @@ def _col(c) -> Column:
 
 def to_number(c, fill: float | None = None) -> Column:
     """Number or NULL; NaN counts as missing. ``fill`` replaces what is missing."""
-    value = _col(c).try_cast("double")
-    value = F.when(~F.isnan(value), value)
+    value = F.nanvl(_col(c).try_cast("double"), F.lit(None).cast("double"))
     return value if fill is None else F.coalesce(value, F.lit(float(fill)))
 
 
+def number_of(df: DataFrame, c: str) -> Column:
+    """``to_number`` of a column of ``df``; integer columns need no look for bad text or NaN."""
+    whole = isinstance(df.schema[c].dataType, T.IntegralType)
+    return F.col(c).cast("double") if whole else to_number(c)
+
+
 def to_time(c) -> Column:
     """Zone-free timestamp or NULL."""
     return _col(c).try_cast("timestamp_ntz")

@@ -29,7 +29,7 @@ MOTION_ORDER = Order(entity="entity_id", second="second", time="frame_time", tie
 
 def coerce_rows(df: DataFrame) -> DataFrame:
     """Times and numbers from whatever they arrived as; unreadable values become NULL."""
-    numbers = {c: coerce.to_number(c) for c in NUMERIC if c in df.columns}
+    numbers = {c: coerce.number_of(df, c) for c in NUMERIC if c in df.columns}
     times = {c: coerce.to_time(c) for c in ("frame_time", "fix_time")}
     return df.withColumns({**numbers, **times})
 

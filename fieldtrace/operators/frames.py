@@ -26,8 +26,8 @@ def slots_center(seconds: Column, center: Column, radius: Column, k: int) -> Col
 
     def nearest(offset: Column) -> Column:
         target = center + F.bround(offset).cast("bigint")
-        distance = F.transform(seconds, lambda s: F.abs(s - target))
-        return (F.array_position(distance, F.array_min(distance)) - 1).cast("int")
+        ranked = F.transform(seconds, lambda s, i: F.struct(F.abs(s - target).alias("distance"), i.alias("slot")))
+        return F.array_min(ranked)["slot"]
 
     return F.transform(offsets, nearest)
 

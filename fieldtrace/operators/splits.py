@@ -120,7 +120,8 @@ def weighted_resample(samples: DataFrame, keys: list[str], weight: str = "weight
 
     Samples own an interval of the running weight total; draw i is a hash-made point in it. Totals are summed per
     hash bucket first. Points and intervals meet on equal-width cells, as many cells as draws, so a cell holds about
-    one point and a heavy sample spreads over the many cells it covers.
+    one point and a heavy sample spreads over the many cells it covers. ``samples`` is read several times: settle it
+    first when it is the end of a long chain.
     """
     rows = samples.withColumn("_hash", shuffle_key(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     sums = rows.groupBy("_bucket").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))

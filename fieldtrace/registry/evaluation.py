@@ -20,6 +20,7 @@ from fieldtrace.registry.book import BOOK, joined, q6, r6, rounded
 from fieldtrace.registry.sequences import GAP, KEY, RECOMMENDED, SUMMARY, runs_sql, summary_frame, windows_sql
 from fieldtrace.registry.views import DATED, ORDER, TRACK, dated, segmented, table, track
 from fieldtrace.schema import CLASS_SHORT_NAMES, NUM_CLASSES
+from fieldtrace.sources.writers import settled
 
 SEG = segmented(GAP)
 ANCHORS = f"{SEG}, anchor AS (SELECT * FROM seg WHERE seg_pos % 3 = 0 OR is_last)"
@@ -80,7 +81,7 @@ def sample_weights_boost(spark, sf):
 
 @BOOK.query("weighted_resample")
 def weighted_resample(spark, sf):
-    weighted = N.sample_weights(anchors(spark, sf)).select(*KEY, "label", "weight")
+    weighted = settled(N.sample_weights(anchors(spark, sf)).select(*KEY, "label", "weight"))
     return SP.weighted_resample(weighted, KEY)
 
 
@@ -611,8 +612,6 @@ def batch_score(spark, sf):
 @BOOK.query("baseline_classifier")
 def baseline_classifier(spark, sf):
     from fieldtrace.operators.features import segment_features
-    from fieldtrace.sources.writers import settled
-
     rows = settled(segment_features(track(spark, sf), ORDER, 48))
     weights = N.class_weights(rows).select(F.col("class_id").alias("label"), "weight")
     train = rows.join(F.broadcast(weights), "label")

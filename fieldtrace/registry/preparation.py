@@ -616,7 +616,7 @@ def plan(spark, sf):
 
 
 def clips(spark, sf):
-    rows = plan(spark, sf)
+    rows = settled(plan(spark, sf))
     path = F.col("audio_path").alias("path")
     return rows, rows.where(F.col("tie") % 5 != 0).select(path).distinct(), rows.where(F.col("tie") % 10 == 0).select(path).distinct()
 
