@@ -98,8 +98,9 @@ def jump_flags(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None
 
 def early_hot(df: DataFrame, order: Order) -> DataFrame | None:
     """Hot entities before the rules: two columns of a row-local plan instead of the whole chain again."""
-    keys = df.select(order.entity, order.second)
-    return hot_entities(keys, order) if may_be_hot(df, order) else None
+    if order.hot is not None or not may_be_hot(df, order):
+        return order.hot
+    return hot_entities(df.select(order.entity, order.second), order)
 
 
 def survivors(coerced: DataFrame, first_by: list[str], order: Order = MOTION_ORDER, frame: str = "frame_path") -> DataFrame:

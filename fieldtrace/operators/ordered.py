@@ -12,11 +12,13 @@ it) arrives as a carry row per chunk. Hot entities and their chunks number at mo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.sources.writers import settled
+
 # An entity is hot only above 1/MAX_HOT of all rows, so there are fewer than MAX_HOT of them.
 MAX_HOT = 10_000
 
@@ -31,7 +33,7 @@ class Order:
     """The total order of an entity's rows: second, then time (if any), then a tie-break.
 
     Together the order columns have to be unique within an entity. ``second`` has to be a number.
-    ``hot_rows`` is the smallest entity worth cutting.
+    ``hot_rows`` is the smallest entity worth cutting. ``hot`` may hold the known hot entities (see ``with_hot``).
     """
 
     entity: str = "entity_id"
@@ -39,6 +41,7 @@ class Order:
     time: str | None = "frame_time"
     tie: str = "tie"
     hot_rows: int = 1_000_000
+    hot: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def by(self) -> list[str]:
@@ -76,6 +79,15 @@ def hot_entities(df: DataFrame, order: Order) -> DataFrame:
     return stats.where(F.col("_rows") > limit).withColumn("_size", limit.cast("bigint"))
 
 
+def with_hot(df: DataFrame, order: Order) -> Order:
+    """The order with the hot entities of ``df`` counted once and kept as a small table.
+
+    Worth it before several operators run over the same entities: none of them has to count again. Rows may be
+    filtered afterwards, the counts are upper bounds.
+    """
+    return replace(order, hot=settled(hot_entities(df, order)))
+
+
 def positions(df: DataFrame, order: Order, hot: DataFrame) -> DataFrame:
     """Rows of hot entities with ``_pos``, their zero-based place in the entity, found slice by slice.
 
@@ -110,6 +122,7 @@ def chunked(
     ``hot`` may come from ``hot_entities`` of an earlier, larger state of the same rows: at the end of a long
     chain that spares running the chain once more just to count.
     """
+    hot = order.hot if hot is None else hot
     if hot is None and not may_be_hot(df, order):
         return uncut(df)
     hot = hot_entities(df, order) if hot is None else hot

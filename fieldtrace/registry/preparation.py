@@ -392,6 +392,12 @@ def order_aligned(spark, sf):
     return align.ordered_output(splitted(spark, sf), order).select("split", "entity_id", "tie", "second")
 
 
+@BOOK.query("order_entity", f"WITH {TRACK} SELECT entity_id, second, frame_time, tie FROM track")
+def order_entity(spark, sf):
+    order = ["entity_id", "second", "frame_time", "tie"]
+    return align.ordered_output(track(spark, sf), order).select(*order)
+
+
 @BOOK.query(
     "date_from_name",
     """SELECT doc_id, regexp_extract('part_' || CASE WHEN doc_id % 4 = 0 THEN source ELSE '2024-10-' || (10 + doc_id % 20) END || '.csv',

@@ -9,7 +9,7 @@ from fieldtrace.operators import anchors as A
 from fieldtrace.operators import segments as S
 from fieldtrace.operators.clean import jump_flags
 from fieldtrace.operators.features import segment_features
-from fieldtrace.operators.ordered import chunked, hot_entities, may_be_hot
+from fieldtrace.operators.ordered import chunked, hot_entities, may_be_hot, with_hot
 from fieldtrace.operators.smoothing import smooth_runs
 from fieldtrace.registry.views import ORDER, track
 
@@ -40,7 +40,7 @@ def same(left, right):
     assert a
 
 
-@pytest.mark.parametrize("hot_rows", [30, 77, 200, 499])
+@pytest.mark.parametrize("hot_rows", [30, 77, 499])
 def test_hot_entity_is_found_and_cut(spark, rows, hot_rows):
     order = replace(ORDER, hot_rows=hot_rows)
     assert may_be_hot(rows, order)
@@ -74,13 +74,23 @@ OPERATORS = {
 }
 
 
-@pytest.mark.parametrize("hot_rows", [40, 90])
-@pytest.mark.parametrize("name", sorted(OPERATORS))
+CASES = [(name, 40) for name in sorted(OPERATORS)] + [("features", 90), ("weights_centered", 90), ("causal", 90)]
+
+
+@pytest.mark.parametrize("name, hot_rows", CASES)
 def test_cutting_changes_nothing(rows, name, hot_rows):
     run = OPERATORS[name]
     same(run(rows, replace(ORDER, hot_rows=hot_rows)), run(rows, WHOLE))
 
 
+@pytest.mark.parametrize("name", ["segments", "weights_centered", "smoothing"])
+def test_hot_entities_counted_once(rows, name):
+    order = with_hot(rows, replace(ORDER, hot_rows=60))
+    fewer = rows.where("tie % 5 <> 0")
+    same(OPERATORS[name](rows, order), OPERATORS[name](rows, WHOLE))
+    same(OPERATORS[name](fewer, order), OPERATORS[name](fewer, WHOLE))
+
+
 def test_result_does_not_depend_on_partitioning(spark, rows):
     shuffled = rows.repartition(5, F.hash("tie"))
     same(segment_features(shuffled, replace(ORDER, hot_rows=60), GAP), segment_features(rows, WHOLE, GAP))
