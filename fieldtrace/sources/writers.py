@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 def work_folder(spark: SparkSession) -> str:
     """A new folder name below the shared folder the session names in spark.checkpoint.dir.
 
-    Only a session without that setting (a local test) gets a temporary folder of this machine.
+    Only a local session (a test: driver and tasks are one process) may do without that setting and then gets a
+    temporary folder of this machine; on a cluster a missing setting is an error, since executors would not see
+    each other's files.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/fieldtrace-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="fieldtrace-")
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="fieldtrace-")
+    return f"{shared.rstrip('/')}/fieldtrace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
