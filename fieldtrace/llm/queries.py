@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from fieldtrace.llm import mixing, sharding
-from fieldtrace.registry.book import Book
+from pyspark.sql import functions as F
+
+from fieldtrace.llm import mixing, sharding, simhash
+from fieldtrace.registry.book import Book, r6
 
 BOOK = Book()
 
@@ -58,16 +60,18 @@ def op4_sql() -> str:
 
 @BOOK.query("op4_curriculum_mix", op4_sql())
 def op4(spark, sf_dir):
-    from fieldtrace.registry.book import r6
-
     planned = mixing.plan(table(spark, sf_dir, "documents"), carry=False)
     return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", r6("first_position").alias("first_position"))
 
 
+@BOOK.query("op5_simhash_groups")
+def op5(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @BOOK.query("op6_kd_shards")
 def op6(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=40, carry=False)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
