@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import mixing, sharding, simhash, topk
+from fieldtrace.llm import language, mixing, quality, sharding, simhash, topk
+from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
 BOOK = Book()
@@ -58,6 +59,23 @@ def op4_sql() -> str:
         CASE WHEN copies > 0 THEN round(CASE place % {n} {times} END, 6) + 0.0::DOUBLE END AS first_position FROM counted"""
 
 
+@BOOK.query("op2_compression_language")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = remainder(F.col("doc_id"), 4) == 2
+    learned = language.train(docs.where(~held))
+    found = language.identified(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@BOOK.query("op8_quality_scores")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(labelled(docs, table(spark, sf_dir, "labels"), "quality", 5, 0))
+    found = quality.scored(docs, model, 0.3)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @BOOK.query("op4_curriculum_mix", op4_sql())
 def op4(spark, sf_dir):
     planned = mixing.plan(table(spark, sf_dir, "documents"), carry=False)
