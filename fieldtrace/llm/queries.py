@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import language, mixing, quality, sharding, simhash, topk
+from fieldtrace.llm import language, mixing, quality, sharding, simhash, topk, toxicity
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -59,6 +59,14 @@ def op4_sql() -> str:
         CASE WHEN copies > 0 THEN round(CASE place % {n} {times} END, 6) + 0.0::DOUBLE END AS first_position FROM counted"""
 
 
+@BOOK.query("op1_toxicity_scores")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1))
+    found = toxicity.scored(docs, model, 0.7)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @BOOK.query("op2_compression_language")
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
