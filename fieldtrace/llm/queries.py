@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import language, mixing, quality, sharding, simhash, topk, toxicity
+from fieldtrace.llm import language, mixing, quality, sharding, simhash, tokens, topk, toxicity
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -84,6 +84,15 @@ def op8(spark, sf_dir):
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+#: Where the box keeps the files of public tokenizers.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@BOOK.query("op3_viterbi_tokens")
+def op3(spark, sf_dir):
+    return tokens.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "tokens")
+
+
 @BOOK.query("op4_curriculum_mix", op4_sql())
 def op4(spark, sf_dir):
     planned = mixing.plan(table(spark, sf_dir, "documents"), carry=False)
