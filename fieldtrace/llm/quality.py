@@ -21,7 +21,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from fieldtrace.llm.common import hash_key, whole
-from fieldtrace.llm.labels import bounded_sample
 
 #: Rows of each label in the training sample: its documented bound.
 SAMPLE_ROWS = 6_000
@@ -117,13 +116,9 @@ def learn_weights(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"at": at, "w": w[at], "one": 1.0 * (at == 1 << BITS)})
 
 
-def train(rows: DataFrame, most: int = SAMPLE_ROWS) -> Model:
-    """A model from (doc_id, text, label) rows: at most about ``most`` of each label are used.
-
-    Without rows the model scores every text 0.5.
-    """
-    sample = bounded_sample(rows, "label", most, "|quality").withColumn("key", hash_key(F.col("doc_id"), "|order"))
-    dealt = sample.select("text", "label", "key").repartition(LEARNERS, "key")
+def train(sample: DataFrame) -> Model:
+    """A model from a bounded sample of (doc_id, text, label) rows. Without rows it scores every text 0.5."""
+    dealt = sample.withColumn("key", hash_key(F.col("doc_id"), "|order")).select("text", "label", "key").repartition(LEARNERS, "key")
     learned = dealt.mapInPandas(learn_weights, "at long, w double, one double")
     mean = learned.groupBy("at").agg(F.sum("w").alias("w"), F.sum("one").alias("one")).toPandas()
     weights = np.zeros((1 << BITS) + 1)

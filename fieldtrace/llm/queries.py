@@ -62,7 +62,7 @@ def op4_sql() -> str:
 @BOOK.query("op1_toxicity_scores")
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(labelled(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1))
+    model = toxicity.train(*labelled(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, toxicity.SAMPLE_ROWS))
     found = toxicity.scored(docs, model, 0.7)
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
@@ -79,7 +79,8 @@ def op2(spark, sf_dir):
 @BOOK.query("op8_quality_scores")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.train(labelled(docs, table(spark, sf_dir, "labels"), "quality", 5, 0))
+    sample, _ = labelled(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, quality.SAMPLE_ROWS)
+    model = quality.train(sample)
     found = quality.scored(docs, model, 0.3)
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 

@@ -26,7 +26,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from fieldtrace.llm.common import hash_key, whole
-from fieldtrace.llm.labels import bounded_sample
 from fieldtrace.sources.writers import settled
 
 #: Rows of each label in the training sample: its documented bound. The share that fits, the rest calibrates.
@@ -144,13 +143,12 @@ def featured(rows: DataFrame, lexicon: frozenset) -> DataFrame:
     return rows.withColumn("_features", array_to_vector(dense(F.col("text"))))
 
 
-def train(rows: DataFrame, most: int = SAMPLE_ROWS) -> Model:
-    """A model from (doc_id, text, label) rows: at most about ``most`` of each label are used."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+def train(rows: DataFrame, counts: dict[int, int]) -> Model:
+    """A model from a bounded sample of (doc_id, text, label) rows; ``counts`` says how many of each label there are."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     key = F.conv(F.substring(hash_key(F.col("doc_id"), "|part"), 1, 4), 16, 10).cast("double") / 65536
-    sample = settled(bounded_sample(rows, "label", most, "|toxic").select("text", F.col("label").cast("int").alias("label"), (key < FIT_SHARE).alias("fit")))
+    sample = settled(rows.select("text", "label", (key < FIT_SHARE).alias("fit")))
     lexicon = learn_lexicon(sample.where("fit").select("text", "label"))
     seen = settled(featured(sample, lexicon).select("label", "fit", "_features"))
     sizes = {(r["fit"], r["label"]): r["count"] for r in seen.groupBy("fit", "label").count().collect()}
