@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import language, mixing, quality, sharding, simhash, tokens, topk, toxicity
+from fieldtrace.llm import language, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -114,6 +114,15 @@ def op6(spark, sf_dir):
     )
 
 
+@BOOK.query("op9_suffix_repeats")
+def op9(spark, sf_dir):
+    """Documents with passages of 50 words or more that others share; the rest have no row."""
+    spans = suffixes.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.sum(F.col("stop") - F.col("start")).cast("long")
+    listed = F.sort_array(F.collect_list(F.struct("start", "stop")))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), size.alias("repeated_words"), listed.alias("spans"))
+
+
 OP10_SQL = """WITH vectors AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
