@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import language, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
+from fieldtrace.llm import decontamination, language, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -76,6 +76,14 @@ def op2(spark, sf_dir):
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@BOOK.query("op7_latent_leaks")
+def op7(spark, sf_dir):
+    """Documents that hold benchmark items, exactly or reworded; clean ones have no row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
+    return found.select("doc_id", F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"), r6(F.array_max(F.transform("leaks", lambda x: x["share"]))).alias("share"))
+
+
 @BOOK.query("op8_quality_scores")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
