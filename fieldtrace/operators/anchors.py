@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import clip
-from fieldtrace.operators.ordered import Order, chunked, islands, own_rows
+from fieldtrace.operators.ordered import Order, chunked, islands, match, own_rows
 from fieldtrace.operators.segments import gap_break, label_break, second_step, segment_runs, segments
+from fieldtrace.sources.writers import settled
 
 
 def on_stride(place: str, stride, last: str) -> Column:
@@ -55,7 +56,8 @@ def with_stride(
     """Add stride: the configured one of the class, else the inferred one, else ``default``.
 
     ``config`` has a row per class and is broadcast. ``inferred`` is as long as there are (segment, class)
-    pairs, so that join is left to the planner and to adaptive skew handling.
+    pairs and is written first: with a plain exchange on both sides, adaptive skew handling can split that join when
+    one class of one segment holds much of the data.
     """
     choices = []
     if config is not None:
@@ -64,8 +66,8 @@ def with_stride(
         rows = rows.join(F.broadcast(table), label, "left")
         choices.append(F.col("_configured"))
     if inferred is not None:
-        table = inferred.select(*keys, "segment_id", label, F.col("stride").alias("_inferred"))
-        rows = rows.join(table, [*keys, "segment_id", label], "left")
+        table = settled(inferred.select(*keys, "segment_id", label, F.col("stride").alias("_inferred")))
+        rows = match(rows, table, [*keys, "segment_id", label], "left")
         choices.append(F.col("_inferred"))
     return rows.withColumn("stride", F.coalesce(*choices, F.lit(default))).drop("_configured", "_inferred")
 
@@ -88,6 +90,37 @@ def adaptive_anchors(
     return rows.where(on_stride("run_pos", F.col("stride"), "run_last"))
 
 
+def window_rows(
+    df: DataFrame,
+    order: Order,
+    length: int,
+    max_gap: float,
+    stride: int,
+    adaptive: bool,
+    label: str,
+    config: DataFrame | None,
+    ratio: float,
+    low: int,
+    high: int,
+) -> DataFrame:
+    """Chunked rows with seg_pos and is_anchor, as windows and their statistics both need them.
+
+    Anchors are every ``stride``-th row of a segment, or, with ``adaptive``, of a same-label run on its class's stride.
+    """
+    reach = length + 1
+    gap = gap_break(order, max_gap)
+    flags = {"segment": gap, "run": gap | label_break(order, label)} if adaptive else {"segment": gap}
+    rows = islands(chunked(df, order, reach, reach), order, flags, reach, reach)
+    rows = rows.withColumn("seg_pos", F.col("pos") - F.col("segment_start"))
+    if not adaptive:
+        return rows.withColumn("is_anchor", on_stride("seg_pos", stride, "segment_last"))
+    inferred = inferred_stride(df, order, label, max_gap, ratio, low, high)
+    rows = with_stride(rows, [order.entity], label, inferred, config, stride, low, high)
+    rows = rows.withColumn("_place", F.col("pos") - F.col("run_start"))
+    rows = rows.withColumn("is_anchor", on_stride("_place", F.col("stride"), "run_last"))
+    return rows.drop("stride", "_place", "run_id", "run_start", "run_last")
+
+
 def window_reach(length: int, context: str) -> tuple[int, int]:
     """Rows before and after the anchor in a window: all before (causal) or about half and half (centered)."""
     if context == "causal":
@@ -116,20 +149,7 @@ def build_windows(
     neighbouring ones, so building windows does not cost ``length`` row visits per input row.
     """
     back, ahead = window_reach(length, context)
-    before, after = length + 1, length + 1
-    w = order.window()
-    gap = gap_break(order, max_gap)
-    flags = {"segment": gap, "run": gap | label_break(order, label)} if adaptive else {"segment": gap}
-    rows = islands(chunked(df, order, before, after), order, flags, before, after)
-    if adaptive:
-        inferred = inferred_stride(df, order, label, max_gap, ratio, low, high)
-        rows = with_stride(rows, [order.entity], label, inferred, config, stride, low, high)
-        rows = rows.withColumn("_place", F.col("pos") - F.col("run_start"))
-        anchor = on_stride("_place", F.col("stride"), "run_last")
-    else:
-        rows = rows.withColumn("_place", F.col("pos") - F.col("segment_start"))
-        anchor = on_stride("_place", stride, "segment_last")
-    rows = rows.withColumn("seg_pos", F.col("pos") - F.col("segment_start"))
+    rows = window_rows(df, order, length, max_gap, stride, adaptive, label, config, ratio, low, high)
 
     ws = order.window("segment_id")
     meta = [c for c in [*order.by, label] if c in df.columns]
@@ -140,7 +160,7 @@ def build_windows(
         (F.row_number().over(ws) - 1).alias("_at"),
         F.struct(
             (F.row_number().over(ws) - 1).alias("_at"),
-            (F.col("_own") & anchor).alias("_anchor"),
+            (F.col("_own") & F.col("is_anchor")).alias("_anchor"),
             "pos",
             "seg_pos",
             F.struct(*meta).alias("meta"),
@@ -154,25 +174,30 @@ def build_windows(
         .agg(F.sort_array(F.collect_list("row")).alias("rows"))
     )
     near = Window.partitionBy(*block).orderBy("_block")
-    none = F.slice("rows", 1, 0)
+    blocks = blocks.select(*block, "_block", F.transform("rows", lambda r: r["data"]).alias("_data"), "rows")
+    none = F.slice("_data", 1, 0)
     blocks = blocks.select(
         *block,
         "rows",
-        F.coalesce(F.lag("rows").over(near), none).alias("_prev"),
-        (F.coalesce(F.lead("rows").over(near), none) if ahead else none).alias("_next"),
-    )
-    blocks = blocks.select(
-        *block, "rows", F.size("_prev").alias("_skip"), F.concat("_prev", "rows", "_next").alias("_all")
+        F.coalesce(F.lag("_data").over(near), none).alias("_prev"),
+        "_data",
+        (F.coalesce(F.lead("_data").over(near), none) if ahead else none).alias("_next"),
     )
-    anchors = blocks.select(*block, "_all", "_skip", F.posexplode("rows").alias("_i", "row")).where("row._anchor")
-    at = F.col("_i") + F.col("_skip")
+    blocks = blocks.select(*block, "rows", F.size("_prev").alias("_skip"), F.concat("_prev", "_data", "_next").alias("_all"))
     size = F.size("_all")
-    first, last = F.greatest(at - back, F.lit(0)), F.least(at + ahead, size - 1)
-    window = F.concat(
-        F.array_repeat(F.get("_all", F.lit(0)), F.greatest(back - at, F.lit(0))),
-        F.slice("_all", first + 1, last - first + 1),
-        F.array_repeat(F.get("_all", size - 1), F.greatest(at + ahead - size + 1, F.lit(0))),
-    )
+
+    def cut(row: Column, i: Column) -> Column:
+        """An anchor's place and its window, sliced where the block is, so that no anchor carries the block."""
+        at = i + F.col("_skip")
+        first, last = F.greatest(at - back, F.lit(0)), F.least(at + ahead, size - 1)
+        window = F.concat(
+            F.array_repeat(F.get("_all", F.lit(0)), F.greatest(back - at, F.lit(0))),
+            F.slice("_all", first + 1, last - first + 1),
+            F.array_repeat(F.get("_all", size - 1), F.greatest(at + ahead - size + 1, F.lit(0))),
+        )
+        return F.when(row["_anchor"], F.struct(row["meta"].alias("meta"), row["pos"].alias("pos"), row["seg_pos"].alias("seg_pos"), window.alias("window")))
+
+    anchors = blocks.select(*block, F.explode(F.filter(F.transform("rows", cut), lambda x: x.isNotNull())).alias("row"))
     return anchors.select(
         order.entity,
         *(F.col(f"row.meta.{c}").alias(c) for c in meta),
@@ -180,7 +205,7 @@ def build_windows(
         "segment_id",
         "row.seg_pos",
         F.lit(back).alias("anchor_slot"),
-        F.transform(window, lambda r: r["data"]).alias("window"),
+        "row.window",
     )
 
 
@@ -212,16 +237,19 @@ def slot_weights(
     max_gap: float = 1.0,
     stride: int = 20,
     context: str = "causal",
+    adaptive: bool = False,
+    label: str = "label",
+    config: DataFrame | None = None,
+    ratio: float = 0.25,
+    low: int = 1,
+    high: int = 20,
 ) -> DataFrame:
-    """Add slot_weight: how many slots of the fixed-stride anchors' windows the row fills, edge repeats included.
+    """Add slot_weight: how many slots of the anchors' windows (see ``build_windows``) the row fills, edge repeats included.
 
     Counted from running anchor totals, so nothing is exploded and the cost does not grow with ``length``.
     """
     back, ahead = window_reach(length, context)
-    before, after = length + 1, length + 1
-    rows = islands(chunked(df, order, before, after), order, {"segment": gap_break(order, max_gap)}, before, after)
-    rows = rows.withColumn("seg_pos", F.col("pos") - F.col("segment_start"))
-    rows = rows.withColumn("is_anchor", on_stride("seg_pos", stride, "segment_last"))
+    rows = window_rows(df, order, length, max_gap, stride, adaptive, label, config, ratio, low, high)
     ws = order.window("segment_id")
     whole = Window.partitionBy(order.entity, "_chunk", "segment_id")
     rows = rows.withColumn("_seen", F.count(F.when(F.col("is_anchor"), 1)).over(ws.rowsBetween(Window.unboundedPreceding, 0)))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import haversine_m
 from fieldtrace.operators.align import keep_first
-from fieldtrace.operators.ordered import Order, chunked, hot_entities, may_be_hot, own_rows
+from fieldtrace.operators.ordered import Order, chunked, hot_entities, own_rows
+from fieldtrace.sources.writers import settled
 
 # Fixed values of the published rules.
 LABEL_LOW, LABEL_HIGH = 0, 10
@@ -96,18 +97,16 @@ def jump_flags(df: DataFrame, order: Order = MOTION_ORDER, hot: DataFrame | None
     return motion(df, order, hot).withColumn("gps_jump", is_jump())
 
 
-def early_hot(df: DataFrame, order: Order) -> DataFrame | None:
-    """Hot entities before the rules: two columns of a row-local plan instead of the whole chain again."""
-    if order.hot is not None or not may_be_hot(df, order):
-        return order.hot
-    return hot_entities(df.select(order.entity, order.second), order)
+def early_hot(df: DataFrame, order: Order) -> DataFrame:
+    """Hot entities before the rules: one column of a row-local plan instead of the whole chain again."""
+    return order.hot if order.hot is not None else settled(hot_entities(df.select(order.entity), order))
 
 
 def survivors(coerced: DataFrame, first_by: list[str], order: Order = MOTION_ORDER, frame: str = "frame_path") -> DataFrame:
     """Rows left after the row-local rules and both deduplications, with the jump flag and copy counts.
 
     ``first_by`` decides which of several rows is the first one; it has to be unique. Hot entities are counted
-    before the rules, on the two columns that takes.
+    before the rules.
     """
     hot = early_hot(coerced, order)
     left = keep_first(passing(coerced), [order.entity, order.second], first_by, "_copies")

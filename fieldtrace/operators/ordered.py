@@ -1,13 +1,17 @@
 """Ordered work per entity that stays parallel when one entity holds much of the data.
 
-``chunked`` gives every row a window key ``_chunk``. An ordinary entity is one chunk. A *hot* entity (more rows
-than one shuffle partition should hold) is cut by row position into equal chunks, and the rows near a cut are
-copied to the neighbouring chunk (the halo), so that a frame of up to ``before`` rows back and ``after`` rows
-ahead sees all its rows. Windows then partition by (entity, _chunk): one exchange, bounded tasks.
+``chunked`` gives every row a window key ``_chunk``. An ordinary entity is one chunk. A *hot* entity (more than
+``hot_rows`` rows) is cut by row position into chunks of ``hot_rows`` rows, and the rows near a cut are copied to the
+neighbouring chunk (the halo), so that a frame of up to ``before`` rows back and ``after`` rows ahead sees all its
+rows. Windows then partition by (entity, _chunk): one exchange, and tasks whose size does not depend on the data.
+
+Whether an entity is hot is counted, never estimated: one map-side-combined aggregate per call, or one for several
+calls with ``with_hot``. Where the counts find none, rows pass straight through.
 
 ``islands`` numbers maximal stretches over such chunks. What a chunk cannot know (how many breaks came before
-it) arrives as a carry row per chunk. Hot entities and their chunks number at most ``MAX_HOT`` and
-``2 * MAX_HOT``: both tables are broadcast with that bound, and are empty for evenly spread data.
+it) arrives as a carry row per chunk. Tables of hot entities, slices and chunks are joined without a hint: they are one
+row for each ``hot_rows`` rows, and Spark broadcasts them while they are small. NULL entities and NULL seconds are values
+like any other (NULL seconds come first).
 """
 
 from __future__ import annotations
@@ -19,12 +23,6 @@ from pyspark.sql import functions as F
 
 from fieldtrace.sources.writers import settled
 
-# An entity is hot only above 1/MAX_HOT of all rows, so there are fewer than MAX_HOT of them.
-MAX_HOT = 10_000
-
-# Below this many bytes per row of ``hot_rows`` an input counts as too small to hold a hot entity.
-ROW_BYTES = 64
-
 HELPERS = ["_chunk", "_own", "_pos", "_size", "_rows"]
 
 
@@ -32,7 +30,7 @@ HELPERS = ["_chunk", "_own", "_pos", "_size", "_rows"]
 class Order:
     """The total order of an entity's rows: second, then time (if any), then a tie-break.
 
-    Together the order columns have to be unique within an entity. ``second`` has to be a number.
+    Together the order columns have to be unique within an entity.
     ``hot_rows`` is the smallest entity worth cutting. ``hot`` may hold the known hot entities (see ``with_hot``).
     """
 
@@ -56,27 +54,17 @@ class Order:
         return Window.partitionBy(self.entity, "_chunk", *extra).orderBy(*self.by)
 
 
-def may_be_hot(df: DataFrame, order: Order) -> bool:
-    """False when the optimizer's size estimate says that the whole input is smaller than one hot entity.
-
-    A wrong guess costs speed, not correctness. Where there is no estimate the answer is True.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - a remote session has no plan to ask
-        return True
-    return size > order.hot_rows * ROW_BYTES
+def hot_entities(df: DataFrame, order: Order) -> DataFrame:
+    """(entity, _rows, _size) of the entities with more than ``hot_rows`` rows; _size is the rows of a chunk."""
+    counts = df.groupBy(order.entity).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.where(F.col("_rows") > order.hot_rows).withColumn("_size", F.lit(order.hot_rows).cast("bigint"))
 
 
-def hot_entities(df: DataFrame, order: Order) -> DataFrame:
-    """(entity, n, lo, hi, size): entities above a shuffle partition's fair share, and their chunk size."""
-    second = F.col(order.second).cast("double")
-    stats = df.groupBy(order.entity).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(second).alias("_lo"), F.max(second).alias("_hi")
-    )
-    share = F.floor(stats.agg(F.sum("_rows")).scalar() / MAX_HOT)
-    limit = F.greatest(F.lit(order.hot_rows), share)
-    return stats.where(F.col("_rows") > limit).withColumn("_size", limit.cast("bigint"))
+def match(left: DataFrame, right: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that takes NULL keys as equal."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in columns})
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns]
+    return left.join(other, on, how).drop(*(f"_r_{c}" for c in columns))
 
 
 def with_hot(df: DataFrame, order: Order) -> Order:
@@ -89,22 +77,21 @@ def with_hot(df: DataFrame, order: Order) -> Order:
 
 
 def positions(df: DataFrame, order: Order, hot: DataFrame) -> DataFrame:
-    """Rows of hot entities with ``_pos``, their zero-based place in the entity, found slice by slice.
+    """Rows of hot entities with ``_pos``, their zero-based place in the entity.
 
-    Slices are equal spans of seconds; counting them first tells each slice how many rows precede it.
+    The rows are range-partitioned in their order, so a partition holds an even share of rows whatever the spread of
+    seconds; counting (partition, entity) tells each how many rows precede it. They are written once, because a range
+    exchange that is run again may draw other bounds.
     """
-    span = (F.col("_hi") - F.col("_lo") + 1) * F.col("_size") / F.col("_rows")
-    part = F.floor((F.col(order.second).cast("double") - F.col("_lo")) / span)
-    sliced = df.join(F.broadcast(hot), order.entity).withColumn("_slice", part)
-    counts = sliced.groupBy(order.entity, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    rows = match(df, hot, [order.entity])
+    ranged = rows.repartitionByRange(*order.keys).withColumn("_slice", F.spark_partition_id())
+    ranged = settled(ranged)
+    counts = ranged.groupBy(order.entity, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(order.entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(order.entity, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     within = Window.partitionBy(order.entity, "_slice").orderBy(*order.by)
-    return (
-        sliced.join(F.broadcast(offsets), [order.entity, "_slice"])
-        .withColumn("_pos", F.col("_off") + F.row_number().over(within) - 1)
-        .drop("_slice", "_off", "_lo", "_hi")
-    )
+    placed = match(ranged, offsets, [order.entity, "_slice"])
+    return placed.withColumn("_pos", F.col("_off") + F.row_number().over(within) - 1).drop("_slice", "_off")
 
 
 def uncut(df: DataFrame) -> DataFrame:
@@ -123,11 +110,11 @@ def chunked(
     chain that spares running the chain once more just to count.
     """
     hot = order.hot if hot is None else hot
-    if hot is None and not may_be_hot(df, order):
+    hot = settled(hot_entities(df, order)) if hot is None else hot
+    if hot.isEmpty():
         return uncut(df)
-    hot = hot_entities(df, order) if hot is None else hot
     hot = hot.withColumn("_size", F.greatest("_size", F.lit(before + after + 1)))
-    plain = uncut(df.join(F.broadcast(hot.select(order.entity)), order.entity, "left_anti").select(*df.columns))
+    plain = uncut(match(df, hot.select(order.entity), [order.entity], "left_anti").select(*df.columns))
     plain = plain.selectExpr("*", *(f"CAST(NULL AS BIGINT) AS {c}" for c in ("_pos", "_size", "_rows")))
     home = F.floor(F.col("_pos") / F.col("_size"))
     place = F.col("_pos") % F.col("_size")
@@ -206,7 +193,7 @@ def islands(chunks: DataFrame, order: Order, flags: dict[str, Column], before: i
         ]
     carry = per_chunk.select(order.entity, "_chunk", *carried)
 
-    local = local.join(F.broadcast(carry), [order.entity, "_chunk"], "left")
+    local = match(local, carry, [order.entity, "_chunk"], "left")
     final = {}
     for n in flags:
         final[f"{n}_id"] = F.col(f"{n}_id") + F.coalesce(F.col(f"cn_{n}"), F.lit(0))

@@ -39,9 +39,12 @@ def feature_rows(rows: DataFrame, order: Order, s: Sampling) -> DataFrame:
     return segment_features(rows, order, s.max_gap)
 
 
-def training_stats(features: DataFrame, order: Order, s: Sampling) -> DataFrame:
-    """Normalisation statistics over the slots of the fixed-stride training windows."""
-    weighted = A.slot_weights(features, order, s.length, s.max_gap, s.stride, s.context)
+def training_stats(features: DataFrame, order: Order, s: Sampling, config: DataFrame | None = None) -> DataFrame:
+    """Normalisation statistics over the slots of the training windows that ``samples`` builds."""
+    weighted = A.slot_weights(
+        features, order, s.length, s.max_gap, s.stride, s.context,
+        adaptive=s.adaptive, config=config, ratio=s.stride_ratio, low=s.min_stride, high=s.max_stride,
+    )
     return N.feature_stats(weighted, FEATURE_NAMES, "slot_weight")
 
 

@@ -9,7 +9,7 @@ from fieldtrace.operators import anchors as A
 from fieldtrace.operators import segments as S
 from fieldtrace.operators.clean import jump_flags
 from fieldtrace.operators.features import segment_features
-from fieldtrace.operators.ordered import chunked, hot_entities, may_be_hot, with_hot
+from fieldtrace.operators.ordered import chunked, hot_entities, with_hot
 from fieldtrace.operators.smoothing import smooth_runs
 from fieldtrace.registry.views import ORDER, track
 
@@ -43,7 +43,6 @@ def same(left, right):
 @pytest.mark.parametrize("hot_rows", [30, 77, 499])
 def test_hot_entity_is_found_and_cut(spark, rows, hot_rows):
     order = replace(ORDER, hot_rows=hot_rows)
-    assert may_be_hot(rows, order)
     hot = hot_entities(rows, order).collect()
     assert 0 in {r.entity_id for r in hot}
     chunks = chunked(rows, order).where("_own").groupBy("entity_id", "_chunk").count().collect()
@@ -51,6 +50,19 @@ def test_hot_entity_is_found_and_cut(spark, rows, hot_rows):
     assert sum(r["count"] for r in chunks) == rows.count()
 
 
+@pytest.mark.parametrize("hot_rows", [50, 200])
+def test_null_and_stray_seconds_and_entities_are_kept(rows, hot_rows):
+    """NULL seconds, one far-off second and a NULL entity change neither the rows nor the size of a chunk."""
+    odd = rows.withColumn("second", F.expr("CASE WHEN tie % 10 = 0 THEN NULL WHEN tie = 7 THEN 4000000000 ELSE second END"))
+    odd = odd.withColumn("entity_id", F.expr("CASE WHEN entity_id = 0 THEN NULL ELSE entity_id END"))
+    order = replace(ORDER, hot_rows=hot_rows)
+    chunks = chunked(odd, order).where("_own").groupBy("entity_id", "_chunk").count().collect()
+    assert sum(r["count"] for r in chunks) == odd.count()
+    assert max(r["count"] for r in chunks if r["_chunk"] >= 0) <= hot_rows
+    same(S.row_positions(odd, order), S.row_positions(odd, WHOLE))
+    same(S.segments(odd, order, 2), S.segments(odd, WHOLE, 2))
+
+
 OPERATORS = {
     "segments": lambda df, o: S.segments(df, o, 2),
     "segment_runs": lambda df, o: S.segment_runs(df, o, "label", 2),
@@ -68,6 +80,7 @@ OPERATORS = {
     "consecutive": lambda df, o: A.consecutive_windows(df, o, 3, ["tie"]),
     "weights": lambda df, o: A.slot_weights(df, o, 6, 3, 4),
     "weights_centered": lambda df, o: A.slot_weights(df, o, 9, 3, 4, "centered"),
+    "weights_adaptive": lambda df, o: A.slot_weights(df, o, 6, GAP, 20, adaptive=True),
     "weights_one_segment": lambda df, o: A.slot_weights(df, o, 12, 10**6, 5, "centered"),
     "jumps": lambda df, o: jump_flags(df, o),
     "smoothing": lambda df, o: smooth_runs(df, o, "pred", [0, 3, 7], 5, per_chunk=4 if o.hot_rows < 10**6 else 10**6),
