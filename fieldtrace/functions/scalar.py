@@ -121,3 +121,8 @@ def clip_name(second: Column) -> Column:
 def date_in_name(name: Column) -> Column:
     """First yyyy-mm-dd in a file name, NULL when there is none."""
     return F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+
+
+def listed(text: str) -> list[str]:
+    """The non-empty items of a comma list, trimmed."""
+    return [item.strip() for item in text.split(",") if item.strip()]

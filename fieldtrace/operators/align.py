@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.coerce import to_label
+from fieldtrace.functions.scalar import listed
 from fieldtrace.schema import SPLITS, TRAJECTORY_COLUMNS
 
 
@@ -67,15 +68,37 @@ def filter_and_overlay(
     return rows.withColumn(label, to_label(label))
 
 
-def date_summary(aligned: DataFrame, trajectory: DataFrame, filtered: DataFrame, date: str = "date") -> DataFrame:
-    """Rows per date on each side and after filtering; a date missing on one side shows 0 there."""
+def on_dates(df: DataFrame, dates: str, date: str = "date") -> DataFrame:
+    """Rows of the dates in a comma list. ``isin`` on the plain column prunes partitions where the table has them."""
+    return df.where(F.col(date).isin(listed(dates)))
+
+
+def date_summary(
+    aligned: DataFrame, trajectory: DataFrame, filtered: DataFrame, date: str = "date", part: str | None = None,
+    label: str = "label", time: str = "frame_time",
+) -> DataFrame:
+    """Rows per date on each side and after filtering; a date missing on one side shows 0 there.
+
+    Also part_files (distinct values of ``part`` on the trajectory side, sorted; empty without that column),
+    class_counts (label -> filtered rows) and the filtered rows' time_start and time_end.
+    """
     kinds = ["trajectory_rows", "aligned_source_rows", "filtered_rows"]
     tagged = [
         df.select(date, *(F.lit(1 if k == kind else 0).alias(k) for k in kinds))
         for kind, df in zip(kinds, (trajectory, aligned, filtered))
     ]
     union = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    return union.groupBy(date).agg(*(F.sum(k).alias(k) for k in kinds))
+    rows = union.groupBy(date).agg(*(F.sum(k).alias(k) for k in kinds))
+    cells = filtered.groupBy(date, label).agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_a"), F.max(time).alias("_b"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(label).cast("int"), "_n")))
+    classes = cells.groupBy(date).agg(F.map_from_entries(pairs).alias("class_counts"), F.min("_a").alias("time_start"), F.max("_b").alias("time_end"))
+    none = F.array().cast("array<string>")
+    if part:
+        parts = trajectory.select(date, part).distinct().groupBy(date).agg(F.sort_array(F.collect_list(part)).alias("part_files"))
+        rows = rows.join(parts, date, "left").withColumn("part_files", F.coalesce("part_files", none))
+    else:
+        rows = rows.withColumn("part_files", none)
+    return rows.join(classes, date, "left")
 
 
 def split_of(date: Column, splits: dict[str, list[str]]) -> Column:

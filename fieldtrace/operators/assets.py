@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldtrace.functions.coerce import day
 from fieldtrace.functions.scalar import basename, clip_name, stem
 from fieldtrace.operators.align import examples
+from fieldtrace.operators.ordered import match
+from fieldtrace.sources.writers import settled
 
 # Fixed values of the published layout and report.
 CLIP_SECONDS = 1.0
@@ -16,6 +18,15 @@ VERIFY_EXAMPLES = 10
 ASSET_COLUMNS = ["frame_path", "audio_path", "video_path"]
 
 
+def by_first_row(df: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+    """Rows with the values of their entity's first row.
+
+    The small table is written first: with a plain exchange on both sides, adaptive skew handling can split the join
+    when one entity holds much of the data (and broadcast the table while it is small). NULL is an entity, too.
+    """
+    return match(df, settled(firsts), [key])
+
+
 def first_of_entity(df: DataFrame, columns: dict[str, Column], order: list, entity: str = "entity_id") -> DataFrame:
     """One row per entity with values of its first row in ``order``; combined on the map side."""
     values = F.struct(*(c.alias(n) for n, c in columns.items()))
@@ -29,14 +40,13 @@ def clip_path(root: str, split: Column, date: Column, entity: Column, second: Co
 def clip_plan(df: DataFrame, order: list, root: str, entity: str = "entity_id", split: str | None = "split") -> DataFrame:
     """Add the clip of every row: audio_path, audio_start_second, audio_duration_seconds.
 
-    The folder carries split and date of the entity's first row, not of the row itself. That per-entity table
-    is joined, so an entity with very many rows is split by adaptive skew handling (or the table broadcast).
+    The folder carries split and date of the entity's first row, not of the row itself.
     """
     named = {"_split": F.col(split) if split else F.lit("all"), "_date": day("frame_time")}
     firsts = first_of_entity(df, named, order, entity)
     path = clip_path(root, F.col("_split"), F.col("_date"), F.col(entity).cast("string"), F.col("second").cast("int"))
     return (
-        df.join(firsts, entity)
+        by_first_row(df, firsts, entity)
         .withColumns(
             {
                 "audio_path": path,
@@ -77,15 +87,27 @@ def silence_registry(plan: DataFrame, present: DataFrame, old: DataFrame) -> Dat
     return old.select("path").unionByName(gone).distinct()
 
 
+def clip_requests(plan: DataFrame, present: DataFrame, silence: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """Distinct (entity, second, audio_path) asked for, with _there, _silent and _written."""
+    asked = plan.where(F.col("second").isNotNull())
+    requests = asked.groupBy(entity, "second", "audio_path").agg(F.count(F.lit(1)).alias("_rows"))
+    requests = attach_asset_flag(requests, present, "audio_path", "_there")
+    requests = attach_asset_flag(requests, silence, "audio_path", "_silent")
+    return requests.withColumn("_written", F.col("_there") | F.col("_silent"))
+
+
+def silence_filled_seconds(plan: DataFrame, present: DataFrame, silence: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """(entity, second) of every requested clip that is silence only, as rows: their number has no bound."""
+    return clip_requests(plan, present, silence, entity).where(F.col("_silent") & ~F.col("_there")).select(entity, "second")
+
+
 def clip_coverage(plan: DataFrame, present: DataFrame, silence: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Per entity: requested, written, missing and silence-filled clips, second range, ok, first missing seconds.
 
-    A second asked for by several rows is one request.
+    A second asked for by several rows is one request; a row without a second asks for nothing. Which seconds were
+    filled with silence is a table of its own, ``silence_filled_seconds``.
     """
-    requests = plan.groupBy(entity, "second", "audio_path").agg(F.count(F.lit(1)).alias("_rows"))
-    requests = attach_asset_flag(requests, present, "audio_path", "_there")
-    requests = attach_asset_flag(requests, silence, "audio_path", "_silent")
-    requests = requests.withColumn("_written", F.col("_there") | F.col("_silent"))
+    requests = clip_requests(plan, present, silence, entity)
     totals = requests.groupBy(entity).agg(
         F.count(F.lit(1)).alias("requested_seconds"),
         F.count_if("_written").alias("written_clips"),
@@ -120,7 +142,7 @@ def rewrite_paths(df: DataFrame, order: list, frames: str, audio: str, videos: s
     A video is stored under the date of its first row. Frames and clips belong to one row, so theirs are local.
     """
     firsts = first_of_entity(df, {"_video_date": F.col("date")}, order, "source_video_path")
-    named = df.join(firsts, "source_video_path")
+    named = by_first_row(df, firsts, "source_video_path")
     video = F.concat_ws("/", F.lit(videos), F.col("_video_date"), basename(F.col("source_video_path")))
     return named.withColumns(
         {

@@ -79,8 +79,9 @@ def with_radius(
 
 
 def uniform_hash(seed: int, *keys) -> Column:
-    """A reproducible number in [0, 1) from a seed and key columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**53)) / float(2**53)
+    """A reproducible number in [0, 1) from a seed and key columns: twelve digits of an MD5 hash."""
+    text = F.concat_ws("#", *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
 def frame_dropout(
@@ -92,7 +93,7 @@ def frame_dropout(
     """
     p = max(0.0, min(float(p), 0.95))
     size = F.size(frames)
-    draws = F.transform(F.sequence(F.lit(0), size - 1), lambda i: uniform_hash(seed, *keys, i) < p)
+    draws = F.transform(F.col(frames), lambda _, i: uniform_hash(seed, *keys, i) < p)
     spared = F.floor(uniform_hash(seed + 1, *keys) * size).cast("int")
     everything = F.forall("_drop", lambda d: d)
     reference = F.get(F.col(frames), size - 1 if causal else F.floor(size / 2).cast("int"))

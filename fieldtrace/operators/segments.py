@@ -40,7 +40,7 @@ def row_positions(df: DataFrame, order: Order) -> DataFrame:
 
 
 def segment_bounds(df: DataFrame, order: Order, max_gap: float = 1.0) -> DataFrame:
-    """One row per segment: first and last position, first and last second, number of rows, longest inner gap."""
+    """One row per segment: first and last position, first and last second, number of rows."""
     rows = segments(df, order, max_gap)
     return rows.groupBy(order.entity, "segment_id").agg(
         F.min("pos").alias("first_pos"),

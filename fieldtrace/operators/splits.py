@@ -110,7 +110,9 @@ def cached_split(spark: SparkSession, path: str, compute) -> DataFrame:
     """The split stored at ``path``; computed by ``compute()`` and stored when there is none yet."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         compute().write.mode("ignore").parquet(path)
         return spark.read.parquet(path)
 

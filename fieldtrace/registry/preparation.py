@@ -134,8 +134,8 @@ def class_name(spark, sf):
 
 @BOOK.query("filter_dates", f"WITH {DATED} SELECT tie, date FROM dated WHERE date IN ('2024-01-03', '2024-01-17')")
 def filter_dates(spark, sf):
-    wanted = scalar.split_list(F.lit(" 2024-01-03, ,2024-01-17 "))
-    return dated(spark, sf).where(F.array_contains(wanted, F.col("date"))).select("tie", "date")
+    rows = dated(spark, sf)
+    return align.on_dates(rows, " 2024-01-03, ,2024-01-17 ").select("tie", "date")
 
 
 @BOOK.query(
@@ -160,8 +160,8 @@ def final_casts(spark, sf):
 
 @BOOK.query("lookup_in_set", f"WITH {TRACK} SELECT tie, label FROM track WHERE label IN (3, 7, 9)")
 def lookup_in_set(spark, sf):
-    ids = scalar.split_ids(F.lit("3, 7,9,"))
-    return track(spark, sf).where(F.array_contains(ids, F.col("label"))).select("tie", "label")
+    wanted = [int(x) for x in scalar.listed("3, 7,9,")]
+    return track(spark, sf).where(F.col("label").isin(wanted)).select("tie", "label")
 
 
 # Scalar functions.
@@ -337,11 +337,18 @@ def filter_and_overlay(spark, sf):
       SELECT strftime(fix_time, '%Y-%m-%d') AS date, 1 AS t, 0 AS a, 0 AS f FROM points
       UNION ALL SELECT date, 0, 1, 0 FROM aligned UNION ALL SELECT date, 0, 0, 1 FROM filtered)
     SELECT date, CAST(sum(t) AS BIGINT) AS trajectory_rows, CAST(sum(a) AS BIGINT) AS aligned_source_rows,
-      CAST(sum(f) AS BIGINT) AS filtered_rows FROM kinds GROUP BY date""",
+      CAST(sum(f) AS BIGINT) AS filtered_rows,
+      (SELECT coalesce(string_agg(DISTINCT 'part' || hour(fix_time) % 3, ',' ORDER BY 'part' || hour(fix_time) % 3), '') FROM points p WHERE strftime(p.fix_time, '%Y-%m-%d') = kinds.date) AS part_files,
+      (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM filtered f WHERE f.date = kinds.date GROUP BY label)) AS class_counts,
+      (SELECT min(fix_time) FROM filtered f WHERE f.date = kinds.date) AS time_start, (SELECT max(fix_time) FROM filtered f WHERE f.date = kinds.date) AS time_end
+      FROM kinds GROUP BY date""",
 )
 def date_summary(spark, sf):
-    traj = points(spark, sf).withColumn("date", coerce.day("fix_time"))
-    return align.date_summary(aligned(spark, sf), traj, filtered_frame(spark, sf))
+    part = F.concat(F.lit("part"), (F.hour("fix_time") % 3).cast("string"))
+    traj = points(spark, sf).withColumn("date", coerce.day("fix_time")).withColumn("part_file", part)
+    out = align.date_summary(aligned(spark, sf), traj, filtered_frame(spark, sf), part="part_file", time="fix_time")
+    cells = F.transform(F.map_entries("class_counts"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string")))
+    return out.withColumns({"part_files": joined("part_files"), "class_counts": F.array_join(cells, ",")})
 
 
 @BOOK.query("assign_split", f"WITH {SPLITTED} SELECT tie, split FROM splitted")
@@ -671,6 +678,11 @@ def clip_coverage(spark, sf):
     return assets.clip_coverage(*clips(spark, sf)).withColumn("missing_second_examples", joined("missing_second_examples"))
 
 
+@BOOK.query("silence_filled_seconds", f"WITH {COVERAGE} SELECT entity_id, second FROM seen WHERE silent AND NOT there")
+def silence_filled_seconds(spark, sf):
+    return assets.silence_filled_seconds(*clips(spark, sf))
+
+
 TOTALS = ", ".join(
     f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("requested_seconds", "written_clips", "missing_clips", "silence_filled_clips")
 )

@@ -396,6 +396,47 @@ for name, (length, back, context) in {
         ).select(*KEY, "slot_weight")
     )
 
+ADAPTIVE_WEIGHTS = f"""{SEG_RUNS},
+    sized AS (SELECT *, max(seg_pos) OVER (PARTITION BY entity_id, segment_id) AS last_pos FROM sr JOIN inferred USING (entity_id, segment_id, label)),
+    filled AS (SELECT a.entity_id, a.segment_id, greatest(0, least(a.last_pos, a.seg_pos - 4 + s.range)) AS seg_pos,
+        count(*) AS n FROM sized a, range(5) s WHERE run_pos % stride = 0 OR run_last GROUP BY 1, 2, 3),
+    weighted AS (SELECT seg.*, coalesce(n, 0) AS slot_weight FROM seg LEFT JOIN filled USING (entity_id, segment_id, seg_pos))"""
+
+
+def adaptive_weights(spark, sf):
+    return A.slot_weights(track(spark, sf), ORDER, 5, LONG_GAP, adaptive=True)
+
+
+@BOOK.query("slot_weight_adaptive", f"WITH {ADAPTIVE_WEIGHTS} SELECT entity_id, tie, slot_weight FROM weighted")
+def slot_weight_adaptive(spark, sf):
+    return adaptive_weights(spark, sf).select(*KEY, "slot_weight")
+
+
+@BOOK.query(
+    "feature_stats_adaptive",
+    f"""WITH {ADAPTIVE_WEIGHTS}, long_rows AS (UNPIVOT weighted ON {", ".join(RAW_FEATURES)} INTO NAME feature VALUE x),
+    means AS (SELECT feature, sum(x * slot_weight) / sum(slot_weight) AS mean, CAST(sum(slot_weight) AS BIGINT) AS rows FROM long_rows GROUP BY feature),
+    stats AS (SELECT feature, any_value(m.rows) AS rows, any_value(mean) AS mean, sqrt(sum(slot_weight * (x - mean) * (x - mean)) / any_value(m.rows)) AS std0
+      FROM long_rows JOIN means m USING (feature) GROUP BY feature)
+    SELECT feature, rows, {q6('mean', 'mean')}, {q6('CASE WHEN std0 < 1e-6 THEN 1 ELSE std0 END', 'std')} FROM stats""",
+)
+def feature_stats_adaptive(spark, sf):
+    return rounded(N.feature_stats(adaptive_weights(spark, sf), RAW_FEATURES, "slot_weight"), ["mean", "std"])
+
+
+@BOOK.query(
+    "stride_chain",
+    f"""WITH {SEG_RUNS} SELECT entity_id, tie, CASE WHEN label IN (2, 5) THEN 7 ELSE stride END AS stride
+    FROM sr JOIN inferred USING (entity_id, segment_id, label)""",
+)
+def stride_chain(spark, sf):
+    """Configured strides of two classes, inferred ones for the rest."""
+    rows = S.segment_runs(track(spark, sf), ORDER, "label", LONG_GAP)
+    inferred = A.inferred_stride(track(spark, sf), ORDER, "label", LONG_GAP)
+    config = track(spark, sf).select(F.col("label").alias("class_id"), F.lit(7).alias("stride")).where("class_id in (2, 5)").distinct()
+    return A.with_stride(rows, ["entity_id"], "label", inferred, config, 20, 1, 20).select(*KEY, "stride")
+
+
 STATS = f"""{weights_sql(6, 5)},
 long_rows AS (UNPIVOT weighted ON {", ".join(RAW_FEATURES)} INTO NAME feature VALUE x),
 means AS (SELECT feature, sum(x * slot_weight) / sum(slot_weight) AS mean, CAST(sum(slot_weight) AS BIGINT) AS rows

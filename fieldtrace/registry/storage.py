@@ -18,11 +18,11 @@ from fieldtrace.operators import stats as N
 from fieldtrace.operators.anchors import fixed_anchors
 from fieldtrace.operators.segments import behaviour_runs, with_class_name
 from fieldtrace.registry.book import BOOK, q6, r6, rounded
-from fieldtrace.registry.evaluation import MODEL_ROWS, MODELS, RAW, SCORES, model_rows
+from fieldtrace.registry.evaluation import EPOCH_COLUMNS, EPOCHS, MODEL_ROWS, MODELS, RAW, SCORES, STRATIFIED, epoch_frame, model_rows
 from fieldtrace.registry.preparation import splitted
-from fieldtrace.registry.sequences import GAP, NAMES, RECOMMENDED, RUNS, STATS, SUMMARY, stats_frame, summary_frame
+from fieldtrace.registry.sequences import GAP, NAMES, RECOMMENDED, RUNS, STATS, SUMMARY, SUMMARY_DOUBLES, stats_frame, summary_frame
 from fieldtrace.registry.views import DATED, ORDER, SPLITTED, TRACK, dated, segmented, table, track
-from fieldtrace.schema import PART_COLUMNS, RAW_FEATURES, SOURCE_COLUMNS, SPLITS
+from fieldtrace.schema import PART_COLUMNS, RAW_FEATURES, SOURCE_COLUMNS
 from fieldtrace.sources import readers, writers
 
 BACK = {new: old for old, new in SOURCE_COLUMNS.items()}
@@ -62,17 +62,26 @@ SLOT = "CAST(floor(epoch_us(fix_time) / 1e6) AS BIGINT) // 7200 * 7200"
 
 @BOOK.query(
     "read_parts",
-    f"""WITH {DATED} SELECT DISTINCT date, {SLOT} AS epoch_second, make_timestamp(({SLOT}) * 1000000) AS fix_time FROM dated""",
+    f"""WITH {DATED} SELECT * EXCLUDE (n) FROM (SELECT d.date, make_timestamp(({SLOT}) * 1000000) AS fix_time, {SLOT} AS epoch_second, lon, lat, speed, heading,
+      CASE WHEN CAST(right(d.date, 2) AS INTEGER) % 2 = 0 THEN depth END AS depth, label,
+      row_number() OVER (PARTITION BY d.date, {SLOT} ORDER BY lon, lat, speed, heading) AS n FROM dated d) WHERE n = 1""",
 )
 def read_parts(spark, sf):
-    """The track as one part per day, its times cut to two hours so that seconds repeat."""
+    """The track as one part per day, its times cut to two hours so that seconds repeat.
+
+    Odd days have their columns in another order and none for depth.
+    """
     path = writers.work_folder(spark)
     slot = F.floor(epoch_second("fix_time") / 7200) * 7200
     rows = dated(spark, sf).withColumn("fix_time", time_text(F.to_timestamp_ntz(F.lit("1970-01-01")) + F.make_dt_interval(secs=slot)))
-    rows = rows.select("date", "fix_time", "heading", "label", "lon", "lat", "speed", "depth")
     back = {new: old for old, new in PART_COLUMNS.items()}
-    rows.withColumnsRenamed(back).write.partitionBy("date").mode("overwrite").option("header", True).csv(path)
-    return readers.read_parts(spark, f"{path}/*/*.csv", dated_by="file_path").select("date", "epoch_second", "fix_time")
+    odd = F.right("date", F.lit(2)).cast("int") % 2 == 1
+    columns = ["fix_time", "heading", "label", "lon", "lat", "speed"]
+    for folder, days, names in (("even", ~odd, [*columns, "depth"]), ("odd", odd, columns[::-1])):
+        part = rows.where(days).select("date", *names).withColumnsRenamed(back)
+        part.write.partitionBy("date").mode("overwrite").option("header", True).csv(f"{path}/{folder}")
+    points = readers.read_parts(spark, f"{path}/*/*/*.csv", dated_by="file_path")
+    return points.select("date", "fix_time", "epoch_second", "lon", "lat", "speed", "heading", "depth", "label")
 
 
 @BOOK.query(
@@ -96,15 +105,17 @@ def read_write_stats(spark, sf):
 
 @BOOK.query(
     "asset_inventory",
-    f"WITH {SPLITTED} SELECT DISTINCT split FROM splitted",
+    """WITH files AS (SELECT source || '/clip' || (doc_id % 97) || CASE doc_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END AS path, n_chars AS length FROM documents),
+    ranked AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, CASE right(path, 4) WHEN '.mp4' THEN 1 WHEN '.avi' THEN 2 ELSE 0 END AS rank FROM files),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, path, length) AS n FROM ranked WHERE rank > 0)
+    SELECT name, path, length FROM firsts WHERE n = 1""",
 )
 def asset_inventory(spark, sf):
-    path = writers.work_folder(spark)
-    rows = splitted(spark, sf).select("split", "entity_id", "second", "tie")
-    for name in SPLITS:
-        rows.where(F.col("split") == name).write.parquet(f"{path}/split={name}")
-    found = readers.asset_inventory(spark, path, [".parquet"])
-    return found.select(F.regexp_extract("path", "split=([a-z]+)/", 1).alias("split")).distinct()
+    """Documents as a listing of clips: base names repeat between folders, and one suffix comes before the other."""
+    suffix = F.expr("CASE doc_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END")
+    path = F.concat("source", F.lit("/clip"), (F.col("doc_id") % 97).cast("string"), suffix)
+    files = table(spark, sf, "documents").select(path.alias("path"), F.col("n_chars").alias("length"))
+    return readers.pick_assets(files, [".mp4", ".avi"])
 
 
 def wav_files(spark, sf):
@@ -135,8 +146,9 @@ def wav_files(spark, sf):
     FROM (SELECT vec_id, r.range FROM embeddings, range(48) r) r LEFT JOIN m ON m.vec_id = r.vec_id AND m.i = r.range GROUP BY r.vec_id, r.range""",
 )
 def read_waveforms(spark, sf):
-    clips = readers.decode_waveforms(wav_files(spark, sf), 48)
-    return clips.select("path", F.posexplode("waveform").alias("i", "x")).withColumn("x", r6(F.col("x").cast("double")))
+    rows = table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("audio_path"))
+    clips = readers.attach_waveforms(rows, wav_files(spark, sf), "", "audio_path", 48)
+    return clips.select(F.col("audio_path").alias("path"), F.posexplode("waveform").alias("i", "x")).withColumn("x", r6(F.col("x").cast("double")))
 
 
 @BOOK.query(
@@ -147,8 +159,11 @@ def read_waveforms(spark, sf):
 def frame_refs(spark, sf):
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".jpg"))
     docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", name).alias("frame_path"))
-    inventory = table(spark, sf, "labels").select(name.alias("name"))
-    return readers.frame_refs(docs, inventory).select("doc_id", "frame_name", "is_missing")
+    # Frames of documents without a label exist only in another folder, under the same base name.
+    labelled = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("_there"))
+    folder = F.when(F.col("_there"), F.col("source")).otherwise(F.lit("elsewhere"))
+    inventory = table(spark, sf, "documents").join(labelled, "doc_id", "left").select(F.concat_ws("/", F.lit("/frames"), folder, name).alias("path"))
+    return readers.frame_refs(docs, inventory, root="/frames").select("doc_id", "frame_name", "is_missing")
 
 
 @BOOK.query("write_split", f"WITH {SPLITTED} SELECT split, entity_id, second, tie FROM splitted")
@@ -159,13 +174,13 @@ def write_split(spark, sf):
     return spark.read.parquet(path).select("split", "entity_id", "second", "tie")
 
 
-@BOOK.query("write_by_date", f"WITH {DATED} SELECT date, tie FROM dated WHERE date >= '2024-01-10'")
+@BOOK.query("write_by_date", f"WITH {DATED} SELECT date, tie FROM dated")
 def write_by_date(spark, sf):
     path = writers.work_folder(spark)
     rows = dated(spark, sf).select("date", "frame_time", "entity_id", "second", "tie")
     writers.write_by_date(rows, path, ["frame_time", "entity_id", "second", "tie"])
     back = spark.read.parquet(path).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
-    return back.where("date >= '2024-01-10'").select("date", "tie")
+    return back.select("date", "tie")
 
 
 @BOOK.query(
@@ -202,6 +217,25 @@ def write_segments(spark, sf):
     return spark.read.option("header", True).schema(", ".join(f"{c} {k}" for c, k in zip(columns, kinds))).csv(path)
 
 
+@BOOK.query(
+    "write_duration_summary",
+    f"WITH {SUMMARY} SELECT class_id, {NAMES} AS class_name, segment_count, total_seconds, {', '.join(q6(c, c) for c in SUMMARY_DOUBLES)} FROM summary",
+)
+def write_duration_summary(spark, sf):
+    path = writers.work_folder(spark)
+    rows = summary_frame(spark, sf)
+    writers.write_table(rows, path)
+    return rounded(spark.read.option("header", True).schema(rows.schema).csv(path), SUMMARY_DOUBLES)
+
+
+@BOOK.query("write_epoch_metrics", f"SELECT epoch, {', '.join(q6(c, c) for c in EPOCH_COLUMNS)} FROM ({EPOCHS})")
+def write_epoch_metrics(spark, sf):
+    path = writers.work_folder(spark)
+    rows = epoch_frame(spark, sf)
+    writers.write_table(rows, path)
+    return rounded(spark.read.option("header", True).schema(rows.schema).csv(path), EPOCH_COLUMNS)
+
+
 @BOOK.query("write_per_class_metrics", f"WITH {RAW} SELECT class_id, {', '.join(q6(s, s) for s in SCORES)}, support FROM scores")
 def write_per_class_metrics(spark, sf):
     path = writers.work_folder(spark)
@@ -211,16 +245,15 @@ def write_per_class_metrics(spark, sf):
     return rounded(back, SCORES)
 
 
-@BOOK.query("read_model_metrics", f"WITH {MODEL_ROWS} SELECT model, class_id, {', '.join(q6(s, s) for s in SCORES)}, support FROM model_scores WHERE model IN ('audio', 'gate')")
+@BOOK.query("read_model_metrics", f"WITH {MODEL_ROWS} SELECT model, class_id, {', '.join(q6(s, s) for s in SCORES)}, support FROM model_scores")
 def read_model_metrics(spark, sf):
     root = writers.work_folder(spark)
     for model in MODELS:
-        if model in ("audio", "gate"):
-            writers.write_table(M.per_class_metrics(model_rows(spark, sf, model), "label", "pred").drop("predicted"), f"{root}/{model}")
+        writers.write_table(M.per_class_metrics(model_rows(spark, sf, model), "label", "pred").drop("predicted"), f"{root}/{model}")
     return rounded(readers.read_model_metrics(spark, f"{root}/*/*.csv"), SCORES)
 
 
-@BOOK.query("split_cache")
+@BOOK.query("split_cache", STRATIFIED)
 def split_cache(spark, sf):
     path = writers.work_folder(spark) + "/split"
     SP.cached_split(spark, path, lambda: SP.stratified_entity_split(track(spark, sf)))

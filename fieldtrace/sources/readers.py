@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +32,15 @@ def read_text_columns(spark: SparkSession, paths, columns: list[str] | None = No
 def read_aligned(spark: SparkSession, paths, columns: list[str] | None = None, fill: float | None = 0.0) -> DataFrame:
     """Aligned per-second rows under ASCII names, with times, integers and numbers parsed.
 
-    Unreadable positions become ``fill``; extra columns are carried through as text.
+    Unreadable positions become ``fill``, an unreadable epoch second -1; extra columns are carried through as text.
     """
     raw = read_text_columns(spark, paths, columns).withColumnsRenamed(SOURCE_COLUMNS)
     require_columns(raw, ["entity_id", "frame_time", "second", "label", *NUMBERS])
     parsed = {c: coerce.to_number(c, fill) for c in NUMBERS}
+    parsed |= {c: coerce.to_number(c) for c in ("did",) if c in raw.columns}
+    parsed |= {c: coerce.to_number(c).cast("bigint") for c in ("frame_number",) if c in raw.columns}
+    # A row without a readable epoch second matches no trajectory point.
+    parsed |= {c: F.coalesce(coerce.to_number(c).cast("bigint"), F.lit(-1).cast("bigint")) for c in ("epoch_second",) if c in raw.columns}
     parsed |= {"second": coerce.to_number("second").cast("bigint"), "label": coerce.to_label("label")}
     parsed |= {c: coerce.to_time(c) for c in ("frame_time", "fix_time") if c in raw.columns}
     return raw.withColumns(parsed)
@@ -53,14 +58,42 @@ def normalise_part(raw: DataFrame) -> DataFrame:
     return raw.withColumns(absent) if absent else raw
 
 
+def files_by_header(spark: SparkSession, paths, names: set[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files that start with them. A header is a line that holds one of ``names`` as a field.
+
+    Headers are found by one filtered scan; the driver gets one line per file.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    fields = F.split(F.regexp_replace("value", "[\"\ufeff\r]", ""), ",")
+    headers = lines.where(F.arrays_overlap(fields, F.array(*map(F.lit, sorted(names))))).select("file", fields.alias("fields"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in headers.groupBy("file").agg(F.first("fields").alias("fields")).orderBy("file").collect():
+        found.setdefault(tuple(row["fields"]), []).append(unquote(row["file"]))
+    return found
+
+
+def read_by_name(spark: SparkSession, paths, names: set[str], dated_by: str) -> DataFrame:
+    """CSV files of unlike headers as text columns matched by name; absent ones are NULL. Adds part_file."""
+    out = None
+    for fields, files in files_by_header(spark, paths, names).items():
+        part = read_text_columns(spark, files, list(fields)).select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header that names one of {sorted(names)}")
+    return out
+
+
 def read_parts(spark: SparkSession, paths, columns: list[str] | None = None, dated_by: str = "file_name") -> DataFrame:
-    """Trajectory points of all parts, one row per (date, second), the earliest one. One scan over all files.
+    """Trajectory points of all parts, one row per (date, second), the earliest one.
 
-    The date comes from the file name, or from the whole path with ``dated_by="file_path"``; files without a date
+    Files may differ in the columns they have and in their order: each is read by its own header. Naming ``columns``
+    says that all files have just these, in this order, and spares the look at the headers. The date comes from the file name, or from the whole path with ``dated_by="file_path"``; files without a date
     are ignored.
     """
-    raw = read_text_columns(spark, paths, columns)
-    raw = raw.select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
+    if columns:
+        raw = read_text_columns(spark, paths, columns).select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
+    else:
+        raw = read_by_name(spark, paths, {name for name in ("fix_time", *PART_COLUMNS) if PART_COLUMNS.get(name, name) == "fix_time"}, dated_by)
     raw = raw.withColumn("date", date_in_name(F.col("part_file"))).where(F.col("date").isNotNull())
     points = normalise_part(raw).select("date", "part_file", *TRAJECTORY_COLUMNS)
     return keep_first(points, ["date", "epoch_second"], ["fix_time", "part_file", "lon", "lat", "speed", "heading"])
@@ -93,7 +126,11 @@ def asset_inventory(spark: SparkSession, root: str, suffixes: list[str]) -> Data
 
     Suffixes are ranked by their place in the list, then paths by name. Contents are not read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return pick_assets(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), suffixes)
+
+
+def pick_assets(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """``asset_inventory`` over a listing (path, length), for trees too large for the driver to list."""
     suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     rank = F.array_position(F.array(*map(F.lit, suffixes)), suffix)
     found = files.withColumns({"name": basename(F.col("path")), "_rank": rank}).where("_rank > 0")
@@ -103,6 +140,8 @@ def asset_inventory(spark: SparkSession, root: str, suffixes: list[str]) -> Data
 def decode_pcm16(content: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and mono samples in [-1, 1) of a 16-bit PCM clip."""
     with wave.open(io.BytesIO(content)) as clip:
+        if clip.getsampwidth() != 2:
+            raise ValueError(f"clip has samples of {clip.getsampwidth()} bytes, not 2")
         samples = np.frombuffer(clip.readframes(clip.getnframes()), dtype="<i2").astype(np.float32) / 32768.0
         return clip.getframerate(), samples.reshape(-1, clip.getnchannels()).mean(axis=1)
 
@@ -128,17 +167,30 @@ def decode_waveforms(files: DataFrame, sample_rate: int = 16000) -> DataFrame:
 def read_waveforms(rows: DataFrame, root: str, path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
     """Add waveform to rows whose ``path`` is relative to ``root``; NULL where there is no such file."""
     reader = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
-    clips = decode_waveforms(reader.load(root), sample_rate)
-    place = root.rstrip("/") + "/"
-    named = clips.withColumn(path, F.substring_index("path", place, -1)).select(path, "waveform")
-    return rows.join(named, path, "left")
+    return attach_waveforms(rows, reader.load(root), root, path, sample_rate)
 
 
-def frame_refs(rows: DataFrame, inventory: DataFrame, path: str = "frame_path") -> DataFrame:
-    """Add frame_name and is_missing: frames the inventory lacks get a placeholder downstream."""
+def below(root: str, path) -> Column:
+    """The part of a path below ``root``."""
+    return F.substring_index(path, root.rstrip("/") + "/", -1) if root else F.col(path)
+
+
+def attach_waveforms(rows: DataFrame, files: DataFrame, root: str = "", path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
+    """``read_waveforms`` over (path, content): only the clips that some row names are decoded."""
+    wanted = rows.select(F.col(path).alias("path")).where("path is not null").distinct()
+    named = files.select(below(root, "path").alias("path"), "content").join(wanted, "path", "left_semi")
+    clips = decode_waveforms(named, sample_rate).withColumnRenamed("path", path)
+    return rows.join(clips, path, "left")
+
+
+def frame_refs(rows: DataFrame, inventory: DataFrame, path: str = "frame_path", root: str = "") -> DataFrame:
+    """Add frame_name and is_missing: frames the inventory lacks get a placeholder downstream.
+
+    A frame is there when the inventory's ``path``, below ``root``, is the row's whole path; base names may repeat.
+    """
     named = rows.withColumn("frame_name", basename(F.col(path)))
-    known = inventory.select(F.col("name").alias("frame_name"), F.lit(False).alias("is_missing"))
-    return named.join(known, "frame_name", "left").withColumn("is_missing", F.coalesce("is_missing", F.lit(True)))
+    known = inventory.select(below(root, "path").alias(path)).distinct().withColumn("is_missing", F.lit(False))
+    return named.join(known, path, "left").withColumn("is_missing", F.coalesce("is_missing", F.lit(True)))
 
 
 def read_model_metrics(spark: SparkSession, glob: str) -> DataFrame:
