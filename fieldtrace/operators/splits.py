@@ -1,17 +1,30 @@
 """Splits by entity or by sample, and hash-driven sampling.
 
 Random order comes from a hash of the key and a seed, so results repeat and do not depend on partitioning.
-Ranks are counted bucket by bucket of the hash's leading digits: no window ever holds a whole class or table.
+Ranks are counted bucket by bucket of the hash's leading digits: no window ever holds a whole class or table, and the
+number of buckets follows the number of rows.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
-# Leading hex digits of the hash that make a bucket: 16^3 buckets, each a 4096th of the rows.
-BUCKET_DIGITS = 3
+from fieldtrace.operators.ordered import match
+from fieldtrace.sources.writers import settled
+
+# Rows that a bucket of the hash should hold, and cells that one node of a level stands for.
+BUCKET_ROWS = 16_384
+BASE = 4096
+
+
+def bucket_digits(rows: int) -> int:
+    """Leading hex digits of the hash that cut ``rows`` rows into buckets of ``BUCKET_ROWS``."""
+    digits = 0
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def shuffle_key(seed: int, *keys: str) -> Column:
@@ -22,10 +35,11 @@ def shuffle_key(seed: int, *keys: str) -> Column:
 def hash_rank(df: DataFrame, key: Column, group: list[str]) -> DataFrame:
     """Add rank (from 0, by hash, within ``group``) and group_rows.
 
-    ``group`` has to have few distinct values: offsets per (group, bucket) are a table of at most
-    16^BUCKET_DIGITS rows per group, which is broadcast.
+    The rows are counted once to choose the buckets; offsets per (group, bucket) are one row for many, joined without
+    a hint.
     """
-    rows = df.withColumn("_hash", key).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    digits = bucket_digits(df.count())
+    rows = df.withColumn("_hash", key).withColumn("_bucket", F.substring("_hash", 1, digits))
     counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     if not group:
         counts = counts.withColumn("_g", F.lit(0))
@@ -39,7 +53,7 @@ def hash_rank(df: DataFrame, key: Column, group: list[str]) -> DataFrame:
         F.sum("_n").over(Window.partitionBy(*by)).alias("group_rows"),
     )
     within = Window.partitionBy(*by, "_bucket").orderBy("_hash")
-    ranked = rows.join(F.broadcast(offsets), [*by, "_bucket"])
+    ranked = match(rows, offsets, [*by, "_bucket"])
     ranked = ranked.withColumn("rank", F.col("_off") + F.row_number().over(within) - 1)
     return ranked.drop("_hash", "_bucket", "_off", "_g")
 
@@ -117,50 +131,71 @@ def cached_split(spark: SparkSession, path: str, compute) -> DataFrame:
         return spark.read.parquet(path)
 
 
+def cover(first: Column, last: Column, levels: int) -> Column:
+    """Nodes (level, node) that tile the cells first..last; a node of level l stands for BASE^l cells.
+
+    Per level at most 2 * BASE nodes lie at the ends of the span; what is between goes to the next level, so the array
+    stays short however long the span is. Empty when last < first.
+    """
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def nodes(level: int, a: Column, b: Column) -> Column:
+        made = F.transform(F.sequence(a, b), lambda n: F.struct(F.lit(level).alias("level"), n.cast("bigint").alias("node")))
+        return F.when(a <= b, made).otherwise(none)
+
+    parts = []
+    for level in range(levels):
+        up_first, up_last = F.ceil(first / BASE).cast("bigint"), (F.floor((last + 1) / BASE) - 1).cast("bigint")
+        whole = F.lit(True) if level == levels - 1 else F.coalesce(up_last < up_first, F.lit(True))
+        parts.append(F.when(whole, nodes(level, first, last)).otherwise(nodes(level, first, up_first * BASE - 1)))
+        parts.append(F.when(whole, none).otherwise(nodes(level, (up_last + 1) * BASE, last)))
+        first, last = F.when(~whole, up_first), F.when(~whole, up_last)
+    return F.concat(*parts)
+
+
 def weighted_resample(samples: DataFrame, keys: list[str], weight: str = "weight", seed: int = 42) -> DataFrame:
     """As many draws as samples, with replacement, each sample in proportion to its weight; adds draw.
 
-    Samples own an interval of the running weight total; draw i is a hash-made point in it. Totals are summed per
-    hash bucket first. Points and intervals meet on equal-width cells, as many cells as draws, so a cell holds about
-    one point and a heavy sample spreads over the many cells it covers. ``samples`` is read several times: settle it
+    Samples own an interval of the running weight total in hash order; draw i is a hash-made point in it. Points and
+    intervals meet on equal-width cells, as many as draws, so a cell holds about one point. An interval is tested in
+    the cells of its two ends; the cells between are tiled by ``cover``. ``samples`` is read several times: settle it
     first when it is the end of a long chain.
     """
-    rows = samples.withColumn("_hash", shuffle_key(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    sums = rows.groupBy("_bucket").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    table = sums.agg(F.array_sort(F.collect_list(F.struct("_bucket", "_w", "_n"))).alias("t"))
-    # At most 4096 entries: running totals are folded in one row and come back as constants.
-    folded = F.aggregate(
-        "t",
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<b:string,off:double>>").alias("offs")),
-        lambda acc, x: F.struct(
-            (acc["sum"] + x["_w"]).alias("sum"),
-            (acc["n"] + x["_n"]).alias("n"),
-            F.array_append(acc["offs"], F.struct(x["_bucket"].alias("b"), acc["sum"].alias("off"))).alias("offs"),
-        ),
-    )
-    totals = table.select(folded.alias("f")).select("f.sum", "f.n", "f.offs")
-    offsets = totals.select(F.inline("offs").alias("_bucket", "_off"))
-    total, n = totals.select("sum").scalar(), totals.select("n").scalar()
+    n = samples.count()
+    digits = bucket_digits(n)
+    levels = 1
+    while n > BASE**levels:
+        levels += 1
+    rows = samples.withColumn("_hash", shuffle_key(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    # Running totals in two steps, over buckets of a leading half of the digits and over those.
+    half = F.substring("_bucket", 1, digits // 2)
+    sums = settled(rows.groupBy("_bucket").agg(F.sum(weight).alias("_w")).withColumn("_half", half))
+    tops = sums.groupBy("_half").agg(F.sum("_w").alias("_t"))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_half", F.coalesce(F.sum("_t").over(before(Window.orderBy("_half"))), F.lit(0.0)).alias("_top"))
+    inside = F.coalesce(F.sum("_w").over(before(Window.partitionBy("_half").orderBy("_bucket"))), F.lit(0.0))
+    offsets = sums.join(tops, "_half").select("_bucket", (F.col("_top") + inside).alias("_off"))
+    total = sums.agg(F.sum("_w")).first()[0] or 0.0
     within = Window.partitionBy("_bucket").orderBy("_hash")
     upto = F.col("_off") + F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.join(F.broadcast(offsets), "_bucket").withColumns({"_hi": upto})
+    placed = rows.join(offsets, "_bucket").withColumns({"_hi": upto})
     placed = placed.withColumn("_lo", F.coalesce(F.lag("_hi").over(within), F.col("_off")))
-    placed = placed.withColumns({"_total": total, "_cells": n})
     # The last interval is closed upward, so rounding of the running sums leaves no point outside.
-    last = F.col("_hi") >= F.col("_total") * (1 - 1e-12)
-    placed = placed.withColumn("_hi", F.when(last, F.col("_total") * 2).otherwise(F.col("_hi")))
+    last = F.col("_hi") >= F.lit(total * (1 - 1e-12))
+    placed = placed.withColumn("_hi", F.when(last, F.lit(total * 2)).otherwise(F.col("_hi")))
 
     def cell(x: Column) -> Column:
-        return F.least(F.floor(x / F.col("_total") * F.col("_cells")), F.col("_cells") - 1)
+        return F.least(F.floor(x / F.lit(total or 1.0) * n), F.lit(n - 1)).cast("bigint")
 
-    spans = placed.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    ends = F.array_distinct(F.array(*(F.struct(F.lit(0).alias("level"), cell(F.col(c)).alias("node")) for c in ("_lo", "_hi"))))
+    spans = placed.withColumn("_at", F.explode(F.concat(ends, cover(cell(F.col("_lo")) + 1, cell(F.col("_hi")) - 1, levels))))
+    spans = spans.select(*samples.columns, "_lo", "_hi", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
     unit = F.conv(F.substring(shuffle_key(seed + 1, *keys), 1, 12), 16, 10).cast("double") / float(16**12)
-    draws = samples.select(shuffle_key(seed + 2, *keys).alias("draw"), unit.alias("_u"))
-    draws = draws.withColumns({"_total": total, "_cells": n})
-    draws = draws.withColumn("_point", F.col("_u") * F.col("_total")).withColumn("_cell", cell(F.col("_point")))
+    draws = samples.select(shuffle_key(seed + 2, *keys).alias("draw"), (unit * F.lit(total)).alias("_point"))
+    above = F.array(*(F.struct(F.lit(i).alias("level"), F.floor(cell(F.col("_point")) / BASE**i).cast("bigint").alias("node")) for i in range(levels)))
+    draws = draws.withColumn("_at", F.explode(above)).select("draw", "_point", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
     hit = (F.col("_point") >= F.col("_lo")) & (F.col("_point") < F.col("_hi"))
-    drawn = draws.select("draw", "_point", "_cell").join(spans, "_cell").where(hit)
-    return drawn.select(*samples.columns, "draw")
+    return draws.join(spans, ["_level", "_node"]).where(hit).select(*samples.columns, "draw")
 
 
 def shuffle_samples(samples: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:

@@ -79,10 +79,17 @@ def sample_weights_boost(spark, sf):
     return rounded(out, ["weight"]).select(*KEY, "weight")
 
 
-@BOOK.query("weighted_resample")
+@BOOK.query(
+    "weighted_resample",
+    f"""WITH {COUNTS}, w AS (SELECT entity_id, tie, label, pow(n, -0.5) AS weight, entity_id || '#' || tie AS k FROM anchor JOIN counts ON label = class_id),
+    spans AS (SELECT *, sum(weight) OVER (ORDER BY md5(k || '#42')) AS hi, sum(weight) OVER () AS total FROM w),
+    held AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo FROM spans),
+    points AS (SELECT md5(k || '#44') AS draw, ('0x' || substr(md5(k || '#43'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * total AS point FROM spans)
+    SELECT entity_id, tie, label, {q6('weight', 'weight')}, draw FROM points ASOF JOIN held ON point >= lo""",
+)
 def weighted_resample(spark, sf):
     weighted = settled(N.sample_weights(anchors(spark, sf)).select(*KEY, "label", "weight"))
-    return SP.weighted_resample(weighted, KEY)
+    return rounded(SP.weighted_resample(weighted, KEY), ["weight"])
 
 
 @BOOK.query("shuffle_samples", f"WITH {ANCHORS} SELECT entity_id, tie, label FROM anchor")
@@ -223,7 +230,20 @@ def radius_for_class(spark, sf):
     return out.select(*KEY, "radius")
 
 
-@BOOK.query("frame_dropout")
+def dropout_unit(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+FRAMES = slots_sql("8 - 4 + i.range", 5, 8, 0, 9)
+DROPPED = f"""WITH clips AS ({FRAMES}), each AS (
+    SELECT entity_id, tie, i.range AS i, string_split(frames, ',') AS f, {dropout_unit("entity_id || '#' || tie || '#' || i.range || '#42'")} < 0.4::DOUBLE AS drop,
+      CAST(floor({dropout_unit("entity_id || '#' || tie || '#43'")} * 5) AS INTEGER) AS spared FROM clips, range(5) i),
+    marked AS (SELECT *, bool_and(drop) OVER (PARTITION BY entity_id, tie) AS everything FROM each)
+    SELECT entity_id, tie, string_agg(CASE WHEN drop AND NOT (everything AND i = spared) THEN f[5] ELSE f[i + 1] END, ',' ORDER BY i) AS frames
+    FROM marked GROUP BY 1, 2"""
+
+
+@BOOK.query("frame_dropout", DROPPED)
 def frame_dropout(spark, sf):
     rows = FR.frames_at(FR.select_frames(samples(spark, sf), "nearest_causal", 5), "tie")
     return FR.frame_dropout(rows, 0.4, KEY).select(*KEY, joined("frames").alias("frames"))
