@@ -48,12 +48,12 @@ def cleaned_dataset(
     """Cleaned rows with split, target paths and the published columns (plus date).
 
     The cleaned rows are written to the work folder once: finding each video's first row and placing the rows
-    both read them.
+    both read them. So is the placed dataset, which the writers and the reports read several times.
     """
     cleaned = settled(clean.clean_rows(require_columns(rows, CLEAN_INPUT_COLUMNS), first_by, order))
     placed = align.assign_split(cleaned, splits)
     placed = assets.rewrite_paths(placed, order.by, layout.frames, layout.audio, layout.videos)
-    return placed.select(*ANCHOR_COLUMNS, "date")
+    return settled(placed.select(*ANCHOR_COLUMNS, "date"))
 
 
 def write_dataset(dataset: DataFrame, root: str, file_format: str = "parquet") -> None:

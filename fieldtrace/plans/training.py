@@ -10,9 +10,10 @@ from fieldtrace.operators import anchors as A
 from fieldtrace.operators import durations as D
 from fieldtrace.operators import stats as N
 from fieldtrace.operators.features import segment_features
-from fieldtrace.operators.ordered import Order
+from fieldtrace.operators.ordered import Order, with_hot
 from fieldtrace.operators.segments import behaviour_runs
 from fieldtrace.schema import FEATURE_NAMES
+from fieldtrace.sources.writers import settled
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,12 @@ class Sampling:
     stride_ratio: float = 0.25
 
 
+def counted(rows: DataFrame, order: Order) -> tuple[DataFrame, Order]:
+    """The rows written once and their hot entities counted once, for all the steps below."""
+    rows = settled(rows)
+    return rows, with_hot(rows, order)
+
+
 def duration_report(rows: DataFrame, order: Order, max_gap: float = 1, **limits) -> DataFrame:
     """Duration statistics and recommended window and stride of every class."""
     return D.recommend_sampling(D.duration_summary(behaviour_runs(rows, order, "label", max_gap)), **limits)

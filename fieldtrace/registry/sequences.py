@@ -320,18 +320,20 @@ def gather_window(spark, sf):
     return rows.select(*KEY, "slot", "r.speed", "r.heading")
 
 
-CONSECUTIVE = f"""{ISLAND},
+def consecutive(length: int) -> str:
+    return f"""{ISLAND},
 full_windows AS (
   SELECT e.entity_id, e.tie, e.island_id, e.pos, m.label AS window_label
-  FROM isl e JOIN isl m ON m.entity_id = e.entity_id AND m.pos = e.pos - 3 + 2 WHERE e.island_pos >= 3)"""
+  FROM isl e JOIN isl m ON m.entity_id = e.entity_id AND m.pos = e.pos - {length - 1} + {length // 2} WHERE e.island_pos >= {length - 1})"""
 
 
-@BOOK.query(
-    "windows_consecutive",
-    f"""WITH {CONSECUTIVE} SELECT f.entity_id, f.tie, f.window_label, string_agg(r.tie, ',' ORDER BY r.pos) AS window_rows
-    FROM full_windows f JOIN isl r ON r.entity_id = f.entity_id AND r.pos BETWEEN f.pos - 3 AND f.pos
-    GROUP BY ALL""",
-)
+def consecutive_sql(length: int) -> str:
+    return f"""WITH {consecutive(length)} SELECT f.entity_id, f.tie, f.window_label, string_agg(r.tie, ',' ORDER BY r.pos) AS window_rows
+    FROM full_windows f JOIN isl r ON r.entity_id = f.entity_id AND r.pos BETWEEN f.pos - {length - 1} AND f.pos
+    GROUP BY ALL"""
+
+
+@BOOK.query("windows_consecutive", consecutive_sql(4))
 def windows_consecutive(spark, sf):
     out = A.consecutive_windows(track(spark, sf), ORDER, 4, ["tie"])
     return out.select(*KEY, "window_label", joined(F.transform("window", lambda r: r["tie"])).alias("window_rows"))
@@ -349,9 +351,10 @@ def _wf(fn: str, s: str, n: int) -> str:
     return f"{fn}({s}) OVER (PARTITION BY entity_id, sample ORDER BY slot ROWS {n - 1} PRECEDING)"
 
 
-WINDOW_FEATURES_SQL = f"""WITH {CONSECUTIVE},
-w0 AS (SELECT f.entity_id, f.tie AS sample, r.pos - f.pos + 3 AS slot, r.lon, r.lat, r.speed, r.depth, r.heading
-  FROM full_windows f JOIN isl r ON r.entity_id = f.entity_id AND r.pos BETWEEN f.pos - 3 AND f.pos),
+def window_features_sql(length: int) -> str:
+    return f"""WITH {consecutive(length)},
+w0 AS (SELECT f.entity_id, f.tie AS sample, r.pos - f.pos + {length - 1} AS slot, r.lon, r.lat, r.speed, r.depth, r.heading
+  FROM full_windows f JOIN isl r ON r.entity_id = f.entity_id AND r.pos BETWEEN f.pos - {length - 1} AND f.pos),
 w1 AS (SELECT *, coalesce(lon - lag(lon) {W}, 0) AS dx, coalesce(lat - lag(lat) {W}, 0) AS dy,
     coalesce(speed - lag(speed) {W}, 0) AS acceleration, coalesce(depth - lag(depth) {W}, 0) AS depth_delta,
     coalesce(heading - lag(heading) {W}, 0) AS turn FROM w0),
@@ -366,9 +369,13 @@ SELECT entity_id, sample AS tie, CAST(slot AS INTEGER) AS slot, {", ".join([
 ])} FROM w3"""
 
 
-@BOOK.query("window_local_features", WINDOW_FEATURES_SQL)
+@BOOK.query("window_local_features", window_features_sql(4))
 def window_local_features(spark, sf):
-    out = A.consecutive_windows(track(spark, sf), ORDER, 4, RAW_FEATURES)
+    return local_features(track(spark, sf), 4)
+
+
+def local_features(rows, length):
+    out = A.consecutive_windows(rows, ORDER, length, RAW_FEATURES)
     out = X.window_features(out).select(*KEY, *WINDOW_FEATURES)
     zipped = F.arrays_zip(*WINDOW_FEATURES)
     rows = out.select(*KEY, F.posexplode(zipped).alias("slot", "r"))

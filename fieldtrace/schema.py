@@ -47,20 +47,24 @@ PART_COLUMNS = {
     "速度": "speed",
     "深度": "depth",
 }
+# The columns a trajectory point brings, in their published order.
 TRAJECTORY_COLUMNS = ["lon", "lat", "fix_time", "speed", "heading", "depth", "did", "label", "epoch_second"]
 RAW_FEATURES = ["lon", "lat", "speed", "depth", "heading"]
 ROLLED_SERIES = ["speed", "acceleration", "angular_speed", "angular_acceleration", "angle_diff"]
+# The published feature order.
 FEATURE_NAMES = (
     ["lon", "lat", "speed", "acceleration", "angular_speed", "angular_acceleration", "angle_diff"]
     + [f"{s}_{stat}_{n}" for s in ROLLED_SERIES for stat, n in (("med", 5), ("med", 20), ("std", 5), ("std", 20))]
     + ["dx", "dy", "jerk", "curvature", "motion_energy", "turn_indicator"]
     + ["local_speed_mean", "local_heading_std", "depth_delta"]
 )
+# The columns the cleaning stage asks for.
 CLEAN_INPUT_COLUMNS = [
     "frame_path", "frame_time", "timestamp_inferred", "entity_id", "frame_number", "second", "lon", "lat",
     "fix_time", "speed", "heading", "depth", "did", "label", "epoch_second", "source_video_path",
     "audio_start_second", "audio_duration_seconds", "audio_path", "audio_exists", "audio_is_silence_fill",
 ]
+# The columns of the cleaned dataset.
 ANCHOR_COLUMNS = [
     "split", "frame_path", "frame_time", "timestamp_source", "timestamp_inferred", "entity_id", "video_path",
     "frame_number", "second", "lon", "lat", "fix_time", "speed", "heading", "depth", "did", "label",

@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -7,6 +9,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+#: The shared folder of the test session; removed at its end.
+SHARED = tempfile.mkdtemp(prefix="fieldtrace-tests-")
+
+
 def make_session():
     from pyspark.sql import SparkSession
 
@@ -18,6 +24,7 @@ def make_session():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", SHARED)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -26,4 +33,5 @@ def make_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    yield make_session()
+    shutil.rmtree(SHARED, ignore_errors=True)
