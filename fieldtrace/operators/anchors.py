@@ -143,31 +143,37 @@ def build_windows(
     low: int = 1,
     high: int = 20,
 ) -> DataFrame:
-    """One row per anchor with ``window``: an array of ``length`` structs of ``payload``, edges repeated.
-
-    Rows are gathered once into blocks of ``length``; an anchor's window is a slice of its own block and the
-    neighbouring ones, so building windows does not cost ``length`` row visits per input row.
-    """
+    """One row per anchor with ``window``: an array of ``length`` structs of ``payload``, edges repeated."""
     back, ahead = window_reach(length, context)
     rows = window_rows(df, order, length, max_gap, stride, adaptive, label, config, ratio, low, high)
 
-    ws = order.window("segment_id")
     meta = [c for c in [*order.by, label] if c in df.columns]
+    out = gathered(rows, order, "segment_id", [*meta, "pos", "seg_pos"], payload, length, back, ahead)
+    return out.select(order.entity, *meta, "pos", "segment_id", "seg_pos", F.lit(back).alias("anchor_slot"), "window")
+
+
+def gathered(
+    rows: DataFrame, order: Order, part: str, meta: list[str], payload: list[str], length: int, back: int, ahead: int
+) -> DataFrame:
+    """One row per own row with is_anchor: entity, ``part``, ``meta`` and window, the rows around it inside its part.
+
+    Rows are gathered once into blocks of ``length``; an anchor's window is a slice of its own block and the
+    neighbouring ones, made where the block is, so that no anchor carries a block. Neighbours hold ``payload`` only.
+    """
+    at = F.row_number().over(order.window(part)) - 1
     rows = rows.select(
         order.entity,
         "_chunk",
-        "segment_id",
-        (F.row_number().over(ws) - 1).alias("_at"),
+        part,
+        at.alias("_at"),
         F.struct(
-            (F.row_number().over(ws) - 1).alias("_at"),
+            at.alias("_at"),
             (F.col("_own") & F.col("is_anchor")).alias("_anchor"),
-            "pos",
-            "seg_pos",
             F.struct(*meta).alias("meta"),
             F.struct(*payload).alias("data"),
         ).alias("row"),
     )
-    block = [order.entity, "_chunk", "segment_id"]
+    block = [order.entity, "_chunk", part]
     blocks = (
         rows.withColumn("_block", F.floor(F.col("_at") / length))
         .groupBy(*block, "_block")
@@ -187,26 +193,17 @@ def build_windows(
     size = F.size("_all")
 
     def cut(row: Column, i: Column) -> Column:
-        """An anchor's place and its window, sliced where the block is, so that no anchor carries the block."""
-        at = i + F.col("_skip")
-        first, last = F.greatest(at - back, F.lit(0)), F.least(at + ahead, size - 1)
+        place = i + F.col("_skip")
+        first, last = F.greatest(place - back, F.lit(0)), F.least(place + ahead, size - 1)
         window = F.concat(
-            F.array_repeat(F.get("_all", F.lit(0)), F.greatest(back - at, F.lit(0))),
+            F.array_repeat(F.get("_all", F.lit(0)), F.greatest(back - place, F.lit(0))),
             F.slice("_all", first + 1, last - first + 1),
-            F.array_repeat(F.get("_all", size - 1), F.greatest(at + ahead - size + 1, F.lit(0))),
+            F.array_repeat(F.get("_all", size - 1), F.greatest(place + ahead - size + 1, F.lit(0))),
         )
-        return F.when(row["_anchor"], F.struct(row["meta"].alias("meta"), row["pos"].alias("pos"), row["seg_pos"].alias("seg_pos"), window.alias("window")))
+        return F.when(row["_anchor"], F.struct(row["meta"].alias("meta"), window.alias("window")))
 
     anchors = blocks.select(*block, F.explode(F.filter(F.transform("rows", cut), lambda x: x.isNotNull())).alias("row"))
-    return anchors.select(
-        order.entity,
-        *(F.col(f"row.meta.{c}").alias(c) for c in meta),
-        "row.pos",
-        "segment_id",
-        "row.seg_pos",
-        F.lit(back).alias("anchor_slot"),
-        "row.window",
-    )
+    return anchors.select(order.entity, part, "row.meta.*", "row.window")
 
 
 def consecutive_windows(
@@ -218,16 +215,13 @@ def consecutive_windows(
     """
     chunks = chunked(df, order, before=length, after=1)
     rows = islands(chunks, order, {"island": second_step(order) != 1}, before=length, after=1)
-    frame = order.window("island_id").rowsBetween(-(length - 1), 0)
-    rows = rows.withColumns(
-        {
-            "window": F.collect_list(F.struct(*payload)).over(frame),
-            "window_label": F.lag(label, length - 1 - length // 2).over(order.window("island_id")),
-            "island_pos": F.col("pos") - F.col("island_start"),
-        }
-    )
-    full = own_rows(rows).where(F.col("island_pos") >= length - 1)
-    return full.select(*order.keys, "pos", "island_id", "island_pos", "window_label", "window")
+    rows = rows.withColumn("island_pos", F.col("pos") - F.col("island_start"))
+    rows = rows.withColumn("is_anchor", F.col("island_pos") >= length - 1).withColumn("_label", F.col(label))
+    meta = [*order.by, "pos", "island_pos"]
+    out = gathered(rows, order, "island_id", meta, [*payload, "_label"], length, length - 1, 0)
+    values = F.transform("window", lambda r: F.struct(*(r[c].alias(c) for c in payload)))
+    middle = F.get("window", F.lit(length // 2))["_label"]
+    return out.select(*order.keys, "pos", "island_id", "island_pos", middle.alias("window_label"), values.alias("window"))
 
 
 def slot_weights(

@@ -11,6 +11,9 @@ from fieldtrace.operators.segments import run_ids
 # Runs of an entity that one task looks at; neighbours across a cut are copied over.
 RUNS_PER_CHUNK = 1_000_000
 
+# Positions that share a key when replaced runs are joined onto the rows.
+BLOCK = 4096
+
 
 def run_neighbours(runs: DataFrame, order: Order, per_chunk: int = RUNS_PER_CHUNK) -> DataFrame:
     """Add left and right: (rows, pred) of the run before and after, NULL at the ends of the entity.
@@ -45,8 +48,9 @@ def smooth_runs(
 ) -> DataFrame:
     """Add smoothed: ``pred``, with short runs of the listed classes replaced by a neighbouring run's label.
 
-    Every replacement looks at the original runs. Replaced runs come back as single positions, so the join onto
-    the rows is on a unique key and a long run cannot pile up in one task.
+    Every replacement looks at the original runs. Replaced runs come back once for each block of positions they touch,
+    so the join onto the rows is on keys of at most ``BLOCK`` rows and neither a long run nor one of many rows in few
+    seconds piles up in one task or one array.
     """
     rows = run_ids(df, order, pred, max_gap)
     if not classes:
@@ -60,13 +64,19 @@ def smooth_runs(
     )
     near = run_neighbours(runs, order, per_chunk)
     short = near.where(F.col("pred").isin(classes) & (F.col("duration") < max(int(min_duration), 1)))
+    block = lambda pos: F.floor(F.col(pos) / BLOCK)
     changed = short.select(
-        order.entity,
-        F.explode(F.sequence("_first", "_last")).alias("pos"),
+        F.col(order.entity).alias("_who"),
+        F.explode(F.sequence(block("_first"), block("_last"))).alias("_part"),
+        "_first",
+        "_last",
         F.coalesce(replacement(), F.col("pred")).alias("_new"),
     )
+    inside = F.col("pos").between(F.col("_first"), F.col("_last"))
+    on = F.col(order.entity).eqNullSafe(F.col("_who")) & (F.col("_block") == F.col("_part")) & inside
     return (
-        rows.join(changed, [order.entity, "pos"], "left")
+        rows.withColumn("_block", block("pos"))
+        .join(changed, on, "left")
         .withColumn("smoothed", F.coalesce("_new", F.col(pred)))
-        .drop("_new")
+        .drop("_new", "_who", "_part", "_block", "_first", "_last")
     )
