@@ -342,10 +342,20 @@ def test_parts_by_file_name(spark, tmp_path):
 
 
 def test_work_folder_follows_the_session(spark):
-    class Session:
-        def __init__(self, **settings):
-            self.conf = settings
+    class Context:
+        applicationId = "app-1"
+
+        def __init__(self, master):
+            self.master = master
 
-    named = Session(**{"spark.checkpoint.dir": "/shared/place/"})
-    assert writers.work_folder(named).startswith("/shared/place/fieldtrace-")
+    class Session:
+        def __init__(self, master, **settings):
+            self.conf, self.sparkContext = settings, Context(master)
+
+    named = Session("yarn", **{"spark.checkpoint.dir": "/shared/place/"})
+    assert writers.work_folder(named).startswith("/shared/place/fieldtrace-app-1/")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            writers.work_folder(Session(master))
+    assert "fieldtrace-" in writers.work_folder(Session("local[2]"))
     assert writers.work_folder(spark) != writers.work_folder(spark)
