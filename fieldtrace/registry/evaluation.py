@@ -638,10 +638,11 @@ def batch_score(spark, sf):
     return SC.batch_score(anchors(spark, sf), lambda b: b["heading"] // 33, KEY, ["heading"])
 
 
-@BOOK.query("baseline_classifier")
+@BOOK.query("baseline_classifier", f"WITH {TRACK} SELECT entity_id, tie, label, true AS scored FROM track")
 def baseline_classifier(spark, sf):
     from fieldtrace.operators.features import segment_features
     rows = settled(segment_features(track(spark, sf), ORDER, 48))
     weights = N.class_weights(rows).select(F.col("class_id").alias("label"), "weight")
     train = rows.join(F.broadcast(weights), "label")
-    return SC.baseline_classifier(train, rows, weight="weight", max_iter=5).select(*KEY, "label", "y_pred")
+    out = SC.baseline_classifier(train, rows, weight="weight", max_iter=5)
+    return out.select(*KEY, "label", F.coalesce(F.col("y_pred").between(0, NUM_CLASSES - 1), F.lit(False)).alias("scored"))
