@@ -38,35 +38,41 @@ def default_dims(text: Column) -> list[Column]:
     ]
 
 
-def coordinates(rows: DataFrame, dims: int) -> DataFrame:
-    """Scales each dimension to 20 bits over the whole table and appends hash bits, so that ties can be cut."""
-    spans = rows.agg(*(F.min(f"_v{i}").alias(f"a{i}") for i in range(dims)), *(F.max(f"_v{i}").alias(f"b{i}") for i in range(dims))).first()
+def spans_of(rows: DataFrame, dims: int) -> list[tuple[float, float]]:
+    """Least and greatest value of each dimension over the whole table."""
+    r = rows.agg(*(F.min(f"_v{i}").alias(f"a{i}") for i in range(dims)), *(F.max(f"_v{i}").alias(f"b{i}") for i in range(dims))).first()
+    return [(r[f"a{i}"] or 0.0, r[f"b{i}"] or 0.0) for i in range(dims)]
+
+
+def coordinates(rows: DataFrame, spans: list[tuple[float, float]]) -> DataFrame:
+    """Scales each dimension to 20 bits over its span and appends hash bits, so that ties can be cut."""
     low = F.shiftleft(F.col("text_crc32") % (1 << TEXT_BITS), ID_BITS) + F.conv(F.substring("_key", 25, 8), 16, 10).cast("long") % (1 << ID_BITS)
-    for i in range(dims):
-        a, b = spans[f"a{i}"] or 0.0, spans[f"b{i}"] or 0.0
+    for i, (a, b) in enumerate(spans):
         unit = F.floor((F.coalesce(F.col(f"_v{i}"), F.lit(a)) - F.lit(a)) * F.lit(((1 << DIM_BITS) - 1) / ((b - a) or 1.0))).cast("long")
         rows = rows.withColumn(f"_c{i}", F.shiftleft(F.least(F.greatest(unit, F.lit(0)), F.lit((1 << DIM_BITS) - 1)), TEXT_BITS + ID_BITS) + low)
     return rows
 
 
-def walk(rows: DataFrame, levels: list[list[tuple]]) -> DataFrame:
-    """Adds _node (first shard of the node) and _parts (its number of shards) by the cuts found so far."""
-    out = rows.withColumn("_node", F.lit(0)).withColumn("_parts", F.lit(levels[0][0][3] if levels else 1))
-    for cuts in levels:
-        table = rows.sparkSession.createDataFrame([(c[0], c[1], c[2]) for c in cuts], "_node int, _dim int, _cut long")
-        out = out.join(F.broadcast(table), "_node", "left")
-        dims = [c for c in out.columns if c.startswith("_c") and c != "_cut"]
-        value = F.element_at(F.array(*dims), F.col("_dim") + 1)
-        nleft = F.floor(F.col("_parts") / 2).cast("int")
-        right = value >= F.col("_cut")
-        parts = F.when(F.col("_dim").isNull(), F.col("_parts")).when(right, F.col("_parts") - nleft).otherwise(nleft)
-        node = F.when(F.col("_dim").isNotNull() & right, F.col("_node") + nleft).otherwise(F.col("_node"))
-        out = out.withColumn("_new", node).withColumn("_parts", parts).drop("_node", "_dim", "_cut").withColumnRenamed("_new", "_node")
-    return out
+def start(rows: DataFrame, parts: int) -> DataFrame:
+    """All rows in the root: _node is the first shard of a row's node, _parts the node's number of shards."""
+    return rows.withColumn("_node", F.lit(0)).withColumn("_parts", F.lit(parts))
+
+
+def descend(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Rows one level further down, by the cuts of that level: a table of at most one row per shard."""
+    table = rows.sparkSession.createDataFrame([(c[0], c[1], c[2]) for c in cuts], "_node int, _dim int, _cut long")
+    dims = [c for c in rows.columns if c.startswith("_c")]
+    out = rows.join(F.broadcast(table), "_node", "left")
+    value = F.element_at(F.array(*dims), F.col("_dim") + 1)
+    left = F.floor(F.col("_parts") / 2).cast("int")
+    right = F.coalesce(value >= F.col("_cut"), F.lit(False))
+    parts = F.when(F.col("_dim").isNull(), F.col("_parts")).when(right, F.col("_parts") - left).otherwise(left)
+    node = F.when(right, F.col("_node") + left).otherwise(F.col("_node"))
+    return out.withColumns({"_to": node, "_parts": parts}).drop("_node", "_dim", "_cut").withColumnRenamed("_to", "_node")
 
 
 def find_cuts(placed: DataFrame, dims: int, leaf: float) -> list[tuple]:
-    """For every node of more than one part: (node, dimension, cut, parts). The driver holds a few numbers per shard."""
+    """None when every node is one shard. Else, for every node of more than one part: (node, dimension, cut, parts). The driver holds a few numbers per shard."""
     spark = placed.sparkSession
     # The hash dimension comes last and is only cut along when the others have no width.
     stats = placed.where("_parts > 1").groupBy("_node", "_parts").agg(
@@ -120,16 +126,21 @@ def kd_shards(docs: DataFrame, shards: int = 40, target_bytes: int | None = None
     full = narrow.agg(F.sum("size")).first()[0] or 0
     if target_bytes:
         shards = max(1, math.ceil(full / target_bytes))
-    rows = coordinates(narrow, len(values))
+    spans = spans_of(narrow, len(values))
+    rows = start(coordinates(narrow, spans), shards)
     levels: list[list[tuple]] = []
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        cuts = find_cuts(walk(rows, levels) if levels else rows.withColumn("_node", F.lit(0)).withColumn("_parts", F.lit(shards)), len(values), full / shards)
-        if not cuts:
-            break
+    # Each level of the narrow rows is written once, so that no plan grows with the depth of the tree.
+    while cuts := find_cuts(rows, len(values), full / shards):
         levels.append(cuts)
+        rows = settled(descend(rows, cuts))
     spread = [f"_v{i}" for i in range(len(values))]
-    placed = walk(coordinates(base, len(values)) if carry else rows.withColumn("doc", F.struct("doc_id")), levels)
+    if carry:
+        placed = start(coordinates(base, spans), shards)
+        for cuts in levels:
+            placed = descend(placed, cuts)
+    else:
+        placed = rows.withColumn("doc", F.struct("doc_id"))
     placed = placed.withColumnRenamed("_node", "shard").withColumn("_one", F.lit(1)).drop(*spread, "_parts")
-    slim = walk(rows, levels).select(F.col("_node").alias("shard"), "_key", F.lit(1).alias("_one"))
+    slim = rows.select(F.col("_node").alias("shard"), "_key", F.lit(1).alias("_one"))
     numbered = running(placed, slim, ["shard"], "_key", ["doc_id", "text_crc32"], "_one", "slot")
     return numbered.select("doc", "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
