@@ -26,8 +26,6 @@ WORDS, RUN, WINDOW = 50, 15, 24
 AFTER, BEFORE = WORDS, WINDOW
 #: Words hashed at a time and hashes remembered by a worker: bounds memory for texts of any length.
 REMEMBERED = 1 << 18
-#: Suffixes of one text that a comparison carries over a batch's end.
-RUN_ROWS = 4096
 SPAN_SCHEMA = "row_id long, start int, stop int"
 
 
@@ -98,7 +96,7 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(row_id, text, places) -> one row for each place: the words from it on, then those before it, nearest first.
+    """(row_id, text, places) -> the words from a place on, then those before it, nearest first; equal ones of a text once, with all their places.
 
     A word is 4 bytes of its hash; 0 stands for no word, so a context that meets the end of its text is the shorter one.
     """
@@ -114,9 +112,12 @@ def contexts(rows: DataFrame) -> DataFrame:
                 after = padded[(at + BEFORE)[:, None] + np.arange(AFTER)]
                 before = padded[(at + BEFORE - 1)[:, None] - np.arange(BEFORE)]
                 both = np.concatenate([after, before], axis=1).astype(">u4")
-                yield pd.DataFrame({"row_id": row_id, "at": at.astype(np.int32), "context": [c.tobytes() for c in both]})
+                held: dict[bytes, list[int]] = {}
+                for c, i in zip(both, at.tolist()):
+                    held.setdefault(c.tobytes(), []).append(i)
+                yield pd.DataFrame({"row_id": row_id, "places": list(held.values()), "context": list(held)})
 
-    return rows.mapInPandas(emit, "row_id long, at int, context binary")
+    return rows.mapInPandas(emit, "row_id long, places array<int>, context binary")
 
 
 def extents(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,65 +127,124 @@ def extents(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(right.all(axis=1), AFTER, right.argmin(axis=1)), np.where(left.all(axis=1), BEFORE, left.argmin(axis=1))
 
 
+def spans_of(ids: np.ndarray, places: np.ndarray, c: np.ndarray, others: np.ndarray, words: int) -> pd.DataFrame:
+    """What suffixes share with others (one each, or one for all) from ``words`` words on, at all their places."""
+    right, left = extents(c, others)
+    good = np.flatnonzero(right + left >= words)
+    at = np.concatenate([np.zeros(0, dtype=np.int64), *places[good]]).astype(np.int64)
+    each = np.repeat(good, [len(places[i]) for i in good])
+    return pd.DataFrame({"row_id": ids[each], "start": at - left[each], "stop": at + right[each]})
+
+
+#: Rows of a scan: a span; suffixes of a partition's first run that look for what precedes it, of its last run for what follows;
+#: its first suffix, the first of its second run, its last suffix, the last of its last run but one.
+SPAN, OPENING, CLOSING, FIRST, SECOND, LAST, FORMER = range(7)
+
+
 def matched(sorted_suffixes: DataFrame, words: int) -> DataFrame:
-    """Compares neighbours in each sorted partition: spans that match, and each partition's first and last suffix."""
+    """Compares each suffix with the nearest ones of other texts before and after it in its sorted partition.
+
+    Suffixes of one text stand in runs. The suffix before a run is carried as long as the run lasts, and so are those of its
+    suffixes that may still share enough with what follows: ``words`` less BEFORE to the right, since all later ones share
+    no more. What a run at a partition's edge lacks is told by rows of their own.
+    """
+    least = words - BEFORE
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        last = None
         empty = b""
+
+        def told(place: int, ids, c: np.ndarray, places=None) -> pd.DataFrame:
+            return pd.DataFrame({"row_id": ids, "start": 0, "stop": 0, "task": task, "place": place, "context": [x.tobytes() for x in c], "places": [None] * len(c) if places is None else places})
+
+        first = former = last = None
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for part in parts:
             if not len(part):
                 continue
-            edge = [] if last is not None else [(int(part["row_id"].iloc[0]), int(part["at"].iloc[0]), part["context"].iloc[0])]
-            ids, at = part["row_id"].to_numpy(), part["at"].to_numpy()
+            ids, places = part["row_id"].to_numpy(), part["places"].to_numpy()
             c = np.frombuffer(b"".join(part["context"]), dtype=">u4").reshape(len(part), -1)
-            if last is not None:
-                ids, at, c = np.append(last[0], ids), np.append(last[1], at), np.concatenate([last[2], c])
-            # Suffixes of one text stand in runs; each is compared with the nearest ones of other texts around its run.
             starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            run = np.searchsorted(starts, np.arange(len(ids)), side="right") - 1
             ends = np.append(starts[1:], len(ids))
-            spans = []
-            for other in (starts[run] - 1, ends[run]):
-                i = np.flatnonzero((other >= 0) & (other < len(ids)))
-                right, left = extents(c[i], c[other[i]])
-                good = right + left >= words
-                spans.append(pd.DataFrame({"row_id": ids[i[good]], "start": at[i[good]] - left[good], "stop": at[i[good]] + right[good]}))
-            out = pd.concat(spans).drop_duplicates().assign(task=task, place=0, context=empty)
-            if edge:
-                out = pd.concat([out, pd.DataFrame([{"row_id": r, "start": p, "stop": p, "task": task, "place": 1, "context": x} for r, p, x in edge])])
-            # The last run goes into the next batch, so that it meets what follows; a long one by its end alone.
-            keep = max(starts[-1], len(ids) - RUN_ROWS)
-            keep = keep if keep > 0 and starts[-1] > 0 else len(ids) - 1
-            last = (ids[keep - 1 :], at[keep - 1 :], c[keep - 1 :]) if keep > 0 else (ids, at, c)
-            yield out
+            goes_on = last is not None and last[0] == ids[0]
+            edges, spans = [], []
+            if first is None:
+                first = (ids[0], c[0])
+                edges.append(told(FIRST, ids[:1], c[:1]))
+            # Before: rows of the batch's first run look at what was carried.
+            lead = former if goes_on else last
+            n = ends[0]
+            if lead is not None:
+                spans.append(spans_of(ids[:n], places[:n], c[:n], lead[1][None], words))
+            else:
+                some = np.flatnonzero(extents(c[:n], first[1][None])[0] >= least)
+                edges.append(told(OPENING, ids[some], c[some], places[some]))
+            run = np.repeat(np.arange(len(starts)), ends - starts)
+            spans.append(spans_of(ids[n:], places[n:], c[n:], c[starts[run[n:]] - 1], words))
+            # After: what waited meets the first row of another text; the batch's last run waits.
+            met = 0 if not goes_on else n
+            if last is not None and met < len(ids):
+                if former is None:
+                    edges.append(told(SECOND, ids[met : met + 1], c[met : met + 1]))
+                spans += [spans_of(*rows, c[met][None], words) for rows in waiting]
+                former, waiting = last, []
+            k = starts[-1]
+            spans.append(spans_of(ids[:k], places[:k], c[:k], c[ends[run[:k]]], words))
+            if k > 0:
+                if former is None:
+                    edges.append(told(SECOND, ids[n : n + 1], c[n : n + 1]))
+                former = (ids[k - 1], c[k - 1])
+            if waiting and extents(waiting[-1][2][-1:], c[-1:])[0][0] < least:
+                waiting = []
+            some = k + np.flatnonzero(extents(c[k:], c[-1:])[0] >= least)
+            # The last row stays even where it is too short to match, so that what waits can be told from what comes.
+            some = np.union1d(some, [len(ids) - 1])
+            waiting.append((ids[some], places[some], c[some]))
+            last = (ids[-1], c[-1])
+            found = pd.concat(spans).drop_duplicates().assign(task=task, place=SPAN, context=empty, places=None)
+            yield from (x for x in (found, *edges) if len(x))
         if last is not None:
-            yield pd.DataFrame([{"row_id": int(last[0][-1]), "start": int(last[1][-1]), "stop": int(last[1][-1]), "task": task, "place": 2, "context": last[2][-1].tobytes()}])
-
-    return sorted_suffixes.mapInPandas(scan, SPAN_SCHEMA + ", task int, place int, context binary")
+            yield from (told(CLOSING, i, c, p) for i, p, c in waiting)
+            yield told(LAST, [last[0]], last[1][None])
+            if former is not None:
+                yield told(FORMER, [former[0]], former[1][None])
+
+    return sorted_suffixes.mapInPandas(scan, SPAN_SCHEMA + ", task int, place int, context binary, places array<int>")
+
+
+def nearest(ends: dict[int, dict[int, tuple[int, bytes]]], tasks: list[int], outer: int, inner: int) -> dict[int, list[tuple[int, bytes]]]:
+    """For each partition, the nearest suffix beyond its edge and the nearest of another text than that one's."""
+    known: list[tuple[int, bytes]] = []
+    out = {}
+    for t in tasks:
+        out[t] = known
+        top = ends[t][outer]
+        known = [top, *[x for x in (ends[t].get(inner), *known) if x is not None and x[0] != top[0]][:1]]
+    return out
 
 
 def across(edges: DataFrame, words: int) -> DataFrame:
-    """Spans of suffixes that are neighbours but ended up in successive partitions: two rows for each partition."""
-    order = W.orderBy("task", "place")
-    pairs = edges.select(
-        "place", F.struct("row_id", "start", "context").alias("here"), F.lag(F.struct("row_id", "start", "context")).over(order).alias("last")
-    ).where("place = 1 and last is not null and here.row_id <> last.row_id")
+    """Spans of suffixes whose nearest ones of other texts lie in other partitions, however many their run fills.
+
+    Four suffixes of each partition meet at the driver.
+    """
+    ends: dict[int, dict[int, tuple[int, bytes]]] = {}
+    for r in edges.where(F.col("place") >= FIRST).select("task", "place", "row_id", "context").collect():
+        ends.setdefault(r["task"], {})[r["place"]] = (r["row_id"], bytes(r["context"]))
+    before, after = nearest(ends, sorted(ends), LAST, FORMER), nearest(ends, sorted(ends, reverse=True), FIRST, SECOND)
+    shared = edges.sparkSession.sparkContext.broadcast({OPENING: before, CLOSING: after})
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for a, b in zip(part["last"], part["here"]):
-                x, y = (np.frombuffer(s["context"], dtype=">u4").reshape(1, -1) for s in (a, b))
-                right, left = extents(x, y)
-                if right[0] + left[0] >= words:
-                    out += [(s["row_id"], s["start"] - left[0], s["start"] + right[0]) for s in (a, b)]
-            yield pd.DataFrame(out, columns=["row_id", "start", "stop"])
+            for (task, place, row_id), rows in part.groupby(["task", "place", "row_id"]):
+                other = next((x for i, x in shared.value[place][task] if i != row_id), None)
+                if other is not None:
+                    c, x = (np.frombuffer(b, dtype=">u4") for b in (b"".join(rows["context"]), other))
+                    yield spans_of(rows["row_id"].to_numpy(), rows["places"].to_numpy(), c.reshape(len(rows), -1), x[None], words)
 
-    return pairs.mapInPandas(compare, SPAN_SCHEMA)
+    return edges.where(F.col("place").isin(OPENING, CLOSING)).mapInPandas(compare, SPAN_SCHEMA)
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -214,10 +274,10 @@ def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     owners = settled(docs.where("text is not null").groupBy(F.xxhash64("text").alias("row_id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
     held = settled(places.join(owners, "row_id").select("row_id", "doc_id", "places"))
     suffixes = contexts(match(rows, held, ["doc_id", "row_id"]).select("row_id", "text", "places"))
-    ordered = suffixes.repartitionByRange("context", "row_id", "at").sortWithinPartitions("context", "row_id", "at")
+    ordered = suffixes.repartitionByRange("context", "row_id").sortWithinPartitions("context", "row_id")
     compared = settled(matched(ordered, words))
-    spans = compared.where("place = 0").select("row_id", "start", "stop")
-    spans = spans.unionByName(across(compared.where("place > 0"), words))
+    spans = compared.where(F.col("place") == SPAN).select("row_id", "start", "stop")
+    spans = spans.unionByName(across(compared.where(F.col("place") > SPAN), words))
     sizes = found.where("at < 0").select("row_id", (-1 - F.col("at")).alias("n")).where(F.col("n") >= words)
     copied = owners.where("copies > 1").join(sizes, "row_id", "inner").select("row_id", F.lit(0).alias("start"), F.col("n").cast("int").alias("stop")).distinct()
     joined = settled(merged(spans.unionByName(copied)))
