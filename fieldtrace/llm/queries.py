@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import decontamination, language, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
+from fieldtrace.llm import decontamination, language, lexical, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -144,3 +144,22 @@ SELECT * FROM ranked WHERE rank <= 20"""
 def op10(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+OP13_SQL = f"""WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERMS}')) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc_id)::BIGINT AS n FROM terms GROUP BY doc_id, term),
+totals AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS words FROM terms),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERMS}')) AS term FROM benchmark)
+    GROUP BY item_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, totals GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10"""
+
+
+@BOOK.query("op13_ranked_lexical_search", OP13_SQL)
+def op13(spark, sf_dir):
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
