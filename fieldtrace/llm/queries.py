@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import decontamination, language, lexical, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity
+from fieldtrace.llm import decontamination, language, lexical, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity, whitening
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -163,3 +163,13 @@ SELECT * FROM ranked WHERE rank <= 10"""
 @BOOK.query("op13_ranked_lexical_search", OP13_SQL)
 def op13(spark, sf_dir):
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@BOOK.query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.shifted(F.col("embedding")).alias("v"))
+    found = whitening.whitened(vectors, most=16)
+    return found.select(
+        F.col("doc.vec_id").alias("vec_id"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"),
+    ).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")

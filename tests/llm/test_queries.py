@@ -16,6 +16,7 @@ COLUMNS = {
     "op7_latent_leaks": {"doc_id", "item_ids", "share"},
     "op8_quality_scores": {"doc_id", "held_out", "score", "predicted"},
     "op9_suffix_repeats": {"doc_id", "spans", "repeated_words"},
+    "op11_embedding_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
     "op13_ranked_lexical_search": {"item_id", "rank", "doc_id", "score"},
     "op10_block_top_k": {"query_id", "rank", "vec_id", "score"},
     "pipeline": {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"},
