@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import decontamination, language, lexical, mixing, quality, sharding, simhash, suffixes, tokens, topk, toxicity, whitening
+from fieldtrace.llm import decontamination, language, lexical, mixing, phrases, quality, sharding, simhash, suffixes, tokens, topk, toxicity, whitening
 from fieldtrace.llm.labels import labelled, remainder
 from fieldtrace.registry.book import Book, r6
 
@@ -173,3 +173,21 @@ def op11(spark, sf_dir):
         F.col("doc.vec_id").alias("vec_id"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "identity_error",
         F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "c"),
     ).select("vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+OP12_SQL = """WITH split AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM split),
+windows AS (SELECT *, count(*) OVER w AS n, md5(string_agg(word, ' ') OVER w) AS k FROM words
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+late AS (SELECT doc_id, i, word, (n = 20 AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1)::INTEGER AS late FROM windows),
+gone AS (SELECT *, max(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM late),
+texts AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN texts USING (doc_id)"""
+
+
+@BOOK.query("op12_phrase_automata", OP12_SQL)
+def op12(spark, sf_dir):
+    found = phrases.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_quality_scores": {"doc_id", "held_out", "score", "predicted"},
     "op9_suffix_repeats": {"doc_id", "spans", "repeated_words"},
     "op11_embedding_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op12_phrase_automata": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op13_ranked_lexical_search": {"item_id", "rank", "doc_id", "score"},
     "op10_block_top_k": {"query_id", "rank", "vec_id", "score"},
     "pipeline": {"doc_id", "text", "lang", "source", "n_chars", "shard", "slot"},
@@ -30,6 +31,6 @@ def test_query(spark, name):
     assert out.count() > 0
 
 
-@pytest.mark.parametrize("name", ["op4_curriculum_mix", "op10_block_top_k", "op13_ranked_lexical_search"])
+@pytest.mark.parametrize("name", ["op4_curriculum_mix", "op10_block_top_k", "op12_phrase_automata", "op13_ranked_lexical_search"])
 def test_sql(spark, name):
     assert compare(spark, open_tables(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) is None
