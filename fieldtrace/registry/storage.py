@@ -29,9 +29,13 @@ BACK = {new: old for old, new in SOURCE_COLUMNS.items()}
 
 
 def aligned_csv(spark, sf) -> str:
-    """The track as an aligned file: source header, text times, every seventh speed unreadable."""
+    """The track as aligned files: source header, text times, every seventh speed unreadable.
+
+    Odd rows have their columns in another order, and no epoch seconds; those of the others are unreadable now and then.
+    """
     path = writers.work_folder(spark)
     rows = track(spark, sf).select(
+        F.col("tie"),
         F.concat(F.lit("f"), F.col("tie").cast("string")).alias("frame_path"),
         time_text("frame_time").alias("frame_time"),
         F.col("entity_id").cast("string").alias("entity_id"),
@@ -42,16 +46,21 @@ def aligned_csv(spark, sf) -> str:
         F.when(F.col("tie") % 7 == 0, "n/a").otherwise(F.col("speed").cast("string")).alias("speed"),
         "depth",
         "heading",
+        time_text("fix_time").alias("fix_time"),
+        F.when(F.col("tie") % 3 == 0, "?").otherwise(epoch_second("fix_time").cast("string")).alias("epoch_second"),
     )
-    writers.write_table(rows.withColumnsRenamed(BACK), path)
-    return path
+    columns = rows.columns[1:]
+    for folder, part, names in (("even", F.col("tie") % 2 == 0, columns), ("odd", F.col("tie") % 2 == 1, columns[-2::-1])):
+        writers.write_table(rows.where(part).select(*names).withColumnsRenamed(BACK), f"{path}/{folder}")
+    return f"{path}/*/*.csv"
 
 
 @BOOK.query(
     "read_aligned",
     f"""WITH {TRACK} SELECT 'f' || tie AS frame_path, date_trunc('second', frame_time)::TIMESTAMP AS frame_time,
     CAST(entity_id AS VARCHAR) AS entity_id, second, label, lon, lat,
-    CASE WHEN tie % 7 = 0 THEN 0.0::DOUBLE ELSE speed END AS speed, depth, heading FROM track""",
+    CASE WHEN tie % 7 = 0 THEN 0.0::DOUBLE ELSE speed END AS speed, depth, heading, date_trunc('second', fix_time)::TIMESTAMP AS fix_time,
+    CASE WHEN tie % 6 = 0 THEN -1 ELSE CAST(floor(epoch_us(fix_time) / 1e6) AS BIGINT) END AS epoch_second FROM track""",
 )
 def read_aligned(spark, sf):
     return readers.read_aligned(spark, aligned_csv(spark, sf))
@@ -247,9 +256,12 @@ def write_per_class_metrics(spark, sf):
 
 @BOOK.query("read_model_metrics", f"WITH {MODEL_ROWS} SELECT model, class_id, {', '.join(q6(s, s) for s in SCORES)}, support FROM model_scores")
 def read_model_metrics(spark, sf):
+    """One file per model; every other model has its columns the other way round and one more."""
     root = writers.work_folder(spark)
-    for model in MODELS:
-        writers.write_table(M.per_class_metrics(model_rows(spark, sf, model), "label", "pred").drop("predicted"), f"{root}/{model}")
+    for i, model in enumerate(MODELS):
+        scores = M.per_class_metrics(model_rows(spark, sf, model), "label", "pred")
+        scores = scores.select(*scores.columns[::-1]) if i % 2 else scores.drop("predicted")
+        writers.write_table(scores, f"{root}/{model}")
     return rounded(readers.read_model_metrics(spark, f"{root}/*/*.csv"), SCORES)
 
 

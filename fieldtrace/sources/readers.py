@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import basename, date_in_name, fit_length
 from fieldtrace.operators.align import keep_first
 from fieldtrace.schema import DURATION_ENTRY, PART_COLUMNS, SOURCE_COLUMNS, STATS_SCHEMA, TRAJECTORY_COLUMNS, require_columns
+from fieldtrace.sources.named_csv import has, read_named
 
 NUMBERS = ["lon", "lat", "speed", "depth", "heading"]
 
@@ -32,18 +32,30 @@ def read_text_columns(spark: SparkSession, paths, columns: list[str] | None = No
 def read_aligned(spark: SparkSession, paths, columns: list[str] | None = None, fill: float | None = 0.0) -> DataFrame:
     """Aligned per-second rows under ASCII names, with times, integers and numbers parsed.
 
-    Unreadable positions become ``fill``, an unreadable epoch second -1; extra columns are carried through as text.
+    Files may have their columns in any order, and each its own: they are matched by name. ``columns`` says that all
+    files have just these, in this order, and spares the look at the headers. Unreadable positions become ``fill``, an
+    unreadable epoch second -1; a file without epoch seconds takes them from its fix times; extra columns are carried
+    through as text. A file without a required column is an error that names it.
     """
-    raw = read_text_columns(spark, paths, columns).withColumnsRenamed(SOURCE_COLUMNS)
-    require_columns(raw, ["entity_id", "frame_time", "second", "label", *NUMBERS])
+    required = ["entity_id", "frame_time", "second", "label", *NUMBERS]
+    if columns:
+        raw = require_columns(read_text_columns(spark, paths, columns).withColumnsRenamed(SOURCE_COLUMNS), required)
+        known = F.lit(True)
+    else:
+        raw = read_named(spark, paths, SOURCE_COLUMNS, required)
+        known = has("epoch_second")
     parsed = {c: coerce.to_number(c, fill) for c in NUMBERS}
     parsed |= {c: coerce.to_number(c) for c in ("did",) if c in raw.columns}
     parsed |= {c: coerce.to_number(c).cast("bigint") for c in ("frame_number",) if c in raw.columns}
-    # A row without a readable epoch second matches no trajectory point.
-    parsed |= {c: F.coalesce(coerce.to_number(c).cast("bigint"), F.lit(-1).cast("bigint")) for c in ("epoch_second",) if c in raw.columns}
     parsed |= {"second": coerce.to_number("second").cast("bigint"), "label": coerce.to_label("label")}
     parsed |= {c: coerce.to_time(c) for c in ("frame_time", "fix_time") if c in raw.columns}
-    return raw.withColumns(parsed)
+    rows = raw.withColumns(parsed)
+    if "epoch_second" in raw.columns:
+        # A row without a readable epoch second matches no trajectory point.
+        fixed = coerce.epoch_second("fix_time") if "fix_time" in raw.columns else F.lit(None).cast("bigint")
+        second = F.when(known, coerce.to_number("epoch_second").cast("bigint")).otherwise(fixed)
+        rows = rows.withColumn("epoch_second", F.coalesce(second, F.lit(-1).cast("bigint")))
+    return rows.drop("_file", "_names")
 
 
 def normalise_part(raw: DataFrame) -> DataFrame:
@@ -58,44 +70,20 @@ def normalise_part(raw: DataFrame) -> DataFrame:
     return raw.withColumns(absent) if absent else raw
 
 
-def files_by_header(spark: SparkSession, paths, names: set[str]) -> dict[tuple[str, ...], list[str]]:
-    """Column names -> files that start with them. A header is a line that holds one of ``names`` as a field.
-
-    Headers are found by one filtered scan; the driver gets one line per file.
-    """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    fields = F.split(F.regexp_replace("value", "[\"\ufeff\r]", ""), ",")
-    headers = lines.where(F.arrays_overlap(fields, F.array(*map(F.lit, sorted(names))))).select("file", fields.alias("fields"))
-    found: dict[tuple[str, ...], list[str]] = {}
-    for row in headers.groupBy("file").agg(F.first("fields").alias("fields")).orderBy("file").collect():
-        found.setdefault(tuple(row["fields"]), []).append(unquote(row["file"]))
-    return found
-
-
-def read_by_name(spark: SparkSession, paths, names: set[str], dated_by: str) -> DataFrame:
-    """CSV files of unlike headers as text columns matched by name; absent ones are NULL. Adds part_file."""
-    out = None
-    for fields, files in files_by_header(spark, paths, names).items():
-        part = read_text_columns(spark, files, list(fields)).select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise ValueError(f"no file with a header that names one of {sorted(names)}")
-    return out
-
-
 def read_parts(spark: SparkSession, paths, columns: list[str] | None = None, dated_by: str = "file_name") -> DataFrame:
     """Trajectory points of all parts, one row per (date, second), the earliest one.
 
-    Files may differ in the columns they have and in their order: each is read by its own header. Naming ``columns``
-    says that all files have just these, in this order, and spares the look at the headers. The date comes from the file name, or from the whole path with ``dated_by="file_path"``; files without a date
-    are ignored.
+    Files may differ in the columns they have and in their order: they are matched by name. Naming ``columns`` says that
+    all files have just these, in this order, and spares the look at the headers. The date comes from the file name, or
+    from the whole path with ``dated_by="file_path"``; files without a date are ignored. A dated file without a time or a
+    label column is an error that names it.
     """
     if columns:
-        raw = read_text_columns(spark, paths, columns).select("*", F.col(f"_metadata.{dated_by}").alias("part_file"))
+        raw = read_text_columns(spark, paths, columns).select("*", F.col(f"_metadata.{dated_by}").alias("_file"))
+        raw = raw.withColumn("_date", date_in_name(F.col("_file"))).where(F.col("_date").isNotNull())
     else:
-        raw = read_by_name(spark, paths, {name for name in ("fix_time", *PART_COLUMNS) if PART_COLUMNS.get(name, name) == "fix_time"}, dated_by)
-    raw = raw.withColumn("date", date_in_name(F.col("part_file"))).where(F.col("date").isNotNull())
-    points = normalise_part(raw).select("date", "part_file", *TRAJECTORY_COLUMNS)
+        raw = read_named(spark, paths, PART_COLUMNS, ["fix_time", "label"], "file" if dated_by == "file_path" else dated_by, date_in_name)
+    points = normalise_part(raw).select(F.col("_date").alias("date"), F.col("_file").alias("part_file"), *TRAJECTORY_COLUMNS)
     return keep_first(points, ["date", "epoch_second"], ["fix_time", "part_file", "lon", "lat", "speed", "heading"])
 
 
@@ -194,8 +182,12 @@ def frame_refs(rows: DataFrame, inventory: DataFrame, path: str = "frame_path",
 
 
 def read_model_metrics(spark: SparkSession, glob: str) -> DataFrame:
-    """Per-class metric files of several models (``.../<model>/<file>.csv``) in one table with the model's name."""
-    raw = spark.read.option("header", True).csv(glob).select("*", F.col("_metadata.file_path").alias("_file"))
+    """Per-class metric files of several models (``.../<model>/<file>.csv``) in one table with the model's name.
+
+    Columns are matched by name in each file; a file without one of them is an error that names it.
+    """
+    columns = ["class_id", "precision", "recall", "f1", "support"]
+    raw = read_named(spark, glob, {}, columns)
     return raw.select(
         F.element_at(F.split("_file", "/"), -2).alias("model"),
         F.col("class_id").try_cast("int").alias("class_id"),

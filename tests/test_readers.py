@@ -34,12 +34,71 @@ def test_parts_are_matched_by_name(spark, parts):
     assert (b["heading"], b["label"], b["lon"], b["lat"], b["speed"], b["depth"], b["did"]) == (77, -1, 120.25, 35.25, None, None, 9)
 
 
-def test_files_without_a_header_are_an_error(spark, tmp_path):
-    (tmp_path / "part_2024-10-18.csv").write_text("a,b\n1,2\n")
+def test_a_part_without_a_time_column_is_named(spark, parts, tmp_path):
+    (tmp_path / "part_2024-10-20.csv").write_text("a,标记\n1,2\n")
+    with pytest.raises(ValueError, match="fix_time.*part_2024-10-20.csv"):
+        readers.read_parts(spark, f"{tmp_path}/*.csv")
+
+
+def test_files_without_a_date_are_ignored_whatever_they_hold(spark, parts, tmp_path):
+    (tmp_path / "notes.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "part_2024-10-21.csv").write_text("")
+    assert readers.read_parts(spark, f"{tmp_path}/*.csv").count() == 2
+
+
+def test_no_header_at_all_is_an_error(spark, tmp_path):
+    (tmp_path / "part_2024-10-18.csv").write_text("")
     with pytest.raises(ValueError, match="header"):
         readers.read_parts(spark, f"{tmp_path}/*.csv")
 
 
+ALIGNED = {"frame_path": "f.jpg", "frame_time": "2024-10-18 08:00:00", "video_file": "v.mp4", "second_in_video": "4", "分类": "3", "经度": "120.5", "纬度": "35.5", "速度": "1.5", "深度": "0.2", "方向角": "90"}
+
+
+def aligned_file(path, columns):
+    """Quoted and plain, with a byte order mark and Windows line ends."""
+    path.write_bytes(("\ufeff" + ",".join(columns) + "\r\n" + ",".join(f'"{v}"' if i % 2 else v for i, v in enumerate(columns.values())) + "\r\n\r\n").encode())
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_aligned_files_of_unlike_column_order(spark, tmp_path, monkeypatch, broadcast):
+    from fieldtrace.sources import named_csv
+
+    monkeypatch.setattr(named_csv, "BROADCAST_FILES", broadcast)
+    aligned_file(tmp_path / "a.csv", ALIGNED)
+    aligned_file(tmp_path / "b.csv", dict(reversed((ALIGNED | {"note": "x, y", "时间戳": "17"}).items())) | {"note": "z"})
+    rows = sorted(readers.read_aligned(spark, f"{tmp_path}/*.csv").collect(), key=lambda r: r["note"] or "")
+    for r in rows:
+        assert (r["lon"], r["lat"], r["speed"], r["depth"], r["heading"], r["label"], r["second"]) == (120.5, 35.5, 1.5, 0.2, 90.0, 3, 4)
+    assert [(r["note"], r["epoch_second"]) for r in rows] == [(None, -1), ("z", 17)]
+    assert readers.read_aligned(spark, f"{tmp_path}/a.csv").columns == ["frame_path", "frame_time", "entity_id", "second", "label", "lon", "lat", "speed", "depth", "heading"]
+
+
+def test_an_aligned_file_without_a_position_is_named(spark, tmp_path):
+    aligned_file(tmp_path / "a.csv", ALIGNED)
+    aligned_file(tmp_path / "b.csv", {k: v for k, v in ALIGNED.items() if k != "经度"})
+    with pytest.raises(ValueError, match="lon.*b.csv"):
+        readers.read_aligned(spark, f"{tmp_path}/*.csv")
+
+
+def test_model_metrics_of_unlike_column_order(spark, tmp_path):
+    for model, text in (("m1", "class_id,precision,recall,f1,support\n3,0.5,0.25,0.33,4\n"), ("m2", "support,f1,recall,precision,class_id,more\n4,0.33,0.25,0.5,3,x\n")):
+        (tmp_path / model).mkdir()
+        (tmp_path / model / "per_class_metrics.csv").write_text("\ufeff" + text)
+    rows = readers.read_model_metrics(spark, f"{tmp_path}/*/*.csv").orderBy("model").collect()
+    assert [tuple(r) for r in rows] == [(m, 3, 0.5, 0.25, 0.33, 4) for m in ("m1", "m2")]
+    (tmp_path / "m3").mkdir()
+    (tmp_path / "m3" / "per_class_metrics.csv").write_text("class_id,precision\n1,0.5\n")
+    with pytest.raises(ValueError, match="support.*m3"):
+        readers.read_model_metrics(spark, f"{tmp_path}/*/*.csv")
+
+
+def test_lines_are_read_twice_and_never_by_kind_of_header(spark, parts):
+    # One scan finds the headers and is written; the rows come from one scan of the lines joined to it.
+    plan = readers.read_parts(spark, f"{parts}/*.csv")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+
+
 def test_unreadable_epoch_seconds_match_nothing(spark, parts, tmp_path):
     folder = tmp_path / "aligned"
     folder.mkdir()
