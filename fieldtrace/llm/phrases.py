@@ -29,7 +29,7 @@ WORDS, RUN = 20, 8
 #: Phrases that one automaton should hold, words of a text whose phrases share a shard, starts of one stretch.
 PHRASES, BLOCK, STARTS = 1 << 15, 8192, 4096
 #: Window starts that stream through one copy of an automaton, and windows counted at a time within a task.
-LOAD, COUNTED = 1 << 20, 1 << 18
+LOAD, COUNTED = 1 << 20, 1 << 20
 #: Texts that a task remembers to have sampled: of equal texts one is enough.
 REMEMBERED = 1 << 18
 
@@ -71,7 +71,7 @@ def sampled(texts: DataFrame, words: int) -> DataFrame:
 
 
 def stretches(rows: DataFrame, words: int) -> DataFrame:
-    """(did, tid, text, places: array of (at, shard)) -> the stretches of a text that may hold phrases of a shard.
+    """(did, tid, text, places: array of shard * 2^32 + at) -> the stretches of a text that may hold phrases of a shard.
 
     A stretch has n starts; every window that has one of the places as its minimiser starts in a stretch of that shard.
     """
@@ -83,21 +83,16 @@ def stretches(rows: DataFrame, words: int) -> DataFrame:
                 found = text.split()
                 last = len(found) - words
                 out = []
-                by_shard: dict[int, list[int]] = {}
-                for p in places:
-                    by_shard.setdefault(p["shard"], []).append(p["at"])
-                for shard, ats in by_shard.items():
-                    starts: list[list[int]] = []
-                    for at in sorted(ats):
-                        a, b = max(0, at - back), min(at, last) + 1
-                        if starts and a <= starts[-1][1]:
-                            starts[-1][1] = max(b, starts[-1][1])
-                        elif a < b:
-                            starts.append([a, b])
-                    for a, b in starts:
-                        for i in range(a, b, STARTS):
-                            n = min(STARTS, b - i)
-                            out.append((shard, did, tid, i, n, b" ".join(found[i : i + n + words - 1])))
+                packed = np.sort(np.asarray(places, dtype=np.int64))
+                shards, ats = packed >> 32, packed & 0xFFFFFFFF
+                first, end = np.maximum(ats - back, 0), np.minimum(ats, last) + 1
+                # Successive places of a shard whose starts meet make one stretch: both ends rise with the places.
+                opens = np.append(True, (shards[1:] != shards[:-1]) | (first[1:] > end[:-1]))
+                heads = np.flatnonzero(opens)
+                for shard, a, b in zip(shards[heads].tolist(), first[heads].tolist(), end[np.append(heads[1:], len(packed)) - 1].tolist()):
+                    for i in range(a, b, STARTS):
+                        n = min(STARTS, b - i)
+                        out.append((shard, did, tid, i, n, b" ".join(found[i : i + n + words - 1])))
                 if out:
                     yield pd.DataFrame(out, columns=["shard", "did", "tid", "at", "n", "words"])
 
@@ -112,30 +107,29 @@ def window_hashes(text: bytes, words: int, seen: Words) -> tuple[np.ndarray, np.
 
 
 def windows(found: DataFrame, words: int) -> DataFrame:
-    """Windows of stretches by hash, with the first place and the last one, some already taken together within a task."""
+    """Windows of stretches by hash and shard, with the first place and a count, those of one task taken together."""
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = Words()
         held: list[tuple[np.ndarray, ...]] = []
 
         def taken() -> pd.DataFrame:
-            h1, h2, shard, did, tid, at = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((at, did, shard, h2, h1))
+            h1, h2, shard, did, at = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(h1)
+            h1, h2, shard, did, at = h1[order], h2[order], shard[order], did[order], at[order]
             # A window may stand in stretches of several shards: only that of its own minimiser holds all its places.
-            h1, h2, kind = h1[order], h2[order], shard[order]
-            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (kind[1:] != kind[:-1]))
+            new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (shard[1:] != shard[:-1]))
             first = np.flatnonzero(new)
-            last = order[np.append(first[1:], len(order)) - 1]
-            top = order[first]
-            return pd.DataFrame({
-                "h1": h1[first].view(np.int64), "h2": h2[first].view(np.int64), "shard": shard[top], "did": did[top], "at": at[top], "tid": tid[top], "last_did": did[last], "last_at": at[last],
-            })
+            n = np.diff(np.append(first, len(h1)))
+            least = np.minimum.reduceat(did, first)
+            start = np.minimum.reduceat(np.where(did == np.repeat(least, n), at, np.iinfo(np.int64).max), first)
+            return pd.DataFrame({"h1": h1[first].view(np.int64), "h2": h2[first].view(np.int64), "shard": shard[first], "did": least, "at": start, "n": n})
 
         size = 0
         for part in parts:
-            for shard, did, tid, at, n, text in zip(part["shard"], part["did"], part["tid"], part["at"], part["n"], part["words"]):
+            for shard, did, at, n, text in zip(part["shard"].tolist(), part["did"].tolist(), part["at"].tolist(), part["n"].tolist(), part["words"]):
                 h1, h2 = window_hashes(text, words, seen)
-                held.append((h1, h2, np.full(n, shard), np.full(n, did), np.full(n, tid), np.arange(at, at + n, dtype=np.int32)))
+                held.append((h1, h2, np.full(n, shard), np.full(n, did), np.arange(at, at + n)))
                 size += n
                 if size >= COUNTED:
                     yield taken()
@@ -143,15 +137,22 @@ def windows(found: DataFrame, words: int) -> DataFrame:
         if held:
             yield taken()
 
-    return found.mapInPandas(emit, "h1 long, h2 long, shard long, did long, at int, tid long, last_did long, last_at int")
+    return found.select("shard", "did", "at", "n", "words").mapInPandas(emit, "h1 long, h2 long, shard long, did long, at long, n long")
 
 
 def confirmed(found: DataFrame, words: int) -> DataFrame:
-    """(shard, did, tid, at): the first place of each window that starts at several places."""
-    first, last = F.min(F.struct("did", "at", "tid")).alias("a"), F.max(F.struct("last_did", "last_at")).alias("b")
-    counted = windows(found, words).groupBy("h1", "h2", "shard").agg(first, last)
-    several = (F.col("a.did") != F.col("b.last_did")) | (F.col("a.at") != F.col("b.last_at"))
-    return counted.where(several).select("shard", "a.did", "a.tid", "a.at")
+    """(shard, did, at): the first place of each window that starts at several places.
+
+    Stretches of a shard are brought together first, so that near copies are counted within tasks; a shard larger than a
+    task is split. Repeated rows of one document may confirm a window that starts nowhere else; nothing comes after it.
+    """
+    together = found.hint("rebalance", "shard").sortWithinPartitions("shard")
+    # A decimal orders like (did, at) and, unlike a struct, is aggregated by hash.
+    place = (F.col("did").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("at")).cast("decimal(38,0)")
+    counted = windows(together, words).groupBy("h1", "h2", "shard").agg(F.min(place).alias("place"), F.sum("n").alias("n"))
+    did = F.floor(F.col("place") / F.lit(1 << 32).cast("decimal(20,0)"))
+    place = counted.where("n > 1").select("shard", "place", did.cast("long").alias("did"))
+    return place.select("shard", "did", (F.col("place") - F.col("did").cast("decimal(20,0)") * F.lit(1 << 32)).cast("int").alias("at"))
 
 
 def dealt(rows: DataFrame, words: int) -> DataFrame:
@@ -185,7 +186,10 @@ class Automaton:
         for own, n, did, at in phrases:
             spelt = self.spelt(own)
             for i in range(n):
-                self.automaton.add_word(spelt[2 * i : 2 * (i + words)], (did, at + i))
+                phrase, place = spelt[2 * i : 2 * (i + words)], (did, at + i)
+                # Rows of one doc_id may bring a phrase at a later place as well.
+                if place < self.automaton.get(phrase, (math.inf, 0)):
+                    self.automaton.add_word(phrase, place)
         self.automaton.make_automaton()
 
     def spelt(self, own: list[bytes]) -> str:
@@ -249,7 +253,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     home = F.xxhash64(F.shiftright("a", 24), F.floor(F.col("a").bitwiseAND(0xFFFFFF) / BLOCK))
     keys = settled(spread.select("key", home.alias("home")))
     shards = max(1, math.ceil(keys.count() * (words - RUN + 2) / PHRASES))
-    placed = places.join(keys, "key").groupBy("tid").agg(F.collect_set(F.struct("at", F.pmod("home", F.lit(shards).cast("long")).alias("shard"))).alias("places"))
+    placed = places.join(keys, "key").groupBy("tid").agg(F.collect_set(F.shiftleft(F.pmod("home", F.lit(shards).cast("long")), 32) + F.col("at")).alias("places"))
     looked_at = texts.join(placed.join(owners, "tid").select("did", "tid", "places"), ["did", "tid"])
     pieces = settled(stretches(looked_at, words))
 
@@ -260,11 +264,13 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "shard", F.when(F.col("phrases") <= 2 * PHRASES, 1).otherwise(F.ceil(F.col("phrases") / PHRASES)).cast("long").alias("parts"), F.ceil(F.col("load") / LOAD).cast("long").alias("salts")
     )
     plan = settled(plan)
-    # A phrase's words are those of its first place; runs of phrases travel as one row.
-    wanted = phrases.groupBy("shard", "did", "tid").agg(F.collect_set("at").alias("starts"))
-    runs = pieces.join(wanted, ["shard", "did", "tid"]).mapInPandas(lambda parts: cut_runs(parts, words), STRETCH)
+    # A phrase's words are those of its first place; runs of phrases travel as one row. Where rows of one doc_id differ, each
+    # of them gives what starts at that place: all of it comes before any later place.
+    wanted = phrases.groupBy("shard", "did").agg(F.collect_set("at").alias("starts"))
+    runs = pieces.join(wanted, ["shard", "did"]).select(*pieces.columns, "starts").mapInPandas(lambda parts: cut_runs(parts, words), STRETCH)
     both = runs.withColumn("phrase", F.lit(True)).unionByName(pieces.withColumn("phrase", F.lit(False)))
-    spread_out = dealt(both.join(plan, "shard").select(*pieces.columns, "phrase", "parts", "salts"), words)
+    spread_out = both.join(plan, "shard").select(*pieces.columns, "phrase", "parts", "salts")
+    spread_out = spread_out.withColumn("part", F.lit(0).cast("long")) if plan.where("parts > 1").isEmpty() else dealt(spread_out, words)
     salt = F.when(F.col("phrase"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("did", "tid", "at"), F.col("salts"))))
     salted = spread_out.withColumn("salt", F.explode(salt)).drop("parts", "salts")
     streamed = salted.repartition("shard", "part", "salt").sortWithinPartitions("shard", "part", "salt", F.desc("phrase"))

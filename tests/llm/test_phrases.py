@@ -48,6 +48,7 @@ def planted(seed):
     line = " ".join(f"l{i}" for i in range(7))
     docs += [(500, docs[41][1]), (1, docs[41][1]), (501, docs[41][1] + " tail"), (502, None), (503, ""), (504, " \n"), (505, "few words")]
     docs += [(506, " ".join([line] * 300)), (507, "before " + " ".join([line] * 9) + " behind"), (508, "   x " * 30)]
+    docs += [(9, "a b " + passages[3][0] + " " + docs[41][1]), (9, "c " + docs[41][1] + " " + docs[41][1]), (9, docs[45][1] + " " + docs[41][1])]
     docs += [(7, docs[3][1]), (7, docs[3][1]), (7, docs[5][1]), (None, docs[41][1]), (None, passages[3][0] + " " + " ".join(passages[2]))]
     return docs
 
