@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from fieldtrace.llm.common import whole
-from fieldtrace.llm.suffixes import Words, minimisers, run_hashes, word_hashes
+from fieldtrace.llm.suffixes import Words, run_hashes, word_hashes
 from fieldtrace.sources.writers import settled
 
 #: Words of a window, and of the hashed run; a window holds WORDS - RUN + 1 runs.
 WORDS, RUN = 20, 8
 #: Phrases that one automaton should hold, words of a text whose phrases share a shard, starts of one stretch.
-PHRASES, BLOCK, STARTS = 1 << 15, 8192, 4096
+PHRASES, BLOCK, STARTS = 1 << 14, 8192, 4096
 #: Window starts that stream through one copy of an automaton, and windows counted at a time within a task.
-LOAD, COUNTED = 1 << 20, 1 << 20
+LOAD, COUNTED = 1 << 20, 1 << 18
 #: Texts that a task remembers to have sampled: of equal texts one is enough.
 REMEMBERED = 1 << 18
 
@@ -41,6 +41,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("tid", F.xxhash64("text"))
 
 
+def spread_over(values: np.ndarray, width: int, kept: np.ufunc) -> np.ndarray:
+    """``kept`` (minimum or maximum) of each ``width`` successive values, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = kept(values[: len(values) - step], values[step:])
+        done += step
+    return values
+
+
+def least_places(keys: np.ndarray, window: int) -> np.ndarray:
+    """Positions that hold the least key of some ``window`` successive ones; of equal least keys all are taken."""
+    if len(keys) < window:
+        return np.zeros(0, dtype=np.int64)
+    least = spread_over(keys, window, np.minimum)
+    # A place is one if the greatest of the windows' least keys around it is its own.
+    edge = np.zeros(window - 1, dtype=keys.dtype)
+    return np.flatnonzero(spread_over(np.concatenate([edge, least, edge]), window, np.maximum) == keys)
+
+
 def sampled(texts: DataFrame, words: int) -> DataFrame:
     """(did, tid, text) -> the minimisers of each text (key, at), once a task, and for each row its size (at = -1 - words) and digest."""
 
@@ -55,7 +75,7 @@ def sampled(texts: DataFrame, words: int) -> DataFrame:
                     h = word_hashes(text, seen)
                     n = len(h)
                     k = run_hashes(h, RUN) if n >= words else h[:0]
-                    at = minimisers(k, words - RUN + 1)
+                    at = least_places(k, words - RUN + 1)
                     if len(done) >= REMEMBERED:
                         done.clear()
                     done.add(tid)
@@ -78,11 +98,12 @@ def stretches(rows: DataFrame, words: int) -> DataFrame:
     back = words - RUN
 
     def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["shard", "did", "tid", "at", "n", "words"]
         for part in parts:
-            for did, tid, text, places in zip(part["did"], part["tid"], part["text"], part["places"]):
+            out, held = [], 0
+            for did, tid, text, places in zip(part["did"].tolist(), part["tid"].tolist(), part["text"], part["places"]):
                 found = text.split()
                 last = len(found) - words
-                out = []
                 packed = np.sort(np.asarray(places, dtype=np.int64))
                 shards, ats = packed >> 32, packed & 0xFFFFFFFF
                 first, end = np.maximum(ats - back, 0), np.minimum(ats, last) + 1
@@ -93,8 +114,12 @@ def stretches(rows: DataFrame, words: int) -> DataFrame:
                     for i in range(a, b, STARTS):
                         n = min(STARTS, b - i)
                         out.append((shard, did, tid, i, n, b" ".join(found[i : i + n + words - 1])))
-                if out:
-                    yield pd.DataFrame(out, columns=["shard", "did", "tid", "at", "n", "words"])
+                        held += n
+                if held >= COUNTED:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     return rows.select("did", "tid", "text", "places").mapInPandas(emit, STRETCH)
 

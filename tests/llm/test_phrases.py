@@ -89,3 +89,13 @@ def test_automaton_tells_words_apart():
     found = P.Automaton([(phrase[:25], 6, 4, 100)], 20)
     text = [b"x", *phrase[2:24], b"y", *phrase[:19]]
     assert list(found.occurrences(text)) == [(1, (4, 102)), (2, (4, 103)), (3, (4, 104))]
+
+
+def test_least_places():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 9), (12, 9), (13, 9), (200, 5), (300, 1 << 60)):
+        keys = rng.integers(1, top, n).astype(np.uint64)
+        want = {i for a in range(n - 12) for i in range(a, a + 13) if keys[i] == keys[a : a + 13].min()}
+        assert P.least_places(keys, 13).tolist() == sorted(want)
