@@ -6,12 +6,13 @@ heading range, one row per (entity, second), one row per frame, no impossible ju
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import haversine_m
 from fieldtrace.operators.align import keep_first
+from fieldtrace.operators.observed import Counts
 from fieldtrace.operators.ordered import Order, chunked, hot_entities, own_rows
 from fieldtrace.sources.writers import settled
 
@@ -136,37 +137,68 @@ def clean_rows(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER)
     return final_casts(left.drop("gps_jump", "second_gap", "prev_distance"))
 
 
-def clean_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
-    """(measure, rows): source rows, rows lost to each rule in turn, headings set to 0, clean rows."""
+#: The measures of the report, in the order of the rules.
+MEASURES = [
+    "source_rows", "dropped_missing_required", "dropped_invalid_label", "dropped_missing_audio", "normalized_heading_360_to_0",
+    "dropped_invalid_heading", "dropped_duplicate_entity_second", "dropped_duplicate_frame_path", "dropped_extreme_motion_rows", "clean_rows",
+]
+
+
+def lost(reason: str) -> Column:
+    return F.count_if(F.col("drop_reason") == reason)
+
+
+def local_counts() -> dict[str, Column]:
+    """Over marked rows: how many each row-local rule takes, and how many pass."""
+    return {
+        "source_rows": F.count(F.lit(1)),
+        "dropped_missing_required": lost("missing_required"),
+        "dropped_invalid_label": lost("invalid_label"),
+        "dropped_missing_audio": lost("missing_audio"),
+        "normalized_heading_360_to_0": F.count_if("heading_was_360"),
+        "dropped_invalid_heading": lost("invalid_heading"),
+        "passed": F.count_if(F.col("drop_reason").isNull()),
+    }
+
+
+def clean_with_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> tuple[DataFrame, DataFrame]:
+    """The cleaned rows, written once to the work folder, and the report of that very run (see ``clean_report``).
+
+    The rows lost to each rule are observed as they pass, so the source is read and the rules are applied once. Should
+    executors be lost so that parts of the run are repeated, the counts are taken again by plain aggregates.
+    """
+    counts = Counts()
     coerced = coerce_rows(df)
-    marked = mark_rows(coerced)
-
-    def lost(reason: str) -> Column:
-        return F.count_if(F.col("drop_reason") == reason)
-
-    local = marked.agg(
-        F.count(F.lit(1)).alias("source_rows"),
-        lost("missing_required").alias("dropped_missing_required"),
-        lost("invalid_label").alias("dropped_invalid_label"),
-        lost("missing_audio").alias("dropped_missing_audio"),
-        F.count_if("heading_was_360").alias("normalized_heading_360_to_0"),
-        lost("invalid_heading").alias("dropped_invalid_heading"),
-        F.count_if(F.col("drop_reason").isNull()).alias("_kept"),
-    )
-    rest = survivors(coerced, first_by, order).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.coalesce(F.sum("same_frame"), F.lit(0)).alias("dropped_duplicate_frame_path"),
-        F.count_if("gps_jump").alias("dropped_extreme_motion_rows"),
-    )
-    names = local.columns[:-1]
-    first = local.select(F.inline(F.array(*(F.struct(F.lit(n).alias("measure"), F.col(n).alias("rows")) for n in names))))
-    kept = local.select("_kept").scalar()
-    same_second = kept - F.col("_rows") - F.col("dropped_duplicate_frame_path")
-    later = {
-        "dropped_duplicate_entity_second": same_second,
-        "dropped_duplicate_frame_path": F.col("dropped_duplicate_frame_path"),
-        "dropped_extreme_motion_rows": F.col("dropped_extreme_motion_rows"),
-        "clean_rows": F.col("_rows") - F.col("dropped_extreme_motion_rows"),
+    hot = early_hot(coerced, order)
+    marked = counts.at(mark_rows(coerced), **local_counts())
+    left = marked.where(F.col("drop_reason").isNull()).drop("drop_reason", "heading_was_360")
+    left = counts.at(keep_first(left, [order.entity, order.second], first_by), seconds=F.count(F.lit(1)))
+    left = counts.at(keep_first(left, ["frame_path"], first_by), frames=F.count(F.lit(1)))
+    left = counts.at(jump_flags(left, order, hot), dropped_extreme_motion_rows=F.count_if("gps_jump"))
+    left = left.where(~F.col("gps_jump")).drop("gps_jump", "second_gap", "prev_distance")
+    rows = settled(final_casts(left))
+    found = counts.read()
+    return rows, report_of(df.sparkSession, found if found is not None else recounted(df, first_by, order))
+
+
+def recounted(df: DataFrame, first_by: list[str], order: Order) -> dict[str, int]:
+    """The counts of ``clean_with_report`` by aggregates over the rules."""
+    coerced = coerce_rows(df)
+    local = mark_rows(coerced).agg(*(c.alias(n) for n, c in local_counts().items())).first().asDict()
+    jumps = F.count_if("gps_jump").alias("dropped_extreme_motion_rows")
+    left = survivors(coerced, first_by, order).agg(F.count(F.lit(1)).alias("frames"), F.coalesce(F.sum("same_frame"), F.lit(0)).alias("same"), jumps).first()
+    return local | {"seconds": left["frames"] + left["same"], "frames": left["frames"], "dropped_extreme_motion_rows": left["dropped_extreme_motion_rows"]}
+
+
+def report_of(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    counts = counts | {
+        "dropped_duplicate_entity_second": counts["passed"] - counts["seconds"],
+        "dropped_duplicate_frame_path": counts["seconds"] - counts["frames"],
+        "clean_rows": counts["frames"] - counts["dropped_extreme_motion_rows"],
     }
-    second = rest.select(F.inline(F.array(*(F.struct(F.lit(n).alias("measure"), c.alias("rows")) for n, c in later.items()))))
-    return first.unionByName(second)
+    return spark.createDataFrame([(m, counts[m]) for m in MEASURES], "measure string, rows long")
+
+
+def clean_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
+    """(measure, rows): source rows, rows lost to each rule in turn, headings set to 0, clean rows."""
+    return clean_with_report(df, first_by, order)[1]

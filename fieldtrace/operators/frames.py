@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import clip, linspace, pad_left
+from fieldtrace.operators.anchors import window_reach, window_rows
+from fieldtrace.operators.ordered import Order
 
 
 def slots_causal(anchor_slot: Column, k: int) -> Column:
@@ -21,15 +23,20 @@ def slots_uniform(length: Column, k: int) -> Column:
 
 
 def slots_center(seconds: Column, center: Column, radius: Column, k: int) -> Column:
-    """For k target seconds around ``center`` the slot nearest in time, the first one on ties."""
+    """For k target seconds around ``center`` the slot nearest in time, the first one on ties.
+
+    The seconds of a window rise, so the nearest is the last one before the target or the first one from it on.
+    """
     offsets = linspace(-radius, radius, k)
 
-    def nearest(offset: Column) -> Column:
-        target = center + F.bround(offset).cast("bigint")
-        ranked = F.transform(seconds, lambda s, i: F.struct(F.abs(s - target).alias("distance"), i.alias("slot")))
-        return F.array_min(ranked)["slot"]
+    def nearest(target: Column) -> Column:
+        below = F.size(F.filter(seconds, lambda s: F.coalesce(s < target, F.lit(True))))
+        before, after = F.get(seconds, below - 1), F.get(seconds, below)
+        first = F.coalesce(target - before <= after - target, after.isNull())
+        return F.when(first, F.greatest(F.array_position(seconds, before).cast("int") - 1, F.lit(0))).otherwise(below)
 
-    return F.transform(offsets, nearest)
+    targets = F.transform(offsets, lambda o: center + F.bround(o).cast("bigint"))
+    return F.transform(targets, nearest)
 
 
 def slot_single(anchor_slot: Column) -> Column:
@@ -106,15 +113,60 @@ def frame_dropout(
     return rows.withColumn(frames, F.when(size > 1, replaced).otherwise(F.col(frames))).drop("_drop", "_all", "_spared")
 
 
-def nearest_row_join(samples: DataFrame, columns: list[str], k: int, radius: Column, window: str = "window") -> DataFrame:
-    """One row per target second around each anchor, with the columns of the window's nearest row.
+def nearest_row_join(
+    df: DataFrame, order: Order, length: int, columns: list[str], k: int, radius: Column, context: str = "centered", **cut
+) -> DataFrame:
+    """One row per anchor and target second around it, with ``columns`` of the nearest row in the anchor's window.
 
-    Candidates are the rows of the sample's own window, so the match is a search in an array, not a self join.
+    Anchors and windows are those of ``build_windows`` with the same arguments (``cut``: max_gap, stride and so on), but no
+    window is built: targets are sorted among the rows of their segment, and each takes the last row at or before it or
+    that row's successor, whichever is nearer (the earlier on ties; of rows of one second the first), kept within the
+    window. Cost does not grow with ``length``, and rows without a second are nearest only where a window starts with one.
+    ``radius`` may differ by row. Adds target (from 0) and nearest_<column>.
     """
-    rows = select_frames(samples, "center", k, radius, window)
-    picked = rows.select(*[c for c in rows.columns if c not in (window, "frame_slots")], window, F.posexplode("frame_slots").alias("target", "slot"))
-    near = F.get(F.col(window), F.col("slot"))
-    return picked.withColumns({f"nearest_{c}": near[c] for c in columns}).drop(window)
+    back, ahead = window_reach(length, context)
+    rows = window_rows(df, order, length, **{"max_gap": 1.0, "stride": 20, "adaptive": False, "label": "label", "config": None, "ratio": 0.25, "low": 1, "high": 20} | cut)
+    meta = [c for c in df.columns if c not in order.keys]
+    ws = order.window("segment_id")
+    upto = ws.rowsBetween(Window.unboundedPreceding, 0)
+    data = F.struct(F.col(order.second).alias("s"), F.col("seg_pos").alias("p"), F.struct(*columns).alias("v"))
+    rows = rows.withColumn("_d", data)
+    opens = F.lag("_d").over(ws).isNull() | ~F.lag("_d").over(ws)["s"].eqNullSafe(F.col("_d.s"))
+    rows = rows.withColumns({"_head": F.last(F.when(opens, F.col("_d")), True).over(upto), "_next": F.lead("_d").over(ws)})
+    ends = ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.coalesce(F.lag("_d", back).over(ws), F.first("_d").over(upto)) if back else F.col("_d")
+    last = F.coalesce(F.lead(F.struct("seg_pos", "_head"), ahead).over(ws), F.last(F.struct("seg_pos", "_head")).over(ends)) if ahead else F.struct("seg_pos", "_head")
+    rows = rows.withColumns({"_first": first, "_last": last})
+    # Targets join the rows of their segment where these are: the key of the exchange stays, only the order is new.
+    targets = F.transform(linspace(-radius, radius, k), lambda o, i: F.struct((F.col(order.second) + F.bround(o).cast("bigint")).alias("at"), i.alias("target")))
+    own = F.struct(F.col(order.second).cast("bigint").alias("at"), F.lit(None).cast("int").alias("target"))
+    events = F.when(F.col("_own") & F.col("is_anchor"), F.concat(F.array(own), targets)).otherwise(F.array(own))
+    part = [order.entity, "_chunk", "segment_id"]
+    # Column names of the caller's stay in one struct.
+    spread = rows.select(*part, "seg_pos", "_head", "_next", "_first", "_last", F.struct(*order.by, *meta).alias("_meta"), F.inline(events))
+    merged = Window.partitionBy(*part).orderBy("at", F.asc_nulls_first("target"), "seg_pos").rowsBetween(Window.unboundedPreceding, 0)
+    row = F.when(F.col("target").isNull() & F.col("at").isNotNull(), F.struct("seg_pos", "_head", "_next"))
+    met = spread.withColumn("_b", F.last(row, True).over(merged)).where(F.col("target").isNotNull())
+
+    def clipped(head: str) -> Column:
+        return F.when(F.col(f"{head}.p") < F.col("_first.p"), F.col("_first")).otherwise(F.col(head))
+
+    before, after = clipped("_b._head"), F.col("_b._next")
+    nearer = F.when(F.col("at") - before["s"] <= after["s"] - F.col("at"), before).otherwise(after)
+    found = (
+        F.when(F.col("_b").isNull() | (F.col("_b.seg_pos") < F.col("_first.p")), F.col("_first"))
+        .when(F.col("_b.seg_pos") >= F.col("_last.seg_pos"), clipped("_last._head"))
+        .otherwise(nearer)
+    )
+    out = met.withColumn("_found", found["v"])
+    return out.select(order.entity, "_meta.*", "target", *(F.col(f"_found.{c}").alias(f"nearest_{c}") for c in columns))
+
+
+def center_frames(df: DataFrame, order: Order, length: int, column: str, k: int, radius: Column, context: str = "centered", **cut) -> DataFrame:
+    """One row per anchor with frames: ``column`` of the row nearest to each of k target seconds (see ``nearest_row_join``)."""
+    rows = nearest_row_join(df, order, length, [column], k, radius, context, **cut)
+    frames = F.sort_array(F.collect_list(F.struct("target", F.col(f"nearest_{column}").alias("f"))))
+    return rows.groupBy(*order.keys).agg(F.transform(frames, lambda x: x["f"]).alias("frames"))
 
 
 def mean_pool(df: DataFrame, clip_keys: list[str], vector: str) -> DataFrame:

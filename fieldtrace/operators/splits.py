@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from fieldtrace.operators.ordered import match
 from fieldtrace.sources.writers import settled
 
-# Rows that a bucket of the hash should hold, and cells that one node of a level stands for.
+# Rows that a bucket of the hash should hold.
 BUCKET_ROWS = 16_384
-BASE = 4096
 
 
 def bucket_digits(rows: int) -> int:
@@ -131,71 +130,78 @@ def cached_split(spark: SparkSession, path: str, compute) -> DataFrame:
         return spark.read.parquet(path)
 
 
-def cover(first: Column, last: Column, levels: int) -> Column:
-    """Nodes (level, node) that tile the cells first..last; a node of level l stands for BASE^l cells.
+def unit_of(key: Column) -> Column:
+    """A number in [0, 1) from the first twelve digits of a hash."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / float(16**12)
 
-    Per level at most 2 * BASE nodes lie at the ends of the span; what is between goes to the next level, so the array
-    stays short however long the span is. Empty when last < first.
-    """
-    none = F.array().cast("array<struct<level:int,node:bigint>>")
 
-    def nodes(level: int, a: Column, b: Column) -> Column:
-        made = F.transform(F.sequence(a, b), lambda n: F.struct(F.lit(level).alias("level"), n.cast("bigint").alias("node")))
-        return F.when(a <= b, made).otherwise(none)
+def allotted(units: DataFrame, n: int, total: float, shift: float, digits: int) -> DataFrame:
+    """(unit, w) -> (unit, draws): n draws split over the units in proportion to w, exactly n in all.
 
-    parts = []
-    for level in range(levels):
-        up_first, up_last = F.ceil(first / BASE).cast("bigint"), (F.floor((last + 1) / BASE) - 1).cast("bigint")
-        whole = F.lit(True) if level == levels - 1 else F.coalesce(up_last < up_first, F.lit(True))
-        parts.append(F.when(whole, nodes(level, first, last)).otherwise(nodes(level, first, up_first * BASE - 1)))
-        parts.append(F.when(whole, none).otherwise(nodes(level, (up_last + 1) * BASE, last)))
-        first, last = F.when(~whole, up_first), F.when(~whole, up_last)
-    return F.concat(*parts)
+    Unit after unit the running share is cut at whole draws, all cuts moved by one random ``shift``: the draws of a unit
+    are its expected number, rounded up or down at random. Running totals are taken in two steps, over a leading part of
+    the units' names and inside it; a unit ends where the next one begins, so no draw is lost or made twice.
+    """
+    sums = settled(units.withColumn("_half", F.substring("unit", 1, 1 + digits // 2)))
+    before = Window.unboundedPreceding, -1
+    by_half, by_unit = Window.orderBy("_half"), Window.partitionBy("_half").orderBy("unit")
+    tops = sums.groupBy("_half").agg(F.sum("w").alias("_t"))
+    tops = tops.withColumn("_top", F.coalesce(F.sum("_t").over(by_half.rowsBetween(*before)), F.lit(0.0)))
+    tops = tops.select("_half", "_top", F.lead("_top").over(by_half).alias("_next_top"))
+    inside = F.coalesce(F.sum("w").over(by_unit.rowsBetween(*before)), F.lit(0.0))
+    placed = sums.join(tops, "_half").withColumn("_off", F.col("_top") + inside)
+    cut = lambda x: F.floor(x / F.lit(total) * n + shift)
+    end = F.coalesce(F.lead("_off").over(by_unit), F.col("_next_top"))
+    return placed.select("unit", (F.coalesce(cut(end), F.lit(n)) - cut(F.col("_off"))).cast("bigint").alias("draws"))
 
 
 def weighted_resample(samples: DataFrame, keys: list[str], weight: str = "weight", seed: int = 42) -> DataFrame:
-    """As many draws as samples, with replacement, each sample in proportion to its weight; adds draw.
-
-    Samples own an interval of the running weight total in hash order; draw i is a hash-made point in it. Points and
-    intervals meet on equal-width cells, as many as draws, so a cell holds about one point. An interval is tested in
-    the cells of its two ends; the cells between are tiled by ``cover``. ``samples`` is read several times: settle it
-    first when it is the end of a long chain.
+    """As many draws as samples, with replacement, each sample in proportion to its weight; adds draw, a key of its own.
+
+    The draws are first split over buckets of the samples' hash (``allotted``). Inside a bucket every sample begins at
+    the running weight total in hash order, a draw is a hash-made point, and the two are met by one sort: a point belongs
+    to the last sample that begins at or before it, so every point has exactly one, whatever the rounding. Points are made
+    on a row of their bucket and share its exchange. A sample that expects more draws than a bucket has rows is a unit of
+    its own, whose draws are made in chunks. Missing weights and those not above 0 are never drawn; if there are no others,
+    nothing is. ``samples`` is read several times: settle it first when it is the end of a long chain.
     """
     n = samples.count()
     digits = bucket_digits(n)
-    levels = 1
-    while n > BASE**levels:
-        levels += 1
-    rows = samples.withColumn("_hash", shuffle_key(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, digits))
-    # Running totals in two steps, over buckets of a leading half of the digits and over those.
-    half = F.substring("_bucket", 1, digits // 2)
-    sums = settled(rows.groupBy("_bucket").agg(F.sum(weight).alias("_w")).withColumn("_half", half))
-    tops = sums.groupBy("_half").agg(F.sum("_w").alias("_t"))
-    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_half", F.coalesce(F.sum("_t").over(before(Window.orderBy("_half"))), F.lit(0.0)).alias("_top"))
-    inside = F.coalesce(F.sum("_w").over(before(Window.partitionBy("_half").orderBy("_bucket"))), F.lit(0.0))
-    offsets = sums.join(tops, "_half").select("_bucket", (F.col("_top") + inside).alias("_off"))
-    total = sums.agg(F.sum("_w")).first()[0] or 0.0
-    within = Window.partitionBy("_bucket").orderBy("_hash")
-    upto = F.col("_off") + F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.join(offsets, "_bucket").withColumns({"_hi": upto})
-    placed = placed.withColumn("_lo", F.coalesce(F.lag("_hi").over(within), F.col("_off")))
-    # The last interval is closed upward, so rounding of the running sums leaves no point outside.
-    last = F.col("_hi") >= F.lit(total * (1 - 1e-12))
-    placed = placed.withColumn("_hi", F.when(last, F.lit(total * 2)).otherwise(F.col("_hi")))
-
-    def cell(x: Column) -> Column:
-        return F.least(F.floor(x / F.lit(total or 1.0) * n), F.lit(n - 1)).cast("bigint")
-
-    ends = F.array_distinct(F.array(*(F.struct(F.lit(0).alias("level"), cell(F.col(c)).alias("node")) for c in ("_lo", "_hi"))))
-    spans = placed.withColumn("_at", F.explode(F.concat(ends, cover(cell(F.col("_lo")) + 1, cell(F.col("_hi")) - 1, levels))))
-    spans = spans.select(*samples.columns, "_lo", "_hi", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
-    unit = F.conv(F.substring(shuffle_key(seed + 1, *keys), 1, 12), 16, 10).cast("double") / float(16**12)
-    draws = samples.select(shuffle_key(seed + 2, *keys).alias("draw"), (unit * F.lit(total)).alias("_point"))
-    above = F.array(*(F.struct(F.lit(i).alias("level"), F.floor(cell(F.col("_point")) / BASE**i).cast("bigint").alias("node")) for i in range(levels)))
-    draws = draws.withColumn("_at", F.explode(above)).select("draw", "_point", F.col("_at.level").alias("_level"), F.col("_at.node").alias("_node"))
-    hit = (F.col("_point") >= F.col("_lo")) & (F.col("_point") < F.col("_hi"))
-    return draws.join(spans, ["_level", "_node"]).where(hit).select(*samples.columns, "draw")
+    w = F.col(weight).cast("double")
+    rows = samples.select(F.struct(*samples.columns).alias("row"), shuffle_key(seed, *keys).alias("_hash"), w.alias("_w")).where("_w > 0")
+    rows = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
+    total = rows.agg(F.sum("_w")).first()[0]
+    if total is None:
+        return samples.where("false").withColumn("draw", F.lit("").cast("string"))
+    heavy = F.col("_w") * n > F.lit(total) * BUCKET_ROWS
+    light, own = rows.where(~heavy), rows.where(heavy)
+    units = light.groupBy(F.concat(F.lit("b"), "_bucket").alias("unit")).agg(F.sum("_w").alias("w"))
+    units = units.unionByName(own.select(F.concat(F.lit("h"), "_hash").alias("unit"), F.col("_w").alias("w")))
+    shift = samples.sparkSession.range(1).select(unit_of(shuffle_key(seed + 3))).first()[0]
+    shares = settled(allotted(units, n, total, shift, digits))
+
+    def key(offset: int, i: Column) -> Column:
+        return F.md5(F.concat_ws("#", F.col("unit"), i.cast("string"), F.lit(str(seed + offset))))
+
+    ordered = Window.partitionBy("unit").orderBy("_hash")
+    begin = F.coalesce(F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = light.withColumn("unit", F.concat(F.lit("b"), "_bucket")).withColumns({"_lo": begin, "_n": F.row_number().over(ordered)})
+    whole = Window.partitionBy("unit").orderBy("_hash").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = placed.withColumn("_all", F.last(F.col("_lo") + F.col("_w")).over(whole)).join(shares, "unit", "left")
+    made = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: F.struct((unit_of(key(1, i)) * F.col("_all")).alias("x"), i.cast("bigint").alias("i")))
+    begins = F.array(F.struct(F.col("_lo").alias("x"), F.lit(None).cast("bigint").alias("i")))
+    events = F.when((F.col("_n") == 1) & (F.col("draws") > 0), F.concat(begins, made)).otherwise(begins)
+    spread = placed.select("unit", "_hash", "row", F.inline(events))
+    met = Window.partitionBy("unit").orderBy("x", F.asc_nulls_first("i"), "_hash").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = spread.withColumn("row", F.last(F.when(F.col("i").isNull(), F.col("row")), True).over(met)).where(F.col("i").isNotNull())
+
+    chunks = own.withColumn("unit", F.concat(F.lit("h"), "_hash")).join(shares.where("draws > 0"), "unit")
+    last = F.floor((F.col("draws") - 1) / BUCKET_ROWS)
+    chunks = chunks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("unit", "_chunk")
+    first = F.col("_chunk") * BUCKET_ROWS + 1
+    many = chunks.withColumn("i", F.explode(F.sequence(first, F.least(first + BUCKET_ROWS - 1, F.col("draws")))))
+    out = drawn.select("unit", "row", "i").unionByName(many.select("unit", "row", "i"))
+    return out.select("row.*", key(2, F.col("i")).alias("draw"))
 
 
 def shuffle_samples(samples: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:

@@ -44,16 +44,17 @@ def with_clips(rows: DataFrame, order: list[str], root: str, videos: DataFrame,
 
 def cleaned_dataset(
     rows: DataFrame, splits: dict[str, list[str]], first_by: list[str], layout: Layout = Layout(), order: Order = clean.MOTION_ORDER
-) -> DataFrame:
-    """Cleaned rows with split, target paths and the published columns (plus date).
+) -> tuple[DataFrame, DataFrame]:
+    """Cleaned rows with split, target paths and the published columns (plus date), and the report of the cleaning.
 
     The cleaned rows are written to the work folder once: finding each video's first row and placing the rows
-    both read them. So is the placed dataset, which the writers and the reports read several times.
+    both read them, and the report is what that run observed. So is the placed dataset, which the writers and the
+    reports read several times.
     """
-    cleaned = settled(clean.clean_rows(require_columns(rows, CLEAN_INPUT_COLUMNS), first_by, order))
+    cleaned, report = clean.clean_with_report(require_columns(rows, CLEAN_INPUT_COLUMNS), first_by, order)
     placed = align.assign_split(cleaned, splits)
     placed = assets.rewrite_paths(placed, order.by, layout.frames, layout.audio, layout.videos)
-    return settled(placed.select(*ANCHOR_COLUMNS, "date"))
+    return settled(placed.select(*ANCHOR_COLUMNS, "date")), report
 
 
 def write_dataset(dataset: DataFrame, root: str, file_format: str = "parquet") -> None:
@@ -62,10 +63,10 @@ def write_dataset(dataset: DataFrame, root: str, file_format: str = "parquet") -
     write_by_date(dataset, f"{root}/dates", OUTPUT_ORDER, file_format)
 
 
-def dataset_report(dataset: DataFrame, rows: DataFrame, first_by: list[str], order: Order = clean.MOTION_ORDER) -> dict[str, DataFrame]:
-    """The summary tables of a run, by name."""
+def dataset_report(dataset: DataFrame, cleaning: DataFrame) -> dict[str, DataFrame]:
+    """The summary tables of a run, by name; ``cleaning`` is the report that came with the dataset."""
     return {
-        "clean": clean.clean_report(rows, first_by, order),
+        "clean": cleaning,
         "splits": align.split_summary(dataset),
         "classes": align.split_class_counts(dataset),
         "assets": assets.link_report(dataset),

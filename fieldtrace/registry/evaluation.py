@@ -79,13 +79,22 @@ def sample_weights_boost(spark, sf):
     return rounded(out, ["weight"]).select(*KEY, "weight")
 
 
+UNIT = "(('0x' || substr(md5({}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
 @BOOK.query(
     "weighted_resample",
-    f"""WITH {COUNTS}, w AS (SELECT entity_id, tie, label, pow(n, -0.5) AS weight, entity_id || '#' || tie AS k FROM anchor JOIN counts ON label = class_id),
-    spans AS (SELECT *, sum(weight) OVER (ORDER BY md5(k || '#42')) AS hi, sum(weight) OVER () AS total FROM w),
-    held AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY hi), 0) AS lo FROM spans),
-    points AS (SELECT md5(k || '#44') AS draw, ('0x' || substr(md5(k || '#43'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * total AS point FROM spans)
-    SELECT entity_id, tie, label, {q6('weight', 'weight')}, draw FROM points ASOF JOIN held ON point >= lo""",
+    f"""WITH {COUNTS}, w AS (SELECT entity_id, tie, label, pow(n, -0.5) AS weight, md5(entity_id || '#' || tie || '#42') AS h FROM anchor JOIN counts ON label = class_id),
+    size AS (SELECT count(*) AS n, sum(weight) AS total, CASE WHEN count(*) <= {SP.BUCKET_ROWS} THEN 0 WHEN count(*) <= {SP.BUCKET_ROWS * 16} THEN 1 ELSE 2 END AS d FROM w),
+    held AS (SELECT w.*, substr(h, 1, d) AS b FROM w, size),
+    placed AS (SELECT *, coalesce(sum(weight) OVER (PARTITION BY b ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM held),
+    sums AS (SELECT b, sum(weight) AS w FROM held GROUP BY b),
+    offs AS (SELECT *, coalesce(sum(w) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM sums),
+    cuts AS (SELECT b, w, floor(off / total * n + {UNIT.format("'45'")}) AS c, n FROM offs, size),
+    shares AS (SELECT b, w, (coalesce(lead(c) OVER (ORDER BY b), n) - c)::BIGINT AS draws FROM cuts),
+    points AS (SELECT b, md5('b' || b || '#' || i || '#44') AS draw, {UNIT.format("'b' || b || '#' || i || '#43'")} * w AS x
+      FROM (SELECT b, w, unnest(range(1, draws + 1)) AS i FROM shares))
+    SELECT entity_id, tie, label, {q6('weight', 'weight')}, draw FROM points p ASOF JOIN placed h ON p.b = h.b AND p.x >= h.lo""",
 )
 def weighted_resample(spark, sf):
     weighted = settled(N.sample_weights(anchors(spark, sf)).select(*KEY, "label", "weight"))
@@ -191,27 +200,41 @@ def select_frame_single(spark, sf):
     return chosen(FR.select_frames(samples(spark, sf), "uniform", 1))
 
 
-def center_sql(radius: str, extra: str = "") -> str:
+def center_sql(radius: str, extra: str = "", size: int = 9, k: int = 5) -> str:
     return f"""{SEG}{extra},
     sized AS (SELECT seg.*, max(seg_pos) OVER (PARTITION BY entity_id, segment_id) AS last_pos FROM seg),
     slots AS (SELECT a.entity_id, a.tie, a.segment_id, a.second AS center, a.label, s.range AS slot,
-        greatest(0, least(a.last_pos, a.seg_pos - 4 + s.range)) AS at
-      FROM sized a, range(9) s WHERE seg_pos % 3 = 0 OR is_last),
+        greatest(0, least(a.last_pos, a.seg_pos - {size // 2} + s.range)) AS at
+      FROM sized a, range({size}) s WHERE seg_pos % 3 = 0 OR is_last),
     cand AS (SELECT s.*, r.second, r.tie AS row_tie FROM slots s JOIN seg r
       ON r.entity_id = s.entity_id AND r.segment_id = s.segment_id AND r.seg_pos = s.at),
     near AS (SELECT entity_id, tie, CAST(i.range AS INTEGER) AS target,
-        arg_min((second, row_tie), (abs(second - (center + CAST(round_even(-({radius}) + i.range * (2.0::DOUBLE * ({radius}) / 4), 0) AS BIGINT))), slot)) AS best
-      FROM cand, range(5) i GROUP BY 1, 2, 3)"""
+        arg_min((second, row_tie), (abs(second - (center + CAST(round_even(-({radius}) + i.range * (2.0::DOUBLE * ({radius}) / {k - 1}), 0) AS BIGINT))), slot)) AS best
+      FROM cand, range({k}) i GROUP BY 1, 2, 3)"""
 
 
 @BOOK.query("select_frames_center", f"WITH {center_sql('8')} SELECT entity_id, tie, string_agg(best[2], ',' ORDER BY target) AS frames FROM near GROUP BY 1, 2")
 def select_frames_center(spark, sf):
+    out = FR.center_frames(track(spark, sf), ORDER, 9, "tie", 5, F.lit(8), max_gap=GAP, stride=3)
+    return out.select(*KEY, joined("frames").alias("frames"))
+
+
+@BOOK.query("select_frames_center_slots", f"WITH {center_sql('8')} SELECT entity_id, tie, string_agg(best[2], ',' ORDER BY target) AS frames FROM near GROUP BY 1, 2")
+def select_frames_center_slots(spark, sf):
+    """The same frames as slots of windows that are there already."""
     return chosen(FR.select_frames(samples(spark, sf, "centered"), "center", 5, F.lit(8)))
 
 
+@BOOK.query("select_frames_center_wide", f"WITH {center_sql('300', size=512, k=9)} SELECT entity_id, tie, string_agg(best[2], ',' ORDER BY target) AS frames FROM near GROUP BY 1, 2")
+def select_frames_center_wide(spark, sf):
+    """Windows of 512 rows: no window is built."""
+    out = FR.center_frames(track(spark, sf), ORDER, 512, "tie", 9, F.lit(300), max_gap=GAP, stride=3)
+    return out.select(*KEY, joined("frames").alias("frames"))
+
+
 @BOOK.query("nearest_row_join", f"WITH {center_sql('5')} SELECT entity_id, tie, target, best[1] AS nearest_second, best[2] AS nearest_tie FROM near")
 def nearest_row_join(spark, sf):
-    out = FR.nearest_row_join(samples(spark, sf, "centered"), ["second", "tie"], 5, F.lit(5))
+    out = FR.nearest_row_join(track(spark, sf), ORDER, 9, ["second", "tie"], 5, F.lit(5), max_gap=GAP, stride=3)
     return out.select(*KEY, "target", "nearest_second", "nearest_tie")
 
 

@@ -17,12 +17,12 @@ def test_prepare(spark, tmp_path):
     rows = observations(spark, SF)
     splits = {"train": ["2024-01-01"], "test": DAYS}
     order = replace(MOTION_ORDER, hot_rows=50)
-    dataset = prepare.cleaned_dataset(rows, splits, ["tie"], order=order)
+    dataset, cleaning = prepare.cleaned_dataset(rows, splits, ["tie"], order=order)
     assert dataset.columns == [*ANCHOR_COLUMNS, "date"]
     prepare.write_dataset(dataset, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out" / "splits"))
     assert back.count() == dataset.count() > 0
-    report = prepare.dataset_report(dataset, rows, ["tie"], order)
+    report = prepare.dataset_report(dataset, cleaning)
     clean_rows = report["clean"].where("measure = 'clean_rows'").first().rows
     assert clean_rows == dataset.count()
     total = report["splits"].where("split = 'all'").first()

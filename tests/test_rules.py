@@ -289,6 +289,32 @@ def test_weighted_resample(spark):
     assert again == {r.id for r in drawn.collect()}
 
 
+def test_resample_gives_every_draw_once_whatever_the_weights(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BUCKET_ROWS", 64)
+    # Many last weights far below rounding of the running total, zeros, missing ones, and one that takes a third of all draws.
+    weight = F.expr("CASE WHEN id = 7 THEN 1e6 WHEN id % 5 = 0 THEN 0D WHEN id % 7 = 0 THEN NULL WHEN id < 1000 THEN 2e3 ELSE 1e-13 END")
+    df = spark.range(3000).select("id", weight.alias("weight"), F.lit("x").alias("row"))
+    drawn = splits.weighted_resample(df, ["id"])
+    assert drawn.columns == ["id", "weight", "row", "draw"]
+    rows = drawn.collect()
+    assert len(rows) == len({r.draw for r in rows}) == 3000
+    assert all(r.weight for r in rows)
+    share = 1e6 / (1e6 + 2e3 * df.where("weight = 2e3").count())
+    assert sum(r.id == 7 for r in rows) == pytest.approx(3000 * share, abs=1)
+    again = splits.weighted_resample(df.repartition(5), ["id"]).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    assert splits.weighted_resample(df.where("weight = 0"), ["id"]).count() == 0
+    assert splits.weighted_resample(df.where("false"), ["id"]).count() == 0
+
+
+def test_allotted_shares_are_within_one_draw(spark):
+    units = spark.range(1, 400).selectExpr("concat('b', lpad(hex(id), 3, '0')) AS unit", "1D / id AS w")
+    total = sum(1 / i for i in range(1, 400))
+    shares = {r["unit"]: r["draws"] for r in splits.allotted(units, 100_000, total, 0.3, 3).collect()}
+    assert sum(shares.values()) == 100_000
+    assert all(abs(shares[f"b{i:03X}"] - 100_000 / i / total) < 1 + 1e-6 for i in range(1, 400))
+
+
 def test_frame_dropout_never_drops_everything(spark):
     df = spark.range(300).select("id", F.array(*map(F.lit, "abcde")).alias("frames"))
     rows = frames.frame_dropout(df, 0.95, ["id"]).collect()
