@@ -105,15 +105,33 @@ def _tail(a: str, i: Column, n: int) -> Column:
     return F.slice(F.col(a), F.greatest(i - n + 2, F.lit(1)), F.least(i + 1, F.lit(n)))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _std(a: Column) -> Column:
-    mean = array_sum(a) / F.size(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(a))
+    """Population deviation in one pass: sums of differences from the first element and of their squares."""
+    first, zero, n = F.get(a, F.lit(0)), F.lit(0.0), F.size(a)
+    start = F.struct(zero.alias("s"), zero.alias("q"))
+    added = lambda acc, x: F.struct((acc["s"] + (x - first)).alias("s"), (acc["q"] + (x - first) * (x - first)).alias("q"))
+    spread = lambda acc: F.sqrt(F.greatest(acc["q"] / n - (acc["s"] / n) * (acc["s"] / n), zero))
+    return F.aggregate(a, start, added, spread)
+
+
+def _statistics(longest: Column) -> Column:
+    """Median and deviation of a frame of up to 20 rows and of its last five."""
+    last5 = F.slice(longest, F.greatest(F.size(longest) - 4, F.lit(1)), F.lit(5))
+    frames = {20: lambda use: use(longest), 5: lambda use: _bound(last5, use)}
+    return F.struct(
+        *(frame(lambda a: _bound(F.sort_array(a), sorted_median)).alias(f"med_{n}") for n, frame in frames.items()),
+        *(frame(_std).alias(f"std_{n}") for n, frame in frames.items()),
+    )
 
 
-def _rolled(a: str, stat: str, n: int) -> Column:
-    if stat == "med":
-        return F.transform(F.col(a), lambda _, i: sorted_median(F.sort_array(_tail(a, i, n))))
-    return F.transform(F.col(a), lambda _, i: _std(_tail(a, i, n)))
+def _rolled(a: str) -> Column:
+    """Per row of the window the statistics of its frames, cut from the series once."""
+    return F.transform(F.col(a), lambda _, i: _bound(_tail(a, i, 20), _statistics))
 
 
 def window_features(df: DataFrame, rows: str = "window") -> DataFrame:
@@ -132,7 +150,7 @@ def window_features(df: DataFrame, rows: str = "window") -> DataFrame:
             "local_speed_mean": F.transform(
                 F.col("speed"), lambda _, i: array_sum(_tail("speed", i, 3)) / F.least(i + 1, F.lit(3))
             ),
-            "local_heading_std": _rolled("heading", "std", 3),
+            "local_heading_std": F.transform(F.col("heading"), lambda _, i: _bound(_tail("heading", i, 3), _std)),
         }
     )
     df = df.withColumns(
@@ -145,6 +163,9 @@ def window_features(df: DataFrame, rows: str = "window") -> DataFrame:
             "turn_indicator": F.transform("angle_diff", lambda t: F.abs(t)),
         }
     )
-    return df.withColumns(
-        {f"{s}_{stat}_{n}": _rolled(s, stat, n) for s in ROLLED_SERIES for stat in ("med", "std") for n in (5, 20)}
-    ).drop(*(c for c in RAW_FEATURES if c not in FEATURE_NAMES))
+    # angular_speed equals angle_diff by definition, so its frames are computed once and copied.
+    rolled = {s: f"_rolled_{s}" for s in ROLLED_SERIES if s != "angular_speed"}
+    df = df.withColumns({name: _rolled(s) for s, name in rolled.items()})
+    rolled["angular_speed"] = rolled["angle_diff"]
+    df = df.withColumns({f"{s}_{stat}_{n}": F.col(rolled[s])[f"{stat}_{n}"] for s in ROLLED_SERIES for stat in ("med", "std") for n in (5, 20)})
+    return df.drop(*rolled.values(), *(c for c in RAW_FEATURES if c not in FEATURE_NAMES))

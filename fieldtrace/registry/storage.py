@@ -24,6 +24,7 @@ from fieldtrace.registry.sequences import GAP, NAMES, RECOMMENDED, RUNS, STATS,
 from fieldtrace.registry.views import DATED, ORDER, SPLITTED, TRACK, dated, segmented, table, track
 from fieldtrace.schema import PART_COLUMNS, RAW_FEATURES, SOURCE_COLUMNS
 from fieldtrace.sources import readers, writers
+from fieldtrace.sources.media import media_files, write_media
 
 BACK = {new: old for old, new in SOURCE_COLUMNS.items()}
 
@@ -112,19 +113,39 @@ def read_write_stats(spark, sf):
     return rounded(readers.read_stats(spark, path), ["mean", "std"])
 
 
+CLIPS = """SELECT source || '/s' || (doc_id % 5) || '/clip' || (doc_id // 20) || CASE doc_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END AS path,
+    CAST(sum(n_chars) % 1000 AS BIGINT) AS length FROM documents GROUP BY 1"""
+
+
 @BOOK.query(
     "asset_inventory",
-    """WITH files AS (SELECT source || '/clip' || (doc_id % 97) || CASE doc_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END AS path, n_chars AS length FROM documents),
+    f"""WITH files AS ({CLIPS}),
     ranked AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, CASE right(path, 4) WHEN '.mp4' THEN 1 WHEN '.avi' THEN 2 ELSE 0 END AS rank FROM files),
-    firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, path, length) AS n FROM ranked WHERE rank > 0)
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, path) AS n FROM ranked WHERE rank > 0)
     SELECT name, path, length FROM firsts WHERE n = 1""",
 )
 def asset_inventory(spark, sf):
-    """Documents as a listing of clips: base names repeat between folders, and one suffix comes before the other."""
+    """Documents as clips on disk: base names repeat between folders of two levels, and one kind of file is not wanted."""
+    root = writers.work_folder(spark)
+    write_media(clip_files(spark, sf), root)
+    found = readers.asset_inventory(spark, root, [".mp4", ".avi"])
+    return found.select("name", readers.below(root, "path").alias("path"), "length")
+
+
+def clip_files(spark, sf):
     suffix = F.expr("CASE doc_id % 3 WHEN 0 THEN '.avi' WHEN 1 THEN '.mp4' ELSE '.txt' END")
-    path = F.concat("source", F.lit("/clip"), (F.col("doc_id") % 97).cast("string"), suffix)
-    files = table(spark, sf, "documents").select(path.alias("path"), F.col("n_chars").alias("length"))
-    return readers.pick_assets(files, [".mp4", ".avi"])
+    path = F.concat("source", F.lit("/s"), (F.col("doc_id") % 5).cast("string"), F.lit("/clip"), F.floor(F.col("doc_id") / 20).cast("string"), suffix)
+    files = table(spark, sf, "documents").where("source is not null").groupBy(path.alias("path")).agg((F.sum("n_chars") % 1000).cast("int").alias("n"))
+    return files.select("path", F.repeat(F.lit("x"), F.coalesce("n", F.lit(0))).cast("binary").alias("content"))
+
+
+@BOOK.query("media_contents", f"SELECT path, length, length AS bytes FROM ({CLIPS}) WHERE path LIKE '%.mp4'")
+def media_contents(spark, sf):
+    """The clips of one kind with their bytes, as the source reads them."""
+    root = writers.work_folder(spark)
+    write_media(clip_files(spark, sf), root)
+    found = media_files(spark, root, [".mp4"], content=True)
+    return found.select(readers.below(root, "path").alias("path"), "length", F.octet_length("content").cast("bigint").alias("bytes"))
 
 
 def wav_files(spark, sf):
@@ -155,9 +176,16 @@ def wav_files(spark, sf):
     FROM (SELECT vec_id, r.range FROM embeddings, range(48) r) r LEFT JOIN m ON m.vec_id = r.vec_id AND m.i = r.range GROUP BY r.vec_id, r.range""",
 )
 def read_waveforms(spark, sf):
-    rows = table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("audio_path"))
-    clips = readers.attach_waveforms(rows, wav_files(spark, sf), "", "audio_path", 48)
-    return clips.select(F.col("audio_path").alias("path"), F.posexplode("waveform").alias("i", "x")).withColumn("x", r6(F.col("x").cast("double")))
+    """Every embedding's clip lies on disk in one of 16 folders, beside one that no row names."""
+    root = writers.work_folder(spark)
+    folder = lambda c: F.concat((F.regexp_extract(c, "^([0-9]+)", 1).cast("bigint") % 16).cast("string"), F.lit("/"), c)
+    clips = wav_files(spark, sf).select(folder(F.col("path")).alias("path"), "content")
+    odd = spark.range(1).select(F.lit("0/unnamed.wav").alias("path"), F.lit("no clip").cast("binary").alias("content"))
+    write_media(clips.unionByName(odd), root)
+    rows = table(spark, sf, "embeddings").select(folder(F.concat(F.col("vec_id").cast("string"), F.lit(".wav"))).alias("audio_path"))
+    found = readers.read_waveforms(rows, root, "audio_path", 48)
+    name = F.substring_index("audio_path", "/", -1)
+    return found.select(name.alias("path"), F.posexplode("waveform").alias("i", "x")).withColumn("x", r6(F.col("x").cast("double")))
 
 
 @BOOK.query(

@@ -16,6 +16,7 @@ from fieldtrace.functions import coerce
 from fieldtrace.functions.scalar import basename, date_in_name, fit_length
 from fieldtrace.operators.align import keep_first
 from fieldtrace.schema import DURATION_ENTRY, PART_COLUMNS, SOURCE_COLUMNS, STATS_SCHEMA, TRAJECTORY_COLUMNS, require_columns
+from fieldtrace.sources.media import media_files, with_contents
 from fieldtrace.sources.named_csv import has, read_named
 
 NUMBERS = ["lon", "lat", "speed", "depth", "heading"]
@@ -112,13 +113,13 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 def asset_inventory(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """(name, path, length): one file per base name below ``root``.
 
-    Suffixes are ranked by their place in the list, then paths by name. Contents are not read.
+    Suffixes are ranked by their place in the list, then paths by name. Tasks list the folders; contents are not read.
     """
-    return pick_assets(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), suffixes)
+    return pick_assets(media_files(spark, root, suffixes), suffixes)
 
 
 def pick_assets(files: DataFrame, suffixes: list[str]) -> DataFrame:
-    """``asset_inventory`` over a listing (path, length), for trees too large for the driver to list."""
+    """``asset_inventory`` over a listing (path, length)."""
     suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     rank = F.array_position(F.array(*map(F.lit, suffixes)), suffix)
     found = files.withColumns({"name": basename(F.col("path")), "_rank": rank}).where("_rank > 0")
@@ -153,9 +154,15 @@ def decode_waveforms(files: DataFrame, sample_rate: int = 16000) -> DataFrame:
 
 
 def read_waveforms(rows: DataFrame, root: str, path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
-    """Add waveform to rows whose ``path`` is relative to ``root``; NULL where there is no such file."""
-    reader = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
-    return attach_waveforms(rows, reader.load(root), root, path, sample_rate)
+    """Add waveform to rows whose ``path`` is relative to ``root``; NULL where there is no such file.
+
+    The listing meets the rows by path first; only then are bytes read, of the files that some row names, and decoded in
+    the same task: no clip is shuffled.
+    """
+    listed = media_files(rows.sparkSession, root).select("path", below(root, "path").alias("_name"))
+    wanted = rows.select(F.col(path).alias("_name")).where("_name is not null").distinct()
+    clips = decode_waveforms(with_contents(listed.join(wanted, "_name", "left_semi").select("path")), sample_rate)
+    return rows.join(clips.select(below(root, "path").alias(path), "waveform"), path, "left")
 
 
 def below(root: str, path) -> Column:
@@ -164,7 +171,7 @@ def below(root: str, path) -> Column:
 
 
 def attach_waveforms(rows: DataFrame, files: DataFrame, root: str = "", path: str = "audio_path", sample_rate: int = 16000) -> DataFrame:
-    """``read_waveforms`` over (path, content): only the clips that some row names are decoded."""
+    """``read_waveforms`` over a table (path, content): only the clips that some row names are decoded."""
     wanted = rows.select(F.col(path).alias("path")).where("path is not null").distinct()
     named = files.select(below(root, "path").alias("path"), "content").join(wanted, "path", "left_semi")
     clips = decode_waveforms(named, sample_rate).withColumnRenamed("path", path)

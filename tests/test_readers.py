@@ -136,3 +136,28 @@ def test_waveforms_from_disk(spark, tmp_path):
 def test_other_sample_widths_are_an_error():
     with pytest.raises(ValueError, match="1 bytes"):
         readers.decode_pcm16(clip([128, 128], width=1))
+
+
+def test_media_are_listed_by_tasks_and_read_on_demand(spark, tmp_path):
+    from fieldtrace.sources.media import MediaReader, media_files, with_contents
+
+    for name, data in (("top.wav", b"t"), ("a/x.wav", b"xx"), ("a/b/y.WAV", b"yy"), ("a/b/y.wav", b"yyy"), ("c/z.jpg", b""), ("c d/ü.wav", b"u")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "empty").mkdir()
+    root = str(tmp_path)
+    reader = MediaReader(root, [".wav"], False)
+    assert [(p.path.removeprefix(root), p.deep) for p in reader.partitions()] == [("", False), ("/a", True), ("/c", True), ("/c d", True), ("/empty", True)]
+    listed = {r["path"].removeprefix(root + "/"): r["length"] for r in media_files(spark, root, [".wav"]).collect()}
+    assert listed == {"top.wav": 1, "a/x.wav": 2, "a/b/y.wav": 3, "c d/ü.wav": 1}
+    assert media_files(spark, root).count() == 6
+    for uri in (root, f"file:{root}", f"file://{root}/"):
+        found = media_files(spark, uri, [".wav"], content=True).collect()
+        assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in found} == {"top.wav": b"t", "x.wav": b"xx", "y.wav": b"yyy", "ü.wav": b"u"}
+    # Only the files that are left are opened.
+    (tmp_path / "a" / "x.wav").unlink()
+    left = spark.createDataFrame([(f"{root}/top.wav",)], "path string")
+    assert [bytes(r["content"]) for r in with_contents(left).collect()] == [b"t"]
+    assert media_files(spark, f"{root}/nowhere").count() == 0
+    batches = list(reader.read(reader.partitions()[1]))
+    assert [b.schema.names for b in batches] == [["path", "length"]]
