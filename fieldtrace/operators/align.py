@@ -162,6 +162,15 @@ def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def on_wanted_dates(df: DataFrame, wanted: DataFrame, date: str = "date") -> DataFrame:
+    """Rows whose date a table lists. Over a dataset written by date, only the listed dates' folders are read.
+
+    The table is one row per day at most once its repeats are gone, so it is broadcast; the scan then takes its partitions
+    from the broadcast while the query runs.
+    """
+    return df.join(F.broadcast(wanted.select(date).where(F.col(date).isNotNull()).distinct()), date, "left_semi")
+
+
 def first_entities(df: DataFrame, n: int, order: list, entity: str = "entity_id") -> DataFrame:
     """Rows of the n entities that appear first in ``order``; a report option, so the limit is the point."""
     starts = df.groupBy(entity).agg(F.min(F.struct(*order)).alias("_first"))

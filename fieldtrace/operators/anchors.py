@@ -32,7 +32,12 @@ def inferred_stride(
     high: int = 20,
 ) -> DataFrame:
     """Stride per (entity, segment, class): the class's median run length there times ``ratio``, clipped."""
-    runs = segment_runs(df, order, label, max_gap).groupBy(order.entity, "segment_id", "run_id")
+    return strides_of(segment_runs(df, order, label, max_gap), order, label, ratio, low, high)
+
+
+def strides_of(rows: DataFrame, order: Order, label: str, ratio: float, low: int, high: int) -> DataFrame:
+    """``inferred_stride`` of rows that have their segment_id and run_id."""
+    runs = rows.groupBy(order.entity, "segment_id", "run_id")
     lengths = runs.agg(
         F.min(label).alias(label), (F.max(order.second) - F.min(order.second) + 1).alias("duration")
     )
@@ -83,9 +88,12 @@ def adaptive_anchors(
     low: int = 1,
     high: int = 20,
 ) -> DataFrame:
-    """Anchors per same-label run inside a segment, on the stride of the run's class, plus the run's last row."""
-    rows = segment_runs(df, order, label, max_gap)
-    inferred = inferred_stride(df, order, label, max_gap, ratio, low, high)
+    """Anchors per same-label run inside a segment, on the stride of the run's class, plus the run's last row.
+
+    Segments and runs are found once and written: the strides come from the rows that they are joined to.
+    """
+    rows = settled(segment_runs(df, order, label, max_gap))
+    inferred = strides_of(rows, order, label, ratio, low, high)
     rows = with_stride(rows, [order.entity], label, inferred, config, default_stride, low, high)
     return rows.where(on_stride("run_pos", F.col("stride"), "run_last"))
 
@@ -114,7 +122,8 @@ def window_rows(
     rows = rows.withColumn("seg_pos", F.col("pos") - F.col("segment_start"))
     if not adaptive:
         return rows.withColumn("is_anchor", on_stride("seg_pos", stride, "segment_last"))
-    inferred = inferred_stride(df, order, label, max_gap, ratio, low, high)
+    rows = settled(rows)
+    inferred = strides_of(rows.where("_own"), order, label, ratio, low, high)
     rows = with_stride(rows, [order.entity], label, inferred, config, stride, low, high)
     rows = rows.withColumn("_place", F.col("pos") - F.col("run_start"))
     rows = rows.withColumn("is_anchor", on_stride("_place", F.col("stride"), "run_last"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
+from pathlib import Path
 
-import pandas as pd
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtrace.functions.scalar import argmax, array_sum, softmax
 from fieldtrace.schema import FEATURE_NAMES, NUM_CLASSES
+from fieldtrace.sources.writers import work_folder
 
 
 def late_fusion(df: DataFrame, logits: list[Column], gates: Column, k: int = NUM_CLASSES) -> DataFrame:
@@ -37,22 +41,48 @@ def join_predictions(anchors: DataFrame, predictions: DataFrame, keys: list[str]
     return anchors.join(predictions, keys).withColumn("correct", F.col("y_true") == F.col("y_pred"))
 
 
+def ship_model(model: DataFrame) -> str:
+    """Stores a fitted model's table (class_id, vector: array<double>, bias) and sends it along with the job; gives its name.
+
+    The file lies in the shared work folder; Spark brings it to every worker once. A model has a row per class.
+    """
+    path = work_folder(model.sparkSession)
+    model.select("class_id", "vector", "bias").coalesce(1).write.json(path)
+    model.sparkSession.sparkContext.addFile(path, recursive=True)
+    return path.rsplit("/", 1)[1]
+
+
+def load_linear(name: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Reads a shipped model: inputs (n, d) -> the class of the largest vector . input + bias, the smallest id on ties."""
+    lines = (line for part in sorted(Path(SparkFiles.get(name)).glob("part-*")) for line in part.read_text().splitlines())
+    rows = sorted(map(json.loads, lines), key=lambda r: r["class_id"])
+    ids = np.array([r["class_id"] for r in rows], dtype=np.int32)
+    vectors, bias = np.array([r["vector"] for r in rows], dtype=np.float64), np.array([r["bias"] for r in rows], dtype=np.float64)
+    return lambda inputs: ids[(inputs.astype(np.float64) @ vectors.T + bias).argmax(axis=1)]
+
+
+def centroids(samples: DataFrame, inputs: str, label: str = "label") -> DataFrame:
+    """A nearest-mean classifier as a linear model: per class the mean of ``inputs``, and less half its square as bias."""
+    flat = samples.where(F.col(label).isNotNull()).select(label, F.posexplode(inputs).alias("i", "x"))
+    means = flat.groupBy(label, "i").agg(F.avg("x").alias("m"))
+    packed = means.groupBy(F.col(label).alias("class_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
+    return packed.withColumn("bias", -array_sum(F.transform("vector", lambda x: x * x)) / 2)
+
+
 def batch_score(
-    samples: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], keys: list[str], inputs: list[str], name: str = "y_pred"
+    samples: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], inputs: str, size: int, name: str = "y_pred", batch_size: int = 4096
 ) -> DataFrame:
-    """Run a supplied batch predictor over the samples, an Arrow batch at a time.
+    """Adds the integer prediction of a loaded model for ``inputs``, arrays of ``size`` numbers; NULL for NULL arrays.
 
-    Only ``keys`` and ``inputs`` cross over to Python; the keys and the integer prediction come back.
+    ``load`` runs once in each worker and returns the predictor, which gets up to ``batch_size`` rows at a time as a
+    matrix. Only the inputs cross over to Python and only the predictions come back.
     """
-    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField(name, T.IntegerType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keys].copy()
-            out[name] = pd.Series(predict(batch[inputs]), index=batch.index).astype("int32")
-            yield out
+    from pyspark.ml.functions import predict_batch_udf
 
-    return samples.select(*keys, *(i for i in inputs if i not in keys)).mapInPandas(run, schema)
+    predict = predict_batch_udf(load, return_type=T.IntegerType(), batch_size=batch_size, input_tensor_shapes=[[size]])
+    # The predictor wants whole matrices: rows without inputs get zeros, whose prediction is dropped.
+    filled = F.coalesce(F.col(inputs).cast("array<double>"), F.array_repeat(F.lit(0.0), size))
+    return samples.withColumn(name, F.when(F.col(inputs).isNotNull(), predict(filled)))
 
 
 def baseline_classifier(

@@ -430,10 +430,10 @@ def label_union(spark, sf):
     return M.label_union(track(spark, sf), *YY)
 
 
-@BOOK.query("complete_classes", f"WITH {TRACK}, {DIMS} SELECT class_id, count(t.tie) AS rows FROM dims LEFT JOIN track t ON label = class_id AND label % 3 <> 1 GROUP BY 1")
+@BOOK.query("complete_classes", f"WITH {TRACK} SELECT CAST(range AS INTEGER) AS class_id, count(t.tie) AS rows FROM range({NUM_CLASSES + 2}) LEFT JOIN track t ON label = range GROUP BY 1")
 def complete_classes(spark, sf):
-    """Rows per class, with every third class taken out of the track, so that some have none."""
-    return N.class_weights(track(spark, sf).where("label % 3 <> 1")).select("class_id", "rows")
+    """Rows per class over a dimension with two classes that no row has."""
+    return N.class_weights(track(spark, sf), num_classes=NUM_CLASSES + 2).select("class_id", "rows")
 
 
 # Losses over logits: the first eleven embedding dimensions.
@@ -656,16 +656,29 @@ def join_predictions(spark, sf):
     return out.select(*KEY, "second", "y_true", "y_pred", "correct")
 
 
-@BOOK.query("batch_score", f"WITH {ANCHORS} SELECT entity_id, tie, CAST(floor(heading / 33) AS INTEGER) AS y_pred FROM anchor")
+SLOTS = f"""{ANCHORS}, sized AS (SELECT *, max(seg_pos) OVER (PARTITION BY entity_id, segment_id) AS last_pos FROM seg),
+slots AS (SELECT a.entity_id, a.tie, a.label, i.range AS i, r.speed AS x
+  FROM sized a, range(5) i, seg r WHERE (a.seg_pos % 3 = 0 OR a.is_last)
+    AND r.entity_id = a.entity_id AND r.segment_id = a.segment_id AND r.seg_pos = greatest(0, a.seg_pos - 4 + i.range)),
+means AS (SELECT label AS class_id, i, avg(x) AS m FROM slots GROUP BY 1, 2),
+far AS (SELECT entity_id, tie, class_id, sum((x - m) * (x - m)) AS d FROM slots JOIN means USING (i) GROUP BY 1, 2, 3)"""
+
+
+@BOOK.query("batch_score", f"WITH {SLOTS} SELECT entity_id, tie, CAST(arg_min(class_id, (round(d, 9), class_id)) AS INTEGER) AS y_pred FROM far GROUP BY 1, 2")
 def batch_score(spark, sf):
-    return SC.batch_score(anchors(spark, sf), lambda b: b["heading"] // 33, KEY, ["heading"])
+    """A nearest-mean classifier over windows of speeds, fitted, stored, and loaded once by each worker."""
+    windows = A.build_windows(track(spark, sf), ORDER, 5, ["speed"], "causal", GAP, 3)
+    samples = settled(windows.select(*KEY, "label", F.transform("window", lambda r: r["speed"]).alias("speeds")))
+    name = SC.ship_model(SC.centroids(samples, "speeds"))
+    return SC.batch_score(samples, lambda: SC.load_linear(name), "speeds", 5).select(*KEY, "y_pred")
 
 
-@BOOK.query("baseline_classifier", f"WITH {TRACK} SELECT entity_id, tie, label, true AS scored FROM track")
+@BOOK.query("baseline_classifier", f"WITH {TRACK} SELECT entity_id, tie, label, label AS y_pred FROM track")
 def baseline_classifier(spark, sf):
-    from fieldtrace.operators.features import segment_features
-    rows = settled(segment_features(track(spark, sf), ORDER, 48))
+    """Trained on separable rows: each class has a feature that only its rows raise, beside others that tell nothing."""
+    signs = {f"sign_{c}": F.when(F.col("label") == c, 4.0).otherwise(0.0) + F.col("tie") % 7 / 10 for c in range(NUM_CLASSES)}
+    rows = settled(track(spark, sf).withColumns(signs).select(*KEY, "label", "lon", "heading", *signs))
     weights = N.class_weights(rows).select(F.col("class_id").alias("label"), "weight")
     train = rows.join(F.broadcast(weights), "label")
-    out = SC.baseline_classifier(train, rows, weight="weight", max_iter=5)
-    return out.select(*KEY, "label", F.coalesce(F.col("y_pred").between(0, NUM_CLASSES - 1), F.lit(False)).alias("scored"))
+    out = SC.baseline_classifier(train, rows, ["lon", "heading", *signs], weight="weight", max_iter=30)
+    return out.select(*KEY, "label", "y_pred")

@@ -12,7 +12,8 @@ from fieldtrace.registry.book import BOOK, joined, q6, r6
 from fieldtrace.registry.views import (
     ALIGN, DATED, OBSERVATIONS, SPLIT_DATES, SPLITTED, TRACK, aligned, dated, observations, points, sql_list, table, track,
 )
-from fieldtrace.sources.writers import settled
+from fieldtrace.sources.readers import read_by_date
+from fieldtrace.sources.writers import settled, work_folder, write_by_date
 from fieldtrace.schema import ANCHOR_COLUMNS, CLASS_NAMES, CLEAN_INPUT_COLUMNS, TRAJECTORY_COLUMNS, require_columns
 
 FIRST_BY = ["tie"]
@@ -132,10 +133,30 @@ def class_name(spark, sf):
     return with_class_name(observations(spark, sf), "label").select("tie", "class_name")
 
 
+def by_date(spark, sf):
+    """The track as a dataset with a folder for each date."""
+    path = work_folder(spark)
+    write_by_date(dated(spark, sf).select("date", "frame_time", "entity_id", "second", "tie"), path, ["frame_time", "entity_id", "second", "tie"])
+    return read_by_date(spark, path)
+
+
 @BOOK.query("filter_dates", f"WITH {DATED} SELECT tie, date FROM dated WHERE date IN ('2024-01-03', '2024-01-17')")
 def filter_dates(spark, sf):
-    rows = dated(spark, sf)
-    return align.on_dates(rows, " 2024-01-03, ,2024-01-17 ").select("tie", "date")
+    rows = align.on_dates(by_date(spark, sf), " 2024-01-03, ,2024-01-17 ")
+    return rows.select("tie", coerce.day("date").alias("date"))
+
+
+@BOOK.query(
+    "filter_dates_joined",
+    f"""WITH {DATED} SELECT tie, date FROM dated
+    WHERE date IN (SELECT strftime(o_orderdate + INTERVAL (2024 - year(o_orderdate)) YEAR, '%Y-%m-%d') FROM orders WHERE o_totalprice > 495000)""",
+)
+def filter_dates_joined(spark, sf):
+    """Dates on which, in some year, there was a large order."""
+    large = table(spark, sf, "orders").where("o_totalprice > 495000")
+    day = F.expr("o_orderdate + make_ym_interval(2024 - year(o_orderdate), 0)")
+    rows = align.on_wanted_dates(by_date(spark, sf), large.select(F.to_date(day).alias("date")))
+    return rows.select("tie", coerce.day("date").alias("date"))
 
 
 @BOOK.query(

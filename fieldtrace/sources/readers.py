@@ -88,6 +88,11 @@ def read_parts(spark: SparkSession, paths, columns: list[str] | None = None, dat
     return keep_first(points, ["date", "epoch_second"], ["fix_time", "part_file", "lon", "lat", "speed", "heading"])
 
 
+def read_by_date(spark: SparkSession, path: str) -> DataFrame:
+    """A dataset that ``write_by_date`` made; date is a date, and filters on it choose folders."""
+    return spark.read.parquet(path).withColumn("date", F.col("date").cast("date"))
+
+
 def parse_duration_config(texts: DataFrame, column: str = "value") -> DataFrame:
     """JSON text {class: {window, stride, median_duration, p75_duration, segment_count}} -> one row per class."""
     parsed = F.from_json(column, T.MapType(T.StringType(), DURATION_ENTRY))
