@@ -16,8 +16,8 @@ from fieldtrace.registry.book import BOOK, joined
 from fieldtrace.registry.sequences import GAP, KEY
 from fieldtrace.registry.views import BASE_MICROS, ORDER, track
 
-#: Small enough to cut the large entity of every test size into many chunks.
-HOT = replace(ORDER, hot_rows=60)
+#: Rows from which an entity is cut: a tenth of the table, so that the large entity becomes five chunks at every size.
+CHUNKS, LEAST = 10, 60
 LENGTH = 6
 
 ENTITY = "CASE WHEN event_id % 2 = 1 THEN user_id WHEN event_id % 6 = 0 THEN -1 END"
@@ -47,7 +47,7 @@ def rows(spark, sf):
 
 def hot(spark, sf):
     df = rows(spark, sf)
-    return df, with_hot(df, HOT)
+    return df, with_hot(df, replace(ORDER, hot_rows=max(LEAST, df.count() // CHUNKS)))
 
 
 @BOOK.query("row_position_hot", uneven("row_position"))
