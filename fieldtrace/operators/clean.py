@@ -161,13 +161,8 @@ def local_counts() -> dict[str, Column]:
     }
 
 
-def clean_with_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> tuple[DataFrame, DataFrame]:
-    """The cleaned rows, written once to the work folder, and the report of that very run (see ``clean_report``).
-
-    The rows lost to each rule are observed as they pass, so the source is read and the rules are applied once. Should
-    executors be lost so that parts of the run are repeated, the counts are taken again by plain aggregates.
-    """
-    counts = Counts()
+def watched(df: DataFrame, first_by: list[str], order: Order, counts: Counts) -> DataFrame:
+    """The cleaned rows of a plan that counts what each rule takes while they pass."""
     coerced = coerce_rows(df)
     hot = early_hot(coerced, order)
     marked = counts.at(mark_rows(coerced), **local_counts())
@@ -175,10 +170,23 @@ def clean_with_report(df: DataFrame, first_by: list[str], order: Order = MOTION_
     left = counts.at(keep_first(left, [order.entity, order.second], first_by), seconds=F.count(F.lit(1)))
     left = counts.at(keep_first(left, ["frame_path"], first_by), frames=F.count(F.lit(1)))
     left = counts.at(jump_flags(left, order, hot), dropped_extreme_motion_rows=F.count_if("gps_jump"))
-    left = left.where(~F.col("gps_jump")).drop("gps_jump", "second_gap", "prev_distance")
-    rows = settled(final_casts(left))
+    return left.where(~F.col("gps_jump")).drop("gps_jump", "second_gap", "prev_distance")
+
+
+def reported(df: DataFrame, first_by: list[str], order: Order, counts: Counts) -> DataFrame:
     found = counts.read()
-    return rows, report_of(df.sparkSession, found if found is not None else recounted(df, first_by, order))
+    return report_of(df.sparkSession, found if found is not None else recounted(df, first_by, order))
+
+
+def clean_with_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> tuple[DataFrame, DataFrame]:
+    """The cleaned rows, written once to the work folder, and the report of that very run (see ``clean_report``).
+
+    The rows lost to each rule are observed as they pass, so the source is read and the rules are applied once. Should
+    executors be lost so that parts of the run are repeated, the counts are taken again by plain aggregates.
+    """
+    counts = Counts()
+    rows = settled(final_casts(watched(df, first_by, order, counts)))
+    return rows, reported(df, first_by, order, counts)
 
 
 def recounted(df: DataFrame, first_by: list[str], order: Order) -> dict[str, int]:
@@ -200,5 +208,10 @@ def report_of(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
 
 
 def clean_report(df: DataFrame, first_by: list[str], order: Order = MOTION_ORDER) -> DataFrame:
-    """(measure, rows): source rows, rows lost to each rule in turn, headings set to 0, clean rows."""
-    return clean_with_report(df, first_by, order)[1]
+    """(measure, rows): source rows, rows lost to each rule in turn, headings set to 0, clean rows.
+
+    For the report alone: the rows pass the rules and are kept nowhere.
+    """
+    counts = Counts()
+    watched(df, first_by, order, counts).write.format("noop").mode("overwrite").save()
+    return reported(df, first_by, order, counts)

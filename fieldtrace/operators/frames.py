@@ -124,6 +124,12 @@ def nearest_row_join(
     window. Cost does not grow with ``length``, and rows without a second are nearest only where a window starts with one.
     ``radius`` may differ by row. Adds target (from 0) and nearest_<column>.
     """
+    out = _nearest(df, order, length, columns, k, radius, context, **cut)
+    return out.select(order.entity, "_meta.*", "target", *(F.col(f"_found.{c}").alias(f"nearest_{c}") for c in columns))
+
+
+def _nearest(df: DataFrame, order: Order, length: int, columns: list[str], k: int, radius: Column, context: str, **cut) -> DataFrame:
+    """``nearest_row_join`` where its windows left the rows: entity, _chunk, segment_id, seg_pos, _meta, target, _found."""
     back, ahead = window_reach(length, context)
     rows = window_rows(df, order, length, **{"max_gap": 1.0, "stride": 20, "adaptive": False, "label": "label", "config": None, "ratio": 0.25, "low": 1, "high": 20} | cut)
     meta = [c for c in df.columns if c not in order.keys]
@@ -158,15 +164,16 @@ def nearest_row_join(
         .when(F.col("_b.seg_pos") >= F.col("_last.seg_pos"), clipped("_last._head"))
         .otherwise(nearer)
     )
-    out = met.withColumn("_found", found["v"])
-    return out.select(order.entity, "_meta.*", "target", *(F.col(f"_found.{c}").alias(f"nearest_{c}") for c in columns))
+    return met.select(*part, "seg_pos", "_meta", "target", found["v"].alias("_found"))
 
 
 def center_frames(df: DataFrame, order: Order, length: int, column: str, k: int, radius: Column, context: str = "centered", **cut) -> DataFrame:
     """One row per anchor with frames: ``column`` of the row nearest to each of k target seconds (see ``nearest_row_join``)."""
-    rows = nearest_row_join(df, order, length, [column], k, radius, context, **cut)
-    frames = F.sort_array(F.collect_list(F.struct("target", F.col(f"nearest_{column}").alias("f"))))
-    return rows.groupBy(*order.keys).agg(F.transform(frames, lambda x: x["f"]).alias("frames"))
+    rows = _nearest(df, order, length, [column], k, radius, context, **cut)
+    # An anchor's targets are still together, so they are packed without an exchange.
+    frames = F.sort_array(F.collect_list(F.struct("target", F.col(f"_found.{column}").alias("f"))))
+    packed = rows.groupBy(order.entity, "_chunk", "segment_id", "seg_pos").agg(F.any_value("_meta").alias("_meta"), frames.alias("f"))
+    return packed.select(order.entity, *(F.col(f"_meta.{c}").alias(c) for c in order.by), F.transform("f", lambda x: x["f"]).alias("frames"))
 
 
 def mean_pool(df: DataFrame, clip_keys: list[str], vector: str) -> DataFrame:

@@ -7,6 +7,8 @@ number of buckets follows the number of rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,7 +144,7 @@ def allotted(units: DataFrame, n: int, total: float, shift: float, digits: int)
     are its expected number, rounded up or down at random. Running totals are taken in two steps, over a leading part of
     the units' names and inside it; a unit ends where the next one begins, so no draw is lost or made twice.
     """
-    sums = settled(units.withColumn("_half", F.substring("unit", 1, 1 + digits // 2)))
+    sums = units.withColumn("_half", F.substring("unit", 1, 1 + digits // 2))
     before = Window.unboundedPreceding, -1
     by_half, by_unit = Window.orderBy("_half"), Window.partitionBy("_half").orderBy("unit")
     tops = sums.groupBy("_half").agg(F.sum("w").alias("_t"))
@@ -165,20 +167,23 @@ def weighted_resample(samples: DataFrame, keys: list[str], weight: str = "weight
     its own, whose draws are made in chunks. Missing weights and those not above 0 are never drawn; if there are no others,
     nothing is. ``samples`` is read several times: settle it first when it is the end of a long chain.
     """
-    n = samples.count()
-    digits = bucket_digits(n)
     w = F.col(weight).cast("double")
-    rows = samples.select(F.struct(*samples.columns).alias("row"), shuffle_key(seed, *keys).alias("_hash"), w.alias("_w")).where("_w > 0")
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, digits))
-    total = rows.agg(F.sum("_w")).first()[0]
+    rows = samples.select(F.struct(*samples.columns).alias("row"), shuffle_key(seed, *keys).alias("_hash"), w.alias("_w"))
+    drawable = F.when(F.col("_w") > 0, F.col("_w"))
+    n, total, most = rows.agg(F.count(F.lit(1)), F.sum(drawable), F.max(drawable)).first()
     if total is None:
         return samples.where("false").withColumn("draw", F.lit("").cast("string"))
+    digits = bucket_digits(n)
+    rows = rows.where("_w > 0").withColumn("_bucket", F.substring("_hash", 1, digits))
+    shift = int(hashlib.md5(str(seed + 3).encode()).hexdigest()[:12], 16) / 16**12
     heavy = F.col("_w") * n > F.lit(total) * BUCKET_ROWS
-    light, own = rows.where(~heavy), rows.where(heavy)
+    some_heavy = most * n > total * BUCKET_ROWS
+    light, own = rows.where(~heavy) if some_heavy else rows, rows.where(heavy)
     units = light.groupBy(F.concat(F.lit("b"), "_bucket").alias("unit")).agg(F.sum("_w").alias("w"))
-    units = units.unionByName(own.select(F.concat(F.lit("h"), "_hash").alias("unit"), F.col("_w").alias("w")))
-    shift = samples.sparkSession.range(1).select(unit_of(shuffle_key(seed + 3))).first()[0]
-    shares = settled(allotted(units, n, total, shift, digits))
+    if some_heavy:
+        units = settled(units.unionByName(own.select(F.concat(F.lit("h"), "_hash").alias("unit"), F.col("_w").alias("w"))))
+    shares = allotted(units, n, total, shift, digits)
+    shares = settled(shares) if some_heavy else shares
 
     def key(offset: int, i: Column) -> Column:
         return F.md5(F.concat_ws("#", F.col("unit"), i.cast("string"), F.lit(str(seed + offset))))
@@ -195,12 +200,15 @@ def weighted_resample(samples: DataFrame, keys: list[str], weight: str = "weight
     met = Window.partitionBy("unit").orderBy("x", F.asc_nulls_first("i"), "_hash").rowsBetween(Window.unboundedPreceding, 0)
     drawn = spread.withColumn("row", F.last(F.when(F.col("i").isNull(), F.col("row")), True).over(met)).where(F.col("i").isNotNull())
 
+    drawn = drawn.select("unit", "row", "i")
+    if not some_heavy:
+        return drawn.select("row.*", key(2, F.col("i")).alias("draw"))
     chunks = own.withColumn("unit", F.concat(F.lit("h"), "_hash")).join(shares.where("draws > 0"), "unit")
     last = F.floor((F.col("draws") - 1) / BUCKET_ROWS)
     chunks = chunks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition("unit", "_chunk")
     first = F.col("_chunk") * BUCKET_ROWS + 1
     many = chunks.withColumn("i", F.explode(F.sequence(first, F.least(first + BUCKET_ROWS - 1, F.col("draws")))))
-    out = drawn.select("unit", "row", "i").unionByName(many.select("unit", "row", "i"))
+    out = drawn.unionByName(many.select("unit", "row", "i"))
     return out.select("row.*", key(2, F.col("i")).alias("draw"))
 
 

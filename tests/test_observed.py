@@ -43,7 +43,7 @@ def test_report_and_recount_agree_and_the_source_is_read_once(spark, monkeypatch
     monkeypatch.setattr(clean, "recounted", None)
     seen = []
     monkeypatch.setattr(clean, "settled", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
-    clean.clean_report(rows, FIRST_BY, replace(RULE_ORDER, hot=spark.createDataFrame([], "entity_id string, _rows long, _size long")))
+    clean.clean_with_report(rows, FIRST_BY, replace(RULE_ORDER, hot=spark.createDataFrame([], "entity_id string, _rows long, _size long")))
     assert len(seen) == 1 and seen[0].count("FileScan parquet") == 1
     # Counts that a repeated task made void are taken again.
     monkeypatch.undo()
