@@ -29,12 +29,16 @@ REMEMBERED = 1 << 19
 
 
 def read_vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
-    """Pieces with their scores from a sentencepiece model file, and whether unknown characters fall back to bytes."""
+    """Pieces with their scores from a sentencepiece model file, and whether unknown characters fall back to bytes.
+
+    Control, unknown, unused and byte pieces stand for no text of their own: "</s>" or "<0x0A>" in a text are plain characters.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
-    pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in range(n)]
+    apart = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in range(n) if not any(kind(i) for kind in apart)]
     return pieces, sum(model.is_byte(i) for i in range(n)) == 256
 
 
@@ -119,7 +123,8 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Each row with doc (struct of all columns), doc_id and tokens, the number of pieces of its whole text.
 
     ``vocabulary`` is the path of a sentencepiece model file, read by the driver. Null and empty texts have 0 tokens;
-    characters outside the vocabulary count as the module says.
+    characters outside the vocabulary count as the module says. Every row is counted, repeated ones alike; a text of any
+    length is read whole, with as many positions in memory as the longest piece has; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
