@@ -95,7 +95,8 @@ def identified(docs: DataFrame, dictionaries: Dictionaries, margin: float = MARG
 
     Columns: doc (struct of all columns of docs), doc_id, lang_pred (``und`` if the text is null, has no letter or
     nothing was learned), score (0 to 1, grows with the margin: 0.5 at the rejection margin, 0 for ``und``), rejected
-    (``und`` or a margin below the threshold). Equal sizes go to the first language code.
+    (``und`` or a margin below the threshold). Equal sizes go to the first language code. Every row is told by itself,
+    repeated ones alike; texts of any length are compressed whole, piece by piece; an empty table gives no rows.
     """
     found = docs.select(whole(docs), "doc_id", identifier(dictionaries)(F.col("text")).alias("_found"))
     at = F.col("_found.margin")

@@ -129,7 +129,8 @@ def train(sample: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Each row with doc (struct of all columns), doc_id, score (0 to 1) and predicted (1 at or above the threshold).
 
-    Null and empty texts are scored by the intercept alone.
+    Null and empty texts are scored by the intercept alone. Every row is scored by itself, repeated ones alike; texts of any
+    length are read whole, a window of tokens at a time; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -115,7 +115,8 @@ def kd_shards(docs: DataFrame, shards: int = 40, target_bytes: int | None = None
     Columns: doc (struct of all columns of docs, or of doc_id alone), doc_id, size (UTF-8 bytes of the text plus 16;
     null counts as none), text_crc32, shard, slot. With ``target_bytes`` the number of shards is what the table's bytes
     need. Equal texts have equal coordinates but for the last bits, so copies share a shard unless their group is
-    itself too heavy for the cut; then it is cut by a hash of doc_id. Rows equal in all columns go to one shard.
+    itself too heavy for the cut; then it is cut by a hash of doc_id. Rows equal in all columns go to one shard. A text of any
+    length counts all its bytes, though one longer than a shard makes its shard so much larger; an empty table gives no rows.
     """
     values = dims or default_dims(F.col("text"))
     base = docs.select(

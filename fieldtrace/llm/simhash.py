@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Columns: doc_id, text_key (hash of the text), fp, group (a fingerprint), component_id (smallest doc_id of the
     group, null if all are null), keeper (the row that stands for its group: smallest doc_id, then text_key; rows equal
-    in both are all keepers). Null, empty and blank texts have fingerprint 0 and are linked like any other.
+    in both are all keepers). Null, empty and blank texts have fingerprint 0 and are linked like any other; texts of any
+    length are read whole; an empty table gives no rows.
     """
     rows = settled(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), simhash(F.col("text").cast("binary")).alias("fp")))
     firsts = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))

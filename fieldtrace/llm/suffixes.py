@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS) -> DataFrame:
     document shares; every shared passage of ``words`` + WINDOW - 1 words or more is found, and a shorter one where the
     sort makes its places neighbours. Passages that repeat within one document only are not reported. A text that
     several rows hold is reported whole if it has ``words`` words; null and shorter texts have no spans. Texts are told
-    apart by a 64-bit hash.
+    apart by a 64-bit hash, texts of any length are read whole, and an empty table gives no spans.
     """
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("row_id")).where("text is not null")
     found = settled(anchors(rows.select("row_id", "text")))

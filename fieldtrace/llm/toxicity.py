@@ -168,7 +168,8 @@ def train(rows: DataFrame, counts: dict[int, int]) -> Model:
 def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """Each row with doc (struct of all columns), doc_id, score (0 to 1) and predicted (1 at or above the threshold).
 
-    Null, empty and blank texts have no words and score what the trees say of such a text.
+    Null, empty and blank texts have no words and score what the trees say of such a text. Every row is scored by itself,
+    repeated ones alike; texts of any length are read whole; an empty table gives no rows.
     """
     rows = docs.select(whole(docs), "doc_id", "text")
     if model.trees is None:
