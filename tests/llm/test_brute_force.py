@@ -1,6 +1,7 @@
 """Operators that SQL cannot say, each against a plain version of its own."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -66,20 +67,23 @@ def test_ftrl_steps_are_those_of_the_definition():
     assert [float(leader.weights(i)) for i in range(12)] == pytest.approx([weight(i) for i in range(12)], abs=1e-12)
 
 
+def smallest_encoding(learned, text):
+    """The language whose dictionary encodes a text in the fewest bytes, and the share of bytes it saves over the next."""
+    data, sizes = text.lower().encode(), []
+    for lang, content in learned.content:
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own = zstandard.ZstdCompressor(dict_data=raw, level=language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(own.compress(data[i : i + language.PIECE])) for i in range(0, len(data), language.PIECE)), lang))
+    (best, lang), (second, _) = sorted(sizes)[:2]
+    return lang, (second - best) / second
+
+
 def test_language_is_the_smallest_encoding(docs):
     learned = language.train(docs)
     for r in language.identified(docs, learned).collect():
-        text = r["doc"]["text"]
         if r["lang_pred"] == language.UNKNOWN:
             continue
-        data = text.lower().encode()
-        sizes = []
-        for lang, content in learned.content:
-            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own = zstandard.ZstdCompressor(dict_data=raw, level=language.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            sizes.append((sum(len(own.compress(data[i : i + language.PIECE])) for i in range(0, len(data), language.PIECE)), lang))
-        (best, lang), (second, _) = sorted(sizes)[:2]
-        margin = (second - best) / second
+        lang, margin = smallest_encoding(learned, r["doc"]["text"])
         assert r["lang_pred"] == lang
         assert r["score"] == pytest.approx(margin / (margin + language.MARGIN)) and r["rejected"] == (margin < language.MARGIN)
 
@@ -160,31 +164,42 @@ def tree(rows, node, parts, dims):
     d = widths.index(max(real))
     goal = sum(r[1] for r in rows) * (parts // 2) / parts
     at, cut = 0, None
-    for r in sorted(rows, key=lambda r: r[0][d]):
-        if cut is None and at + r[1] > goal:
-            cut = r[0][d] if goal - at <= at + r[1] - goal else r[0][d] + 1
-        at += r[1]
+    for value, same in itertools.groupby(sorted(rows, key=lambda r: r[0][d]), key=lambda r: r[0][d]):
+        size = sum(r[1] for r in same)
+        if cut is None and at + size > goal:
+            cut = value if goal - at <= at + size - goal else value + 1
+        at += size
     left = [r for r in rows if r[0][d] < cut]
     right = [r for r in rows if r[0][d] >= cut]
     return tree(left, node, parts // 2, dims) + tree(right, node + parts // 2, parts - parts // 2, dims)
 
 
+def coordinates(ids, texts, values):
+    """Of each row: the dimensions scaled to 20 bits over their spans, then bits of the text's hash and of the id's."""
+    top, out = (1 << sharding.DIM_BITS) - 1, []
+    for k, (i, text) in enumerate(zip(ids, texts)):
+        key = hashlib.md5(f"{i}|shard".encode()).hexdigest()
+        low = (zlib.crc32(text.encode()) % (1 << sharding.TEXT_BITS) << sharding.ID_BITS) + int(key[24:32], 16) % (1 << sharding.ID_BITS)
+        own = [(math.floor((v[k] - min(v)) * (top / ((max(v) - min(v)) or 1.0))) << (sharding.TEXT_BITS + sharding.ID_BITS)) + low for v in values]
+        out.append((own, len(text.encode()) + 16, (key, i)))
+    return out
+
+
+def numbered(found):
+    """(row, shard) -> sorted (id, shard, slot): slots follow the ids' hashes."""
+    shards = {}
+    for (_, _, (key, i)), shard in found:
+        shards.setdefault(shard, []).append((key, i))
+    return sorted((i, shard, slot) for shard, own in shards.items() for slot, (_, i) in enumerate(sorted(own)))
+
+
 @pytest.mark.parametrize("shards", [2, 5, 8])
 def test_shards_are_those_of_the_plain_tree(spark, shards):
     rng = random.Random(shards)
     rows = [(i, "x" * rng.randint(0, 90) + str(i), float(rng.randint(0, 500)), rng.random()) for i in range(120)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, x double, y double").repartition(4)
     out = sharding.kd_shards(frame, shards=shards, dims=[F.col("x"), F.col("y"), F.crc32(F.col("text").cast("binary")).cast("double")])
-    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in out.collect()}
+    got = sorted((r["doc_id"], r["shard"], r["slot"]) for r in out.collect())
     values = [[r[2] for r in rows], [r[3] for r in rows], [float(zlib.crc32(r[1].encode())) for r in rows]]
-    top = (1 << sharding.DIM_BITS) - 1
-    placed = []
-    for k, (i, text, _, _) in enumerate(rows):
-        key = hashlib.md5(f"{i}|shard".encode()).hexdigest()
-        low = (zlib.crc32(text.encode()) % (1 << sharding.TEXT_BITS) << sharding.ID_BITS) + int(key[24:32], 16) % (1 << sharding.ID_BITS)
-        own = [(math.floor((v[k] - min(v)) * (top / (max(v) - min(v)))) << (sharding.TEXT_BITS + sharding.ID_BITS)) + low for v in values]
-        placed.append((own, len(text) + 16, (key, i)))
-    want = {}
-    for (_, _, (key, i)), shard in tree(placed, 0, shards, 3):
-        want.setdefault(shard, []).append((key, i))
-    assert got == {i: (shard, slot) for shard, own in want.items() for slot, (_, i) in enumerate(sorted(own))}
+    placed = coordinates([r[0] for r in rows], [r[1] for r in rows], values)
+    assert got == numbered(tree(placed, 0, shards, 3))
