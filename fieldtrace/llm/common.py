@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -63,24 +64,42 @@ def running(
     return both.withColumn(name, total).drop("_bucket", "_offset")
 
 
+def settled_any(df: DataFrame, condition: Column) -> tuple[DataFrame, bool]:
+    """The same rows, written to the shared folder, and whether any of them meets the condition, observed on the way.
+
+    A task that is repeated because an executor was lost is counted again, which turns no 0 into another number. Where
+    Spark knows a table to be empty it observes nothing; then the written rows are looked at.
+    """
+    seen = Observation()
+    kept = settled(df.observe(seen, F.count_if(condition).alias("n")))
+    try:
+        return kept, seen.get["n"] > 0
+    except (Py4JJavaError, KeyError):
+        return kept, not kept.where(condition).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root): the smallest node of each connected component, for all nodes that have a link.
 
     Rounds of hooking and pointer jumping on whole tables: in each round every root takes the smallest root that a
     link shows it, then all pointers are followed to their ends. Links within one component are dropped, so the table
-    of links shrinks, and a chain of n nodes needs about log n rounds. Each round is written to the shared folder.
+    of links shrinks, and a chain of n nodes needs about log n rounds. Each round is written to the shared folder, and
+    whether anything is left is observed while it is written.
     """
+    def open_links(pairs: DataFrame) -> tuple[DataFrame, bool]:
+        distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        return settled_any(distinct, F.lit(True))
+
     pointers = None
-    links = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    while not links.isEmpty():
-        hook = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        hook = settled(hook)
-        while True:
+    links, left_over = open_links(edges)
+    while left_over:
+        hook = settled(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
+        moved = True
+        while moved:
             up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            jumped = settled(hook.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
-            hook = jumped.drop("moved")
-            if jumped.where("moved").isEmpty():
-                break
+            jumped = hook.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
+            hook, moved = settled_any(jumped, F.col("moved"))
+            hook = hook.drop("moved")
         fresh = hook
         if pointers is None:
             pointers = fresh
@@ -90,9 +109,8 @@ def components(edges: DataFrame) -> DataFrame:
             pointers = settled(old.unionByName(fresh.join(old.select("node"), "node", "left_anti")))
         left = fresh.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = fresh.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = links.join(left, "a", "left").join(right, "b", "left")
-        moved = moved.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        links = settled(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        joined = links.join(left, "a", "left").join(right, "b", "left")
+        links, left_over = open_links(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     if pointers is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = pointers.select(F.col("root").alias("node"), "root").distinct()
