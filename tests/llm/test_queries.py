@@ -1,9 +1,8 @@
-"""Every registered query runs over the smallest tables and returns its contract's columns."""
+"""Every corpus query runs over the smallest tables and returns its contract's columns."""
 
 import pytest
 
 import __spark_entry__ as entry
-from tests.oracle import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -25,12 +24,12 @@ COLUMNS = {
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
-def test_query(spark, name):
-    out = entry.queries()[name](spark, SF)
-    assert COLUMNS[name] <= set(out.columns)
-    assert out.count() > 0
+def test_columns(spark, name):
+    """Rows, and their agreement with the SQL where there is one, are tested for all registered queries together."""
+    assert COLUMNS[name] <= set(entry.queries()[name](spark, SF).columns)
 
 
-@pytest.mark.parametrize("name", ["op4_curriculum_mix", "op10_block_top_k", "op12_phrase_automata", "op13_ranked_lexical_search"])
-def test_sql(spark, name):
-    assert compare(spark, open_tables(SF), SF, entry.queries()[name], entry.oracle_sql()[name]) is None
+def test_every_corpus_query_is_here_and_four_have_sql():
+    corpus = {n for n in entry.queries() if n == "pipeline" or (n.startswith("op") and n[2].isdigit())}
+    assert corpus == set(COLUMNS)
+    assert {n for n in corpus if n in entry.oracle_sql()} == {"op4_curriculum_mix", "op10_block_top_k", "op12_phrase_automata", "op13_ranked_lexical_search"}
