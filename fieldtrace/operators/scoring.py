@@ -44,18 +44,20 @@ def join_predictions(anchors: DataFrame, predictions: DataFrame, keys: list[str]
 def ship_model(model: DataFrame) -> str:
     """Stores a fitted model's table (class_id, vector: array<double>, bias) and sends it along with the job; gives its name.
 
-    The file lies in the shared work folder; Spark brings it to every worker once. A model has a row per class.
+    The file lies in the shared work folder; Spark brings it to every worker once. A model has a row per class. The one
+    file is sent, not its folder: a cluster takes no local folders.
     """
-    path = work_folder(model.sparkSession)
-    model.select("class_id", "vector", "bias").coalesce(1).write.json(path)
-    model.sparkSession.sparkContext.addFile(path, recursive=True)
-    return path.rsplit("/", 1)[1]
+    spark, path = model.sparkSession, work_folder(model.sparkSession)
+    rows = F.sort_array(F.collect_list(F.struct("class_id", "vector", "bias")))
+    model.agg(F.to_json(rows).alias("value")).coalesce(1).write.text(path)
+    file = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").first()["path"]
+    spark.sparkContext.addFile(file)
+    return file.rsplit("/", 1)[1]
 
 
 def load_linear(name: str) -> Callable[[np.ndarray], np.ndarray]:
     """Reads a shipped model: inputs (n, d) -> the class of the largest vector . input + bias, the smallest id on ties."""
-    lines = (line for part in sorted(Path(SparkFiles.get(name)).glob("part-*")) for line in part.read_text().splitlines())
-    rows = sorted(map(json.loads, lines), key=lambda r: r["class_id"])
+    rows = json.loads(Path(SparkFiles.get(name)).read_text())
     ids = np.array([r["class_id"] for r in rows], dtype=np.int32)
     vectors, bias = np.array([r["vector"] for r in rows], dtype=np.float64), np.array([r["bias"] for r in rows], dtype=np.float64)
     return lambda inputs: ids[(inputs.astype(np.float64) @ vectors.T + bias).argmax(axis=1)]

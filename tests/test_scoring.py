@@ -1,9 +1,11 @@
 """Models loaded by workers, a fit held against a plain one, and dates that choose folders."""
 
+import json
 import os
 
 import numpy as np
 import pytest
+from pyspark import SparkFiles
 from pyspark.sql import functions as F
 
 from fieldtrace.operators import align
@@ -35,6 +37,17 @@ def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
     assert SC.batch_score(frame.where("false"), load, "x", 3).count() == 0
 
 
+def test_a_model_is_sent_as_one_file(spark):
+    """A cluster refuses local folders."""
+    model = spark.createDataFrame([(k, [1.0 * k], 0.0) for k in range(40)], "class_id int, vector array<double>, bias double").repartition(5)
+    for some in (model, model.where("false")):
+        name = SC.ship_model(some)
+        path = SparkFiles.get(name)
+        assert os.path.isfile(path)
+        with open(path) as file:
+            assert [r["class_id"] for r in json.load(file)] == [r["class_id"] for r in some.orderBy("class_id").collect()]
+
+
 def test_ties_go_to_the_smaller_class(spark):
     model = spark.createDataFrame([(7, [1.0], 0.0), (3, [1.0], 0.0)], "class_id int, vector array<double>, bias double")
     name = SC.ship_model(model)
