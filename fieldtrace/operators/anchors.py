@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import clip
-from fieldtrace.operators.ordered import Order, chunked, islands, match, own_rows
+from fieldtrace.operators.ordered import Order, chunked, deal, islands, match, own_rows
 from fieldtrace.operators.segments import gap_break, label_break, second_step, segment_runs, segments
 from fieldtrace.sources.writers import settled
 
@@ -110,15 +110,20 @@ def window_rows(
     ratio: float,
     low: int,
     high: int,
+    dealt: bool = False,
 ) -> DataFrame:
     """Chunked rows with seg_pos and is_anchor, as windows and their statistics both need them.
 
     Anchors are every ``stride``-th row of a segment, or, with ``adaptive``, of a same-label run on its class's stride.
+    With ``dealt`` the number of tasks follows the number of rows.
     """
     reach = length + 1
     gap = gap_break(order, max_gap)
     flags = {"segment": gap, "run": gap | label_break(order, label)} if adaptive else {"segment": gap}
-    rows = islands(chunked(df, order, reach, reach), order, flags, reach, reach)
+    chunks = chunked(df, order, reach, reach)
+    if dealt:
+        chunks = deal(chunks, order, df.count())
+    rows = islands(chunks, order, flags, reach, reach)
     rows = rows.withColumn("seg_pos", F.col("pos") - F.col("segment_start"))
     if not adaptive:
         return rows.withColumn("is_anchor", on_stride("seg_pos", stride, "segment_last"))

@@ -125,14 +125,15 @@ def nearest_row_join(
     ``radius`` may differ by row. Adds target (from 0) and nearest_<column>.
     """
     out = _nearest(df, order, length, columns, k, radius, context, **cut)
-    return out.select(order.entity, "_meta.*", "target", *(F.col(f"_found.{c}").alias(f"nearest_{c}") for c in columns))
+    meta = [F.col(f"_m{i}").alias(c) for i, c in enumerate(_carried(df, order))]
+    return out.select(order.entity, *meta, "target", *(F.col(f"_found.{c}").alias(f"nearest_{c}") for c in columns))
 
 
 def _nearest(df: DataFrame, order: Order, length: int, columns: list[str], k: int, radius: Column, context: str, **cut) -> DataFrame:
-    """``nearest_row_join`` where its windows left the rows: entity, _chunk, segment_id, seg_pos, _meta, target, _found."""
+    """``nearest_row_join`` where its windows left the rows: entity, _chunk, segment_id, seg_pos, target, _found and, as _m0,
+    _m1 and so on, ``order.by`` and the other columns: apart from each other, so that those nobody reads are not carried."""
     back, ahead = window_reach(length, context)
-    rows = window_rows(df, order, length, **{"max_gap": 1.0, "stride": 20, "adaptive": False, "label": "label", "config": None, "ratio": 0.25, "low": 1, "high": 20} | cut)
-    meta = [c for c in df.columns if c not in order.keys]
+    rows = window_rows(df, order, length, **{"max_gap": 1.0, "stride": 20, "adaptive": False, "label": "label", "config": None, "ratio": 0.25, "low": 1, "high": 20, "dealt": True} | cut)
     ws = order.window("segment_id")
     upto = ws.rowsBetween(Window.unboundedPreceding, 0)
     data = F.struct(F.col(order.second).alias("s"), F.col("seg_pos").alias("p"), F.struct(*columns).alias("v"))
@@ -148,11 +149,16 @@ def _nearest(df: DataFrame, order: Order, length: int, columns: list[str], k: in
     own = F.struct(F.col(order.second).cast("bigint").alias("at"), F.lit(None).cast("int").alias("target"))
     events = F.when(F.col("_own") & F.col("is_anchor"), F.concat(F.array(own), targets)).otherwise(F.array(own))
     part = [order.entity, "_chunk", "segment_id"]
-    # Column names of the caller's stay in one struct.
-    spread = rows.select(*part, "seg_pos", "_head", "_next", "_first", "_last", F.struct(*order.by, *meta).alias("_meta"), F.inline(events))
+    # Column names of the caller's give way to numbers.
+    meta = [F.col(c).alias(f"_m{i}") for i, c in enumerate(_carried(df, order))]
+    spread = rows.select(*part, "seg_pos", "_head", "_next", "_first", "_last", *meta, F.inline(events))
+    # A row is sorted with what its kind needs: rows with what targets may take, targets with the ends of their window.
+    kept = [c for c in spread.columns if c not in ("_head", "_next", "_first", "_last")]
+    row = F.when(F.col("target").isNull() & F.col("at").isNotNull(), F.struct("seg_pos", "_head", "_next")).alias("_row")
+    ends = F.when(F.col("target").isNotNull(), F.struct("_first", "_last")).alias("_ends")
     merged = Window.partitionBy(*part).orderBy("at", F.asc_nulls_first("target"), "seg_pos").rowsBetween(Window.unboundedPreceding, 0)
-    row = F.when(F.col("target").isNull() & F.col("at").isNotNull(), F.struct("seg_pos", "_head", "_next"))
-    met = spread.withColumn("_b", F.last(row, True).over(merged)).where(F.col("target").isNotNull())
+    met = spread.select(*kept, row, ends).withColumn("_b", F.last("_row", True).over(merged)).where(F.col("target").isNotNull())
+    met = met.select("*", "_ends.*")
 
     def clipped(head: str) -> Column:
         return F.when(F.col(f"{head}.p") < F.col("_first.p"), F.col("_first")).otherwise(F.col(head))
@@ -164,7 +170,12 @@ def _nearest(df: DataFrame, order: Order, length: int, columns: list[str], k: in
         .when(F.col("_b.seg_pos") >= F.col("_last.seg_pos"), clipped("_last._head"))
         .otherwise(nearer)
     )
-    return met.select(*part, "seg_pos", "_meta", "target", found["v"].alias("_found"))
+    return met.select(*part, "seg_pos", "target", found["v"].alias("_found"), *(c for c in met.columns if c.startswith("_m")))
+
+
+def _carried(df: DataFrame, order: Order) -> list[str]:
+    """The columns that ``_nearest`` carries along as _m0, _m1 and so on."""
+    return [*order.by, *(c for c in df.columns if c not in order.keys)]
 
 
 def center_frames(df: DataFrame, order: Order, length: int, column: str, k: int, radius: Column, context: str = "centered", **cut) -> DataFrame:
@@ -172,8 +183,9 @@ def center_frames(df: DataFrame, order: Order, length: int, column: str, k: int,
     rows = _nearest(df, order, length, [column], k, radius, context, **cut)
     # An anchor's targets are still together, so they are packed without an exchange.
     frames = F.sort_array(F.collect_list(F.struct("target", F.col(f"_found.{column}").alias("f"))))
-    packed = rows.groupBy(order.entity, "_chunk", "segment_id", "seg_pos").agg(F.any_value("_meta").alias("_meta"), frames.alias("f"))
-    return packed.select(order.entity, *(F.col(f"_meta.{c}").alias(c) for c in order.by), F.transform("f", lambda x: x["f"]).alias("frames"))
+    by = [F.any_value(f"_m{i}").alias(f"_m{i}") for i, _ in enumerate(order.by)]
+    packed = rows.groupBy(order.entity, "_chunk", "segment_id", "seg_pos").agg(*by, frames.alias("f"))
+    return packed.select(order.entity, *(F.col(f"_m{i}").alias(c) for i, c in enumerate(order.by)), F.transform("f", lambda x: x["f"]).alias("frames"))
 
 
 def mean_pool(df: DataFrame, clip_keys: list[str], vector: str) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from fieldtrace.sources.writers import settled
 
+#: Rows that a task of a table dealt out by ``deal`` should hold.
+TASK_ROWS = 250_000
 HELPERS = ["_chunk", "_own", "_pos", "_size", "_rows"]
 
 
@@ -126,6 +128,16 @@ def chunked(
     return plain.unionByName(cut)
 
 
+def deal(chunks: DataFrame, order: Order, rows: int) -> DataFrame:
+    """Chunks dealt out by their key to as many tasks as ``rows`` rows need: what a task holds does not grow with the table.
+
+    For operators that sort several copies of a row; others leave the number of tasks to Spark.
+    """
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    # Without hot entities _chunk is a constant, which windows leave out of their key.
+    return chunks.repartition(tasks, order.entity, *(["_chunk"] if "_pos" in chunks.columns else []))
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     """Drop the halo copies and the helper columns."""
     keep = [c for c in df.columns if c not in HELPERS]

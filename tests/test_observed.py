@@ -87,3 +87,20 @@ def test_nearest_rows_equal_a_search_in_windows(spark, context, length):
                 best = min(slots, key=lambda s: abs(s["second"] - at))
                 want.add((r["tie"], target, best["tie"], best["second"]))
     assert {(r["tie"], r["target"], r["nearest_tie"], r["nearest_second"]) for r in got.collect()} == want
+
+
+def test_tasks_of_the_merge_follow_the_rows_and_unread_columns_stay_out(spark, monkeypatch):
+    from fieldtrace.operators import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 60)
+    rows = settled(track(spark, SF))
+    want = -(-rows.count() // 60)
+    assert want > spark.sparkContext.defaultParallelism
+    for order in (ORDER, replace(ORDER, hot_rows=60)):
+        near = FR.nearest_row_join(rows, order, 9, ["tie"], 5, F.lit(5), max_gap=12, stride=3).select("entity_id", "tie", "target", "nearest_tie")
+        frames = FR.center_frames(rows, order, 9, "tie", 5, F.lit(5), max_gap=12, stride=3)
+        for out in (near, frames):
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            merge = plan[: plan.index("Repartition")]
+            assert f", {want}" in plan[plan.index("Repartition") :].splitlines()[0]
+            assert "lat#" not in merge and "heading#" not in merge
