@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into units of a passage's length; with passages of a sample of the corpus they form a TF-IDF matrix
-(document frequencies over all documents) whose leading right singular vectors come from a distributed randomised SVD:
+Benchmark items are cut into units of a passage's length; with the passages of all documents they form a TF-IDF matrix
+(words of units have rows of their own, the others share rows by hash; document frequencies over all documents) whose leading right singular vectors come from a distributed randomised SVD:
 each task multiplies its rows, only sums the size of the vocabulary meet. A document's stretches are met with all units by the words
 they have in common: a stretch that lacks too many of a unit's words cannot hold a long enough subsequence of it, and no other
 is left out. The windows of a candidate are tried in the order of their latent likeness to the unit; one must share a long
@@ -13,6 +13,7 @@ the fit, only which of several windows gives an item's share.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from fieldtrace.llm.common import hash_key, whole
+from fieldtrace.llm.common import whole
 from fieldtrace.sources.writers import settled
 
 #: Words of a block and of a passage.
@@ -34,16 +35,17 @@ UNIT = 64
 BLOCKS = UNIT // BLOCK + 1
 #: Windows of a stretch, whose words are counted against the units at once.
 STRETCH = 16
-#: Documents whose passages join the fit: its documented bound (the rest of the fit are the units themselves).
-SAMPLE_DOCS = 50
 RANK, OVERSAMPLE, ROUNDS, SEED = 96, 16, 2, 11
 #: Units of a block for which the rank grows by one.
 UNITS_A_RANK = 32
 #: Share of a unit's words in the common subsequence; of its answer's; share that needs no answer.
 SHARED, ANSWERED, VERBATIM = 0.7, 0.5, 0.9
-#: Units searched for in one pass over the documents, and rows of the latent space (words beyond them share rows): the
-#: bounds of what is sent to every task and kept by the driver, whatever the size of the benchmark.
-UNITS_AT_A_TIME, FEATURES = 5_000, 1 << 17
+#: Units searched for in one pass over the documents, and rows of the latent space for their words (words beyond them share
+#: rows) and for all other words of the corpus, which share them: the bounds of what is sent to every task and kept by the
+#: driver, whatever the size of the benchmark and of the corpus.
+UNITS_AT_A_TIME, FEATURES, OTHERS = 5_000, 1 << 17, 1 << 13
+#: Words whose passages are multiplied at once.
+GROUP = 1 << 11
 #: Words of documents that are searched together.
 WORDS_AT_A_TIME = 1 << 15
 #: Pairs of a stretch and a unit that are counted at once.
@@ -105,6 +107,20 @@ class Places(dict):
         return -1
 
 
+class Vocabulary(Places):
+    """word (UTF-8) -> its row: of its own (up to ``FEATURES``) for each of the given words, shared by hash for all others."""
+
+    def __init__(self, words: set[bytes]):
+        super().__init__((w, i % FEATURES) for i, w in enumerate(sorted(words)))
+        self.own = min(len(words), FEATURES)
+
+    def __reduce__(self):
+        return Vocabulary, (set(self),)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.own + zlib.crc32(word) % OTHERS
+
+
 @dataclass
 class Index:
     """What every task needs: vocabulary, weighted latent rows of its words, and the units with their vectors and postings."""
@@ -136,70 +152,101 @@ def postings_of(masks: list[tuple[dict, dict]], sizes: list[int]) -> Postings:
     return Postings(known, np.searchsorted(row, np.arange(len(known) + 1)), unit, places, needed)
 
 
-def fit_passages(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """(words) of the units and of the passages of a bounded sample of documents."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    unit = F.conv(F.substring(hash_key(F.col("doc_id"), "|lsa"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def numbered(passages: DataFrame, vocabulary: Places) -> DataFrame:
+    """(ids, step) of rows of words, a passage each (step 0), or of text, whose passages are ``step`` words long: the words' rows."""
+    shared = passages.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row_of = shared.value.__getitem__
         for part in parts:
-            for text in part["text"]:
-                words = as_text(words_of(text))
-                yield pd.DataFrame({"words": pd.Series([words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)], dtype=object)})
+            split = [([w.encode() for w in words], 0) if words is not None else (words_of(text), PASSAGE) for words, text in zip(part["words"], part["text"])]
+            ids = [np.fromiter(map(row_of, words), dtype=np.int32, count=len(words)) for words, _ in split]
+            yield pd.DataFrame({"ids": [x[x >= 0].tobytes() for x in ids], "step": [step for _, step in split]})
+
+    out = settled(passages.select("words", "text").mapInPandas(number, "ids binary, step int"))
+    shared.destroy()
+    return out
+
 
-    sample = docs.where((unit < share) & F.col("text").isNotNull()).select("text").mapInPandas(cut, "words array<string>")
-    return settled(units.select("words").unionByName(sample).repartition(8))
+def fit_passages(docs: DataFrame, units: DataFrame, vocabulary: Places) -> DataFrame:
+    """(ids, step) of the units and of all documents; see ``numbered``."""
+    texts = docs.select(F.lit(None).cast("array<string>").alias("words"), "text")
+    return numbered(units.select("words", F.lit(None).cast("string").alias("text")).unionByName(texts), vocabulary)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: Places, size: int) -> np.ndarray:
-    """For each row of the vocabulary, how many of all documents hold its word."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def document_frequencies(passages: DataFrame, size: int) -> np.ndarray:
+    """For each row of the vocabulary, how many of all documents hold a word of it."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        keys, out = known.keys(), np.zeros(size, dtype=np.int64)
+        out = np.zeros(size, dtype=np.int64)
         for part in parts:
-            for text in part["text"]:
-                if text:
-                    found = keys & set(words_of(text))
-                    out[[known[w] for w in found]] += 1
+            for ids in part["ids"]:
+                out[np.unique(np.frombuffer(ids, dtype=np.int32))] += 1
         at = np.flatnonzero(out)
         yield pd.DataFrame({"at": at, "n": out[at]})
 
-    counts = docs.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    shared.destroy()
+    counts = passages.where("step > 0").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[counts["at"].to_numpy()] = counts["n"].to_numpy()
     return out
 
 
+def weights(ids: np.ndarray, passage: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that occur and the unit-length TF-IDF weights of n passages over them, from each word's row and passage."""
+    rows, local = np.unique(ids, return_inverse=True)
+    value = np.bincount(passage * len(rows) + local, minlength=n * len(rows)).reshape(n, -1) * idf[rows]
+    norms = np.sqrt((value**2).sum(axis=1, keepdims=True))
+    return rows, np.divide(value, norms, out=np.zeros_like(value), where=norms > 0)
+
+
 def weighted(words: list[bytes], vocabulary: Places, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and unit-length TF-IDF weights of a passage."""
-    at, n = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
-    at = at.astype(np.int64)
-    value = n * idf[at] if len(at) else np.zeros(0)
-    norm = float(np.sqrt((value**2).sum()))
-    return at, value / norm if norm else value
+    ids = np.array([vocabulary[w] for w in words if w in vocabulary], dtype=np.int64)
+    rows, value = weights(ids, np.zeros(len(ids), dtype=np.int64), 1, idf)
+    return rows, value[0]
+
+
+def groups(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Some passages at a time: the words' rows, the words' passages and the number of passages."""
+    ids, passage, words, n = [], [], 0, 0
+    for part in parts:
+        for data, step in zip(part["ids"], part["step"]):
+            own = np.frombuffer(data, dtype=np.int32)
+            step = int(step) or max(1, len(own))
+            stride = step * max(1, GROUP // step)
+            for k in range(0, len(own), stride):
+                some = own[k : k + stride]
+                ids.append(some)
+                passage.append(n + np.arange(len(some)) // step)
+                words, n = words + len(some), n - (-len(some) // step)
+                if words >= GROUP:
+                    yield np.concatenate(ids), np.concatenate(passage), n
+                    ids, passage, words, n = [], [], 0, 0
+    if ids:
+        yield np.concatenate(ids), np.concatenate(passage), n
 
 
 def multiply(passages: DataFrame, shared, basis, size: int, width: int) -> DataFrame:
-    """A'(A Q) for the TF-IDF matrix A of the passages, in slices of rows: each task sums its rows, slices of the sums meet by groups."""
+    """A'(A Q) for the TF-IDF matrix A of the passages, in slices of rows: each task sums its rows, slices of the sums meet by groups.
+
+    There are as many tasks as cores: what meets does not grow with the corpus.
+    """
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, idf = shared.value
+        idf = shared.value
         q = stacked(basis.value, width) if basis is not None else np.random.default_rng(SEED).standard_normal((size, width))
-        out = np.zeros((size, width))
-        for part in parts:
-            for words in part["words"]:
-                at, value = weighted([w.encode() for w in words], vocabulary, idf)
-                if len(at):
-                    out[at] += np.outer(value, value @ q[at])
+        q, out = q.astype(np.float32), np.zeros((size, width))
+        for ids, passage, n in groups(parts):
+            rows, value = weights(ids, passage, n, idf)
+            value = value.astype(np.float32)
+            out[rows] += value.T @ (value @ q[rows])
         yield pd.DataFrame({"slice": range(0, size, SLICE), "data": [out[i : i + SLICE].tobytes() for i in range(0, size, SLICE)]})
 
     def total(key, part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"slice": [key[0]], "data": [sum(np.frombuffer(x) for x in part["data"]).tobytes()]})
 
-    sums = passages.mapInPandas(partial, SLICES).groupBy("slice").applyInPandas(total, SLICES)
+    tasks = passages.sparkSession.sparkContext.defaultParallelism
+    sums = passages.coalesce(tasks).mapInPandas(partial, SLICES).groupBy("slice").applyInPandas(total, SLICES)
     return settled(sums)
 
 
@@ -254,12 +301,15 @@ def inverse_root(gram: np.ndarray) -> np.ndarray:
 def latent_rows(passages: DataFrame, vocabulary: Places, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The words' latent rows: the leading right singular vectors of the passages times idf, by randomised subspace iteration.
 
-    The matrices stay in slices of the vocabulary: the driver passes the basis on as bytes and does no algebra.
+    Passages are rows of words or those of ``fit_passages``. The matrices stay in slices of the vocabulary: the driver passes
+    the basis on as bytes and does no algebra.
     """
+    if "ids" not in passages.columns:
+        passages = numbered(passages.select("words", F.lit(None).cast("string").alias("text")), vocabulary)
     context, size = passages.sparkSession.sparkContext, len(idf)
     width = min(rank + OVERSAMPLE, size)
     kept = min(rank, width)
-    shared, basis = context.broadcast((vocabulary, idf)), None
+    shared, basis = context.broadcast(idf), None
     for _ in range(ROUNDS):
         sums = multiply(passages, shared, basis, size, width)
         q = times(sums, turned(sums, sums, width, inverse_root), width)
@@ -300,10 +350,10 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
         if not held:
             continue
         held.sort()
-        passages = fit_passages(docs, some)
-        words = passages.select(F.explode("words").alias("w")).distinct().orderBy("w").toArrow()["w"]
-        vocabulary, size = Places((w.as_py().encode(), i % FEATURES) for i, w in enumerate(words)), min(len(words), FEATURES)
-        idf = np.log((1.0 + n) / (1.0 + document_frequencies(docs, vocabulary, size))) + 0.1
+        vocabulary = Vocabulary({w for _, words, _ in held for w in words})
+        size = vocabulary.own + OTHERS
+        passages = fit_passages(docs, some, vocabulary)
+        idf = np.log((1.0 + n) / (1.0 + document_frequencies(passages, size))) + 0.1
         rows = latent_rows(passages, vocabulary, idf, RANK + len(held) // UNITS_A_RANK)
         vectors = np.stack([rows[[vocabulary[w] for w in words]].sum(axis=0) for _, words, _ in held])
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -344,7 +394,9 @@ def likeness(index: Index, words: list[bytes]) -> np.ndarray:
     ids = np.fromiter(map(index.vocabulary.__getitem__, words), dtype=np.int64, count=len(words))
     at, blocks = np.flatnonzero(ids >= 0), -(-len(words) // BLOCK)
     sums = np.zeros((blocks + BLOCKS, index.rows.shape[1]), dtype=np.float32)
-    np.add.at(sums, at // BLOCK, index.rows[ids[at]])
+    if len(at):
+        block, first = np.unique(at // BLOCK, return_index=True)
+        sums[block] = np.add.reduceat(index.rows[ids[at]], first, axis=0)
     windows = sum(sums[k : k + blocks] for k in range(BLOCKS))
     return windows @ index.vectors.T / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
 

@@ -102,3 +102,37 @@ def test_latent_rows_span_the_leading_singular_vectors(spark):
     assert np.allclose(q.T @ q, np.eye(5), atol=1e-5)
     best = np.sqrt((np.linalg.svd(a, compute_uv=False)[:5] ** 2).sum())
     assert np.linalg.norm(a @ q) > 0.999 * best
+
+
+def test_all_passages_of_all_documents_join_the_fit(spark, monkeypatch):
+    """Of 300 documents the last ones count as the first do: words, document frequencies and the matrix."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k} common" for k in range(40 + i % 50))) for i in range(300)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "common w299x1 w0x1 neither")], "item_id long, text string")
+    seen = []
+    multiply = D.multiply
+
+    def spy(passages, shared, basis, size, width):
+        seen.append((passages, shared.value, size))
+        return multiply(passages, shared, basis, size, width)
+
+    monkeypatch.setattr(D, "multiply", spy)
+    (index,) = D.build_index(docs, benchmark)
+    passages, idf, size = seen[0]
+    counts = np.zeros(size)
+    for r in passages.collect():
+        for i in np.frombuffer(r["ids"], dtype=np.int32):
+            counts[i] += 1
+    words = [f"w{i}x{k}".encode() for i in range(300) for k in range(40 + i % 50)] + [b"common"] * sum(40 + i % 50 for i in range(300))
+    want = np.zeros(size)
+    for w in words + [b"common", b"w299x1", b"w0x1", b"neither"]:
+        want[index.vocabulary[w]] += 1
+    assert (counts == want).all()
+    # common is in all documents, the two others in one each, the last in none.
+    df = {b"common": 300, b"w299x1": 1, b"w0x1": 1, b"neither": 0}
+    assert all(np.isclose(idf[index.vocabulary[w]], np.log(301 / (1 + k)) + 0.1) for w, k in df.items())
+    parts = list(D.groups(iter([passages.toPandas()])))
+    # A passage of 48 words each, and the unit.
+    assert sum(n for _, _, n in parts) == 1 + sum(-(-2 * (40 + i % 50) // 48) for i in range(300))
+    assert all(len(ids) == len(passage) and passage.max() == n - 1 for ids, passage, n in parts)
