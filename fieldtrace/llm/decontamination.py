@@ -45,7 +45,7 @@ SHARED, ANSWERED, VERBATIM = 0.7, 0.5, 0.9
 #: driver, whatever the size of the benchmark and of the corpus.
 UNITS_AT_A_TIME, FEATURES, OTHERS = 5_000, 1 << 17, 1 << 13
 #: Words whose passages are multiplied at once.
-GROUP = 1 << 11
+GROUP = 1 << 9
 #: Words of documents that are searched together.
 WORDS_AT_A_TIME = 1 << 15
 #: Pairs of a stretch and a unit that are counted at once.
