@@ -2,7 +2,8 @@
 
 Benchmark items are cut into units of a passage's length; with the passages of all documents they form a TF-IDF matrix
 (words of units have rows of their own, the others share rows by hash; document frequencies over all documents) whose leading right singular vectors come from a distributed randomised SVD:
-each task multiplies its rows, only sums the size of the vocabulary meet. A document's stretches are met with all units by the words
+each task multiplies its rows, only sums the size of the vocabulary meet. A text is cut into words once, and written with their rows
+for the fit and the search. A document's stretches are met with all units by the rows
 they have in common: a stretch that lacks too many of a unit's words cannot hold a long enough subsequence of it, and no other
 is left out. The windows of a candidate are tried in the order of their latent likeness to the unit; one must share a long
 enough subsequence of words with it, and enough of its answer (the unit's last sentence), so rewordings are caught and chance
@@ -14,15 +15,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from fieldtrace.llm.common import whole
 from fieldtrace.sources.writers import settled
@@ -44,8 +47,11 @@ SHARED, ANSWERED, VERBATIM = 0.7, 0.5, 0.9
 #: rows) and for all other words of the corpus, which share them: the bounds of what is sent to every task and kept by the
 #: driver, whatever the size of the benchmark and of the corpus.
 UNITS_AT_A_TIME, FEATURES, OTHERS = 5_000, 1 << 17, 1 << 13
-#: Words whose passages are multiplied at once.
-GROUP = 1 << 9
+#: Words whose passages are multiplied at once, and the lengths that sums of rows are filled up to, a quarter more at the mean.
+GROUP = 1 << 16
+LENGTHS = np.array(sorted(f << k for f in (1, 3) for k in range(24)))
+#: Rows that are summed at once: they stay near the processor.
+ENTRIES = 1 << 12
 #: Words of documents that are searched together.
 WORDS_AT_A_TIME = 1 << 15
 #: Pairs of a stretch and a unit that are counted at once.
@@ -106,6 +112,11 @@ class Places(dict):
     def __missing__(self, word: str) -> int:
         return -1
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words that have one."""
+        found = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        return found[found >= 0]
+
 
 class Vocabulary(Places):
     """word (UTF-8) -> its row: of its own (up to ``FEATURES``) for each of the given words, shared by hash for all others."""
@@ -120,6 +131,14 @@ class Vocabulary(Places):
     def __missing__(self, word: bytes) -> int:
         return self.own + zlib.crc32(word) % OTHERS
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The row of each word."""
+        found = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        other = found < 0
+        fresh = list(compress(words, other.tolist()))
+        found[other] = self.own + np.fromiter(map(zlib.crc32, fresh), dtype=np.int64, count=len(fresh)) % OTHERS
+        return found
+
 
 @dataclass
 class Index:
@@ -133,9 +152,8 @@ class Index:
 
 @dataclass
 class Postings:
-    """For each word of the units (row in ``known``): the units that hold it, and at how many places."""
+    """For each row of the units' words: the units that hold such a word, and at how many places."""
 
-    known: Places
     edges: np.ndarray
     units: np.ndarray
     places: np.ndarray
@@ -143,35 +161,35 @@ class Postings:
     needed: np.ndarray
 
 
-def postings_of(masks: list[tuple[dict, dict]], sizes: list[int]) -> Postings:
-    known, found = Places(), []
-    for u, (words, _) in enumerate(masks):
-        found += [(known.setdefault(w, len(known)), u, m.bit_count()) for w, m in words.items()]
-    row, unit, places = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
-    needed = np.array([next(k for k in range(n + 1) if k >= SHARED * n) for n in sizes], dtype=np.int64)
-    return Postings(known, np.searchsorted(row, np.arange(len(known) + 1)), unit, places, needed)
+def postings_of(index: Index) -> Postings:
+    found: Counter = Counter()
+    for u, (_, words, _) in enumerate(index.units):
+        found.update((index.vocabulary[w], u) for w in words)
+    row, unit, places = np.array(sorted((*at, n) for at, n in found.items()), dtype=np.int64).reshape(-1, 3).T
+    needed = np.array([next(k for k in range(len(w) + 1) if k >= SHARED * len(w)) for _, w, _ in index.units], dtype=np.int64)
+    return Postings(np.searchsorted(row, np.arange(index.vocabulary.own + 1)), unit, places, needed)
 
 
-def numbered(passages: DataFrame, vocabulary: Places) -> DataFrame:
-    """(ids, step) of rows of words, a passage each (step 0), or of text, whose passages are ``step`` words long: the words' rows."""
-    shared = passages.sparkSession.sparkContext.broadcast(vocabulary)
+def numbered(rows: DataFrame, vocabulary: Places, words: Column) -> DataFrame:
+    """The rows, written with ids: the vocabulary's rows of the words of a text or array of words, in their order."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row_of = shared.value.__getitem__
+    @pandas_udf(BinaryType())
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rows_of = shared.value.rows
         for part in parts:
-            split = [([w.encode() for w in words], 0) if words is not None else (words_of(text), PASSAGE) for words, text in zip(part["words"], part["text"])]
-            ids = [np.fromiter(map(row_of, words), dtype=np.int32, count=len(words)) for words, _ in split]
-            yield pd.DataFrame({"ids": [x[x >= 0].tobytes() for x in ids], "step": [step for _, step in split]})
+            # One text at a time: the words of a whole batch would take some hundred MB.
+            yield pd.Series([rows_of(words_of(x) if x is None or isinstance(x, str) else [w.encode() for w in x]).tobytes() for x in part], dtype=object)
 
-    out = settled(passages.select("words", "text").mapInPandas(number, "ids binary, step int"))
+    out = settled(rows.withColumn("ids", ids(words)))
     shared.destroy()
     return out
 
 
 def fit_passages(docs: DataFrame, units: DataFrame, vocabulary: Places) -> DataFrame:
-    """(ids, step) of the units and of all documents; see ``numbered``."""
-    texts = docs.select(F.lit(None).cast("array<string>").alias("words"), "text")
-    return numbered(units.select("words", F.lit(None).cast("string").alias("text")).unionByName(texts), vocabulary)
+    """(ids, step) of the units, a passage each (step 0), and of all numbered documents, whose passages are ``step`` words long."""
+    held = numbered(units.select("words"), vocabulary, F.col("words"))
+    return held.select("ids", F.lit(0).alias("step")).unionByName(docs.select("ids", F.lit(PASSAGE).alias("step")))
 
 
 def document_frequencies(passages: DataFrame, size: int) -> np.ndarray:
@@ -191,19 +209,47 @@ def document_frequencies(passages: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def weights(ids: np.ndarray, passage: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that occur and the unit-length TF-IDF weights of n passages over them, from each word's row and passage."""
-    rows, local = np.unique(ids, return_inverse=True)
-    value = np.bincount(passage * len(rows) + local, minlength=n * len(rows)).reshape(n, -1) * idf[rows]
-    norms = np.sqrt((value**2).sum(axis=1, keepdims=True))
-    return rows, np.divide(value, norms, out=np.zeros_like(value), where=norms > 0)
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, dtype=np.int64)
+
+
+def weights(ids: np.ndarray, passage: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, passage and TF-IDF weight of each word of n passages, by row, and what makes each passage's length 1; from each place's row and passage."""
+    at = np.sort(ids.astype(np.int64) * n + passage)
+    first = starts_of(at)
+    row, held = np.divmod(at[first], n)
+    value = np.diff(first, append=len(at)) * idf[row]
+    norms = np.sqrt(np.bincount(held, value * value, minlength=n))
+    return row, held, value, np.divide(1, norms, out=np.zeros_like(norms), where=norms > 0)
 
 
 def weighted(words: list[bytes], vocabulary: Places, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices and unit-length TF-IDF weights of a passage."""
     ids = np.array([vocabulary[w] for w in words if w in vocabulary], dtype=np.int64)
-    rows, value = weights(ids, np.zeros(len(ids), dtype=np.int64), 1, idf)
-    return rows, value[0]
+    row, _, value, inverse = weights(ids, np.zeros(len(ids), dtype=np.int64), 1, idf)
+    return row, value * inverse[0]
+
+
+def summed(first: np.ndarray, at: np.ndarray, value: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """For each run of entries (starting at ``first``) the sum of its rows ``at`` of the matrix, times the values."""
+    sizes = np.diff(first, append=len(at))
+    filled = LENGTHS[np.searchsorted(LENGTHS, sizes)]
+    at, value = np.append(at, 0), np.append(value, 0).astype(matrix.dtype)
+    out = np.empty((len(first), matrix.shape[1]), dtype=matrix.dtype)
+    order = np.argsort(filled, kind="stable")
+    for edge in np.split(order, starts_of(filled[order])[1:]):
+        length = filled[edge[0]] if len(edge) else 1
+        step = max(1, ENTRIES // length)
+        for k in range(0, len(edge), step):
+            some = edge[k : k + step]
+            if length == 1:
+                out[some] = matrix.take(at[first[some]], axis=0) * value[first[some], None]
+                continue
+            # Beyond a run's end stands the last entry, whose value is 0.
+            place = np.where(np.arange(length) < sizes[some, None], first[some, None] + np.arange(length), len(at) - 1)
+            out[some] = np.matmul(value[place][:, None], matrix.take(at[place], axis=0))[:, 0]
+    return out
 
 
 def groups(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -226,6 +272,13 @@ def groups(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.concatenate(ids), np.concatenate(passage), n
 
 
+def projected(parts: Iterator[pd.DataFrame], idf: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some passages at a time: what ``weights`` says of them, and the products of the unit-length passages with q."""
+    for ids, passage, n in groups(parts):
+        row, held, value, inverse = weights(ids, passage, n, idf)
+        yield row, held, value, inverse, summed(starts_of(passage), ids, idf[ids], q) * inverse.astype(q.dtype)[:, None]
+
+
 def multiply(passages: DataFrame, shared, basis, size: int, width: int) -> DataFrame:
     """A'(A Q) for the TF-IDF matrix A of the passages, in slices of rows: each task sums its rows, slices of the sums meet by groups.
 
@@ -233,13 +286,16 @@ def multiply(passages: DataFrame, shared, basis, size: int, width: int) -> DataF
     """
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf = shared.value
         q = stacked(basis.value, width) if basis is not None else np.random.default_rng(SEED).standard_normal((size, width))
         q, out = q.astype(np.float32), np.zeros((size, width))
-        for ids, passage, n in groups(parts):
-            rows, value = weights(ids, passage, n, idf)
-            value = value.astype(np.float32)
-            out[rows] += value.T @ (value @ q[rows])
+        for part in parts:
+            some = np.zeros((size, width), dtype=np.float32)
+            for row, held, value, inverse, product in projected(iter([part]), shared.value, q):
+                first = starts_of(row)
+                sums = summed(first, held, value * inverse[held], product)
+                sums += some.take(row[first], axis=0)
+                some[row[first]] = sums
+            out += some
         yield pd.DataFrame({"slice": range(0, size, SLICE), "data": [out[i : i + SLICE].tobytes() for i in range(0, size, SLICE)]})
 
     def total(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -250,6 +306,30 @@ def multiply(passages: DataFrame, shared, basis, size: int, width: int) -> DataF
     return settled(sums)
 
 
+def squared(passages: DataFrame, shared, basis, width: int, use) -> bytes:
+    """``use`` of (A Q)'(A Q), a width x width matrix, in a task: each task sums over its passages; only what ``use`` returns meets the driver."""
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, out = stacked(basis.value, width).astype(np.float32), np.zeros((width, width))
+        for part in parts:
+            for *_, product in projected(iter([part]), shared.value, q):
+                out += product.T @ product
+        yield pd.DataFrame({"data": [out.tobytes()]})
+
+    tasks = passages.sparkSession.sparkContext.defaultParallelism
+    return used(passages.coalesce(tasks).mapInPandas(partial, "data binary").repartition(1), width, use)
+
+
+def used(sums: DataFrame, width: int, use) -> bytes:
+    """``use`` of the sum of width x width matrices, in one task."""
+
+    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = sum(np.frombuffer(x).reshape(width, width) for part in parts for x in part["data"])
+        yield pd.DataFrame({"data": [use(out).tobytes()]})
+
+    return bytes(sums.mapInPandas(finish, "data binary").first()["data"])
+
+
 SLICES = "slice long, data binary"
 
 
@@ -271,12 +351,8 @@ def turned(left: DataFrame, right: DataFrame, width: int, use) -> bytes:
                 out += np.frombuffer(a).reshape(-1, width).T @ np.frombuffer(b).reshape(-1, width)
         yield pd.DataFrame({"data": [out.tobytes()]})
 
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = sum(np.frombuffer(x).reshape(width, width) for part in parts for x in part["data"])
-        yield pd.DataFrame({"data": [use(out).tobytes()]})
-
     pairs = left.withColumnRenamed("data", "a").join(right.withColumnRenamed("data", "b"), "slice").select("a", "b")
-    return bytes(pairs.mapInPandas(product, "data binary").coalesce(1).mapInPandas(finish, "data binary").first()["data"])
+    return used(pairs.mapInPandas(product, "data binary").coalesce(1), width, use)
 
 
 def times(slices: DataFrame, turn: bytes, width: int, finish=None) -> DataFrame:
@@ -305,7 +381,7 @@ def latent_rows(passages: DataFrame, vocabulary: Places, idf: np.ndarray, rank:
     the basis on as bytes and does no algebra.
     """
     if "ids" not in passages.columns:
-        passages = numbered(passages.select("words", F.lit(None).cast("string").alias("text")), vocabulary)
+        passages = numbered(passages.select("words"), vocabulary, F.col("words")).withColumn("step", F.lit(0))
     context, size = passages.sparkSession.sparkContext, len(idf)
     width = min(rank + OVERSAMPLE, size)
     kept = min(rank, width)
@@ -321,16 +397,15 @@ def latent_rows(passages: DataFrame, vocabulary: Places, idf: np.ndarray, rank:
         values, vectors = np.linalg.eigh((small + small.T) / 2)
         return vectors[:, np.argsort(-values)[:kept]].copy()
 
-    sums = multiply(passages, shared, basis, size, width)
-    rows = times(q, turned(q, sums, width, leading), width, lambda i, x: (x * idf[i : i + len(x), None]).astype(np.float32))
+    rows = times(q, squared(passages, shared, basis, width, leading), width, lambda i, x: (x * idf[i : i + len(x), None]).astype(np.float32))
     out = stacked(in_order(rows), kept, np.float32)
     basis.destroy()
     shared.destroy()
     return out
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
-    """Indexes over all units of (item_id, text), at most ``UNITS_AT_A_TIME`` of them in each."""
+def unit_blocks(benchmark: DataFrame) -> Iterator[tuple[DataFrame, list, Vocabulary]]:
+    """The units of (item_id, text), at most about ``UNITS_AT_A_TIME`` at once: as rows, as (item_id, words, answer), and the vocabulary."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -339,41 +414,44 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     units = settled(items.mapInPandas(cut, "item_id long, words array<string>, answer array<string>"))
-    if units.isEmpty():
-        return []
-    n, out = docs.count(), []
     blocks = -(-units.count() // UNITS_AT_A_TIME)
     block = F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks).cast("long"))
     for b in range(blocks):
         some = units.where(block == b)
         held = [(r["item_id"], [w.encode() for w in r["words"]], [w.encode() for w in r["answer"]]) for r in some.collect()]
-        if not held:
-            continue
-        held.sort()
-        vocabulary = Vocabulary({w for _, words, _ in held for w in words})
-        size = vocabulary.own + OTHERS
-        passages = fit_passages(docs, some, vocabulary)
-        idf = np.log((1.0 + n) / (1.0 + document_frequencies(passages, size))) + 0.1
-        rows = latent_rows(passages, vocabulary, idf, RANK + len(held) // UNITS_A_RANK)
-        vectors = np.stack([rows[[vocabulary[w] for w in words]].sum(axis=0) for _, words, _ in held])
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        out.append(Index(vocabulary, rows, (vectors / np.maximum(norms, 1e-12)).astype(np.float32), held))
-    return out
+        if held:
+            held.sort()
+            yield some, held, Vocabulary({w for _, words, _ in held for w in words})
+
+
+def fitted(docs: DataFrame, units: DataFrame, held: list, vocabulary: Vocabulary) -> Index:
+    """The index over some units, fitted on them and on all numbered documents."""
+    passages = fit_passages(docs, units, vocabulary)
+    idf = np.log((1.0 + docs.count()) / (1.0 + document_frequencies(passages, vocabulary.own + OTHERS))) + 0.1
+    rows = latent_rows(passages, vocabulary, idf, RANK + len(held) // UNITS_A_RANK)
+    vectors = np.stack([rows[[vocabulary[w] for w in words]].sum(axis=0) for _, words, _ in held])
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return Index(vocabulary, rows, (vectors / np.maximum(norms, 1e-12)).astype(np.float32), held)
+
+
+def build_index(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
+    """Indexes over all units of (item_id, text), at most about ``UNITS_AT_A_TIME`` of them in each."""
+    return [fitted(numbered(docs.select("text"), v, F.col("text")), some, held, v) for some, held, v in unit_blocks(benchmark)]
 
 
-def candidates(postings: Postings, texts: list[list[bytes]]) -> list[tuple[int, int, int]]:
-    """(text, first block of a stretch, unit) where the stretch has as many of the unit's places as a leak must share."""
-    place_of, bounds, rows = postings.known.__getitem__, [], []
-    for d, words in enumerate(texts):
-        ids = np.fromiter(map(place_of, words), dtype=np.int64, count=len(words))
-        for first in range(0, -(-len(words) // BLOCK), STRETCH):
+def candidates(postings: Postings, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(text, first block of a stretch, unit) where the stretch has as many of the unit's places as a leak must share; texts are rows of words."""
+    bounds, rows, own = [], [], len(postings.edges) - 1
+    for d, ids in enumerate(texts):
+        for first in range(0, -(-len(ids) // BLOCK), STRETCH):
             # All that the windows of the stretch are compared by, for the longest unit.
             some = ids[max(0, first * BLOCK - UNIT) : (first + STRETCH - 1 + BLOCKS) * BLOCK + UNIT]
-            rows.append(some[some >= 0] + len(bounds) * len(postings.known))
+            rows.append(some[some < own] + np.int64(len(bounds) * own))
             bounds.append((d, first))
     if not bounds:
         return []
-    stretch, row = np.divmod(np.unique(np.concatenate(rows)), len(postings.known))
+    cells = np.sort(np.concatenate(rows))
+    stretch, row = np.divmod(cells[starts_of(cells)], own)
     sizes, n, out = postings.edges[row + 1] - postings.edges[row], len(postings.needed), []
     ends = np.cumsum(sizes)
     edges = np.searchsorted(stretch, np.arange(len(bounds) + 1))
@@ -389,33 +467,32 @@ def candidates(postings: Postings, texts: list[list[bytes]]) -> list[tuple[int,
     return out
 
 
-def likeness(index: Index, words: list[bytes]) -> np.ndarray:
-    """Cosines of a stretch's windows (one for each block) and all units in the latent space."""
-    ids = np.fromiter(map(index.vocabulary.__getitem__, words), dtype=np.int64, count=len(words))
-    at, blocks = np.flatnonzero(ids >= 0), -(-len(words) // BLOCK)
+def likeness(index: Index, ids: np.ndarray) -> np.ndarray:
+    """Cosines of a stretch's windows (one for each block) and all units in the latent space, from the rows of its words."""
+    blocks = -(-len(ids) // BLOCK)
     sums = np.zeros((blocks + BLOCKS, index.rows.shape[1]), dtype=np.float32)
-    if len(at):
-        block, first = np.unique(at // BLOCK, return_index=True)
-        sums[block] = np.add.reduceat(index.rows[ids[at]], first, axis=0)
+    sums[:blocks] = np.add.reduceat(index.rows[ids], np.arange(0, len(ids), BLOCK), axis=0)
     windows = sum(sums[k : k + blocks] for k in range(BLOCKS))
     return windows @ index.vectors.T / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
 
 
-def find(index: Index, masks: list, postings: Postings, texts: list[list[bytes]]) -> list[list[tuple[int, float]]]:
-    """Leaks (item_id, share of words in common) of some documents, given as words."""
+def find(index: Index, masks: list, postings: Postings, texts: list[str | None], ids: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+    """Leaks (item_id, share of words in common) of some documents, given as texts and the rows of their words."""
     done: dict[tuple[int, int], float] = {}
-    seen, near = (-1, -1), np.zeros((0, 0))
-    for d, first, u in candidates(postings, texts):
+    seen, near, cut, own_words = (-1, -1), np.zeros((0, 0)), -1, []
+    for d, first, u in candidates(postings, ids):
         item, unit, answer = index.units[u]
         if (d, item) in done:
             continue
+        if d != cut:
+            cut, own_words = d, words_of(texts[d])
         if (d, first) != seen:
-            seen, near = (d, first), likeness(index, texts[d][first * BLOCK : (first + STRETCH - 1 + BLOCKS) * BLOCK])
+            seen, near = (d, first), likeness(index, ids[d][first * BLOCK : (first + STRETCH - 1 + BLOCKS) * BLOCK])
         n = len(unit)
         unit_masks, answer_masks = masks[u]
         for w in first + np.argsort(-near[:STRETCH, u], kind="stable"):
             start = int(w) * BLOCK
-            region = texts[d][max(0, start - n) : start + BLOCKS * BLOCK + n]
+            region = own_words[max(0, start - n) : start + BLOCKS * BLOCK + n]
             # No common subsequence is longer than the places of the unit whose words occur at all.
             places_met = 0
             for word in unit_masks.keys() & set(region):
@@ -436,22 +513,22 @@ def leak_column(context, index: Index):
     shared = context.broadcast(index)
 
     @pandas_udf(LEAKS)
-    def leaks(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def leaks(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         held = shared.value
         masks = [(masks_of(words), masks_of(answer)) for _, words, answer in held.units]
-        postings = postings_of(masks, [len(words) for _, words, _ in held.units])
-        for texts in parts:
+        postings = postings_of(held)
+        for texts, ids in parts:
             out: list = []
-            group: list[list[bytes]] = []
+            group: tuple[list, list] = ([], [])
             size = 0
-            for text in texts:
-                words = words_of(text)
-                group.append(words)
-                size += len(words)
+            for text, data in zip(texts, ids):
+                group[0].append(text)
+                group[1].append(np.frombuffer(data, dtype=np.int32))
+                size += len(group[1][-1])
                 if size >= WORDS_AT_A_TIME:
-                    out += find(held, masks, postings, group)
-                    group, size = [], 0
-            out += find(held, masks, postings, group)
+                    out += find(held, masks, postings, *group)
+                    group, size = ([], []), 0
+            out += find(held, masks, postings, *group)
             yield pd.Series([[{"item_id": i, "share": s} for i, s in sorted(x)] for x in out])
 
     return leaks
@@ -462,14 +539,17 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts, an empty benchmark and items without words have no leaks. Repeated items are reported once.
     """
-    out = docs.select(whole(docs), "doc_id", "text", F.array().cast("array<struct<item_id:long,share:double>>").alias("leaks"))
-    for index in build_index(docs.select("doc_id", "text"), benchmark):
-        found = leak_column(docs.sparkSession.sparkContext, index)(F.col("text"))
-        out = out.withColumn("leaks", F.concat("leaks", found))
+    out = docs.select(whole(docs), F.array().cast("array<struct<item_id:long,share:double>>").alias("leaks"))
+    text = F.col("doc").getField("text")
+    for units, held, vocabulary in unit_blocks(benchmark):
+        # The documents are written beside the rows of their words, once for each block of units.
+        out = numbered(out, vocabulary, text)
+        found = leak_column(docs.sparkSession.sparkContext, fitted(out, units, held, vocabulary))(text, "ids")
+        out = out.select("doc", F.concat("leaks", found).alias("leaks"))
     # Units of one item may lie in several indexes.
     items = F.transform("leaks", lambda x: x["item_id"])
     once = F.filter("leaks", lambda x, i: F.array_position(items, x["item_id"]) == i + 1)
-    return out.select("doc", "doc_id", once.alias("leaks"))
+    return out.select("doc", F.col("doc").getField("doc_id").alias("doc_id"), once.alias("leaks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

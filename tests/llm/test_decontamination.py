@@ -136,3 +136,26 @@ def test_all_passages_of_all_documents_join_the_fit(spark, monkeypatch):
     # A passage of 48 words each, and the unit.
     assert sum(n for _, _, n in parts) == 1 + sum(-(-2 * (40 + i % 50) // 48) for i in range(300))
     assert all(len(ids) == len(passage) and passage.max() == n - 1 for ids, passage, n in parts)
+
+
+@pytest.mark.parametrize("lengths", [[1, 2, 3, 5, 48, 300], [7] * 40, []])
+def test_runs_of_entries_are_summed_like_a_dense_product(monkeypatch, lengths):
+    import numpy as np
+
+    monkeypatch.setattr(D, "ENTRIES", 16)
+    rng = np.random.default_rng(3)
+    matrix, n = rng.standard_normal((50, 9)), sum(lengths)
+    at, value, run = rng.integers(0, 50, n), rng.standard_normal(n), np.repeat(np.arange(len(lengths)), lengths)
+    dense = np.zeros((len(lengths), 50))
+    np.add.at(dense, (run, at), value)
+    assert np.allclose(D.summed(D.starts_of(run), at, value, matrix), dense @ matrix)
+
+
+def test_the_last_pass_of_the_fit_meets_no_vocabulary(spark, monkeypatch):
+    """Two rounds sum over the vocabulary; what then remains is the square of the passages' products."""
+    calls = []
+    multiply = D.multiply
+    monkeypatch.setattr(D, "multiply", lambda *a: calls.append(a) or multiply(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{k}" for k in range(60 + i))) for i in range(20)], "doc_id long, text string")
+    (index,) = D.build_index(docs, spark.createDataFrame([(1, "w1x1 w2x2 w3x3 none")], "item_id long, text string"))
+    assert len(calls) == D.ROUNDS and index.rows.shape == (index.vocabulary.own + D.OTHERS, D.RANK)
