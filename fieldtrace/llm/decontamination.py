@@ -22,9 +22,10 @@ from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from fieldtrace.llm.common import whole
@@ -174,12 +175,13 @@ def numbered(rows: DataFrame, vocabulary: Places, words: Column) -> DataFrame:
     """The rows, written with ids: the vocabulary's rows of the words of a text or array of words, in their order."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @pandas_udf(BinaryType())
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rows_of = shared.value.rows
+    @arrow_udf(BinaryType())
+    def ids(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = shared.value
         for part in parts:
             # One text at a time: the words of a whole batch would take some hundred MB.
-            yield pd.Series([rows_of(words_of(x) if x is None or isinstance(x, str) else [w.encode() for w in x]).tobytes() for x in part], dtype=object)
+            texts = (x.as_py() for x in part)
+            yield pa.array((vocabulary.rows([w.encode() for w in x] if isinstance(x, list) else words_of(x)).tobytes() for x in texts), pa.binary(), size=len(part))
 
     out = settled(rows.withColumn("ids", ids(words)))
     shared.destroy()
@@ -476,7 +478,7 @@ def likeness(index: Index, ids: np.ndarray) -> np.ndarray:
     return windows @ index.vectors.T / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
 
 
-def find(index: Index, masks: list, postings: Postings, texts: list[str | None], ids: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+def find(index: Index, masks: list, postings: Postings, texts: list[pa.StringScalar], ids: list[np.ndarray]) -> list[list[tuple[int, float]]]:
     """Leaks (item_id, share of words in common) of some documents, given as texts and the rows of their words."""
     done: dict[tuple[int, int], float] = {}
     seen, near, cut, own_words = (-1, -1), np.zeros((0, 0)), -1, []
@@ -485,7 +487,7 @@ def find(index: Index, masks: list, postings: Postings, texts: list[str | None],
         if (d, item) in done:
             continue
         if d != cut:
-            cut, own_words = d, words_of(texts[d])
+            cut, own_words = d, words_of(texts[d].as_py())
         if (d, first) != seen:
             seen, near = (d, first), likeness(index, ids[d][first * BLOCK : (first + STRETCH - 1 + BLOCKS) * BLOCK])
         n = len(unit)
@@ -512,8 +514,8 @@ def find(index: Index, masks: list, postings: Postings, texts: list[str | None],
 def leak_column(context, index: Index):
     shared = context.broadcast(index)
 
-    @pandas_udf(LEAKS)
-    def leaks(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @arrow_udf(LEAKS)
+    def leaks(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         held = shared.value
         masks = [(masks_of(words), masks_of(answer)) for _, words, answer in held.units]
         postings = postings_of(held)
@@ -522,14 +524,15 @@ def leak_column(context, index: Index):
             group: tuple[list, list] = ([], [])
             size = 0
             for text, data in zip(texts, ids):
+                # Both stay where they are in the batch: few texts are looked into.
                 group[0].append(text)
-                group[1].append(np.frombuffer(data, dtype=np.int32))
+                group[1].append(np.frombuffer(data.as_buffer(), dtype=np.int32))
                 size += len(group[1][-1])
                 if size >= WORDS_AT_A_TIME:
                     out += find(held, masks, postings, *group)
                     group, size = ([], []), 0
             out += find(held, masks, postings, *group)
-            yield pd.Series([[{"item_id": i, "share": s} for i, s in sorted(x)] for x in out])
+            yield pa.array([[{"item_id": i, "share": s} for i, s in sorted(x)] for x in out], pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))
 
     return leaks
 
