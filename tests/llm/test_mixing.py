@@ -1,7 +1,9 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import mixing
+from fieldtrace.llm import common, mixing, sharding
 
 
 def refill(sizes, weights, cap):
@@ -55,3 +57,39 @@ def test_plan_of_odd_rows(docs, no_docs):
 def test_reruns_agree(docs):
     a, b = ([tuple(r) for r in mixing.plan(d, carry=False).select("doc_id", "taken", "first_position").collect()] for d in (docs, docs.repartition(5)))
     assert sorted(a, key=str) == sorted(b, key=str)
+
+
+def many(spark, n=3_000):
+    """Sources of unlike size, one null, with repeated rows and ids."""
+    heavy = F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), (F.col("id") % 39).cast("string")))
+    rows = spark.range(n).select(
+        (F.col("id") % (n - 50)).alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 17).cast("int")).alias("text"),
+        F.when(F.col("id") % 7 != 0, F.coalesce(heavy, F.lit("a"))).alias("source"),
+    )
+    return rows.unionByName(rows.where("doc_id < 5")).repartition(3)
+
+
+def moves_of_texts(df, capsys):
+    """Exchanges through which whole rows go."""
+    capsys.readouterr()
+    df.explain("formatted")
+    parts = capsys.readouterr().out.split("\n\n")
+    return sum(" Exchange\n" in p and "doc#" in p.split("Input", 1)[-1].split("\n")[0] for p in parts)
+
+
+@pytest.mark.parametrize("sources", [1, 1_000])
+def test_mixed_takes_the_plan(spark, monkeypatch, sources):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "CUT_SOURCES", sources)
+    docs = many(spark)
+    want, got = Counter(), Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    for r in mixing.plan(docs).collect():
+        want[tuple(r["doc"])] += r["copies"]
+    assert got == +want and 0 < len(got) < len(want)
+
+
+def test_texts_are_shuffled_no_more_than_needed(spark, monkeypatch, capsys):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 20)
+    docs = many(spark)
+    assert moves_of_texts(mixing.mixed(docs), capsys) == 2
+    assert moves_of_texts(sharding.kd_shards(docs, shards=3), capsys) == 1
