@@ -90,6 +90,11 @@ def test_mixed_takes_the_plan(spark, monkeypatch, sources):
 
 def test_texts_are_shuffled_no_more_than_needed(spark, monkeypatch, capsys):
     monkeypatch.setattr(common, "BUCKET_ROWS", 20)
-    docs = many(spark)
-    assert moves_of_texts(mixing.mixed(docs), capsys) == 2
-    assert moves_of_texts(sharding.kd_shards(docs, shards=3), capsys) == 1
+    docs, limit = many(spark), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    # As if the tables of sources and buckets were too large to be broadcast unasked.
+    spark.conf.set(limit, "-1")
+    try:
+        assert (moves_of_texts(mixing.mixed(docs), capsys), moves_of_texts(sharding.kd_shards(docs, shards=3), capsys)) == (2, 1)
+    finally:
+        spark.conf.set(limit, before)
