@@ -53,6 +53,8 @@ GROUP = 1 << 16
 LENGTHS = np.array(sorted(f << k for f in (1, 3) for k in range(24)))
 #: Rows that are summed at once: they stay near the processor.
 ENTRIES = 1 << 12
+#: Documents that are counted in bytes, before the counts are added up.
+COUNTED = 255
 #: Words of documents that are searched together.
 WORDS_AT_A_TIME = 1 << 15
 #: Pairs of a stretch and a unit that are counted at once.
@@ -194,14 +196,25 @@ def fit_passages(docs: DataFrame, units: DataFrame, vocabulary: Places) -> DataF
     return held.select("ids", F.lit(0).alias("step")).unionByName(docs.select("ids", F.lit(PASSAGE).alias("step")))
 
 
+def holders(documents: Iterator[bytes], size: int) -> np.ndarray:
+    """For each row, how many of the documents (rows of words) hold it: marked and unmarked one document at a time, nothing is sorted."""
+    out, some, mark = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint8), np.zeros(size, dtype=np.uint8)
+    for k, ids in enumerate(documents, 1):
+        own = np.frombuffer(ids, dtype=np.int32)
+        mark[own] = 1
+        some += mark
+        mark[own] = 0
+        if k % COUNTED == 0:
+            out += some
+            some[:] = 0
+    return out + some
+
+
 def document_frequencies(passages: DataFrame, size: int) -> np.ndarray:
     """For each row of the vocabulary, how many of all documents hold a word of it."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(size, dtype=np.int64)
-        for part in parts:
-            for ids in part["ids"]:
-                out[np.unique(np.frombuffer(ids, dtype=np.int32))] += 1
+        out = holders((ids for part in parts for ids in part["ids"]), size)
         at = np.flatnonzero(out)
         yield pd.DataFrame({"at": at, "n": out[at]})
 
@@ -288,8 +301,8 @@ def multiply(passages: DataFrame, shared, basis, size: int, width: int) -> DataF
     """
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = stacked(basis.value, width) if basis is not None else np.random.default_rng(SEED).standard_normal((size, width))
-        q, out = q.astype(np.float32), np.zeros((size, width))
+        q = stacked(basis.value, width) if basis is not None else np.random.default_rng(SEED).standard_normal((size, width)).astype(np.float32)
+        out = np.zeros((size, width))
         for part in parts:
             some = np.zeros((size, width), dtype=np.float32)
             for row, held, value, inverse, product in projected(iter([part]), shared.value, q):
@@ -312,7 +325,7 @@ def squared(passages: DataFrame, shared, basis, width: int, use) -> bytes:
     """``use`` of (A Q)'(A Q), a width x width matrix, in a task: each task sums over its passages; only what ``use`` returns meets the driver."""
 
     def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, out = stacked(basis.value, width).astype(np.float32), np.zeros((width, width))
+        q, out = stacked(basis.value, width), np.zeros((width, width))
         for part in parts:
             for *_, product in projected(iter([part]), shared.value, q):
                 out += product.T @ product
@@ -335,12 +348,19 @@ def used(sums: DataFrame, width: int, use) -> bytes:
 SLICES = "slice long, data binary"
 
 
-def stacked(slices: list[bytes], width: int, dtype=np.float64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, dtype=dtype).reshape(-1, width) for x in slices])
+def stacked(slices: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, dtype=np.float32).reshape(-1, width) for x in slices])
 
 
-def in_order(slices: DataFrame) -> list[bytes]:
-    return [bytes(r["data"]) for r in slices.orderBy("slice").collect()]
+def in_order(slices: DataFrame, dtype=np.float64) -> list[bytes]:
+    """The slices by number, in single precision. The driver only passes Arrow batches on: no rows, no sort."""
+
+    def single(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(data=[np.frombuffer(x, dtype=dtype).astype(np.float32).tobytes() for x in part["data"]])
+
+    found = (slices if dtype == np.float32 else slices.mapInPandas(single, SLICES)).toArrow()
+    return [x["data"] for x in sorted(found.to_pylist(), key=lambda x: x["slice"])]
 
 
 def turned(left: DataFrame, right: DataFrame, width: int, use) -> bytes:
@@ -400,7 +420,7 @@ def latent_rows(passages: DataFrame, vocabulary: Places, idf: np.ndarray, rank:
         return vectors[:, np.argsort(-values)[:kept]].copy()
 
     rows = times(q, squared(passages, shared, basis, width, leading), width, lambda i, x: (x * idf[i : i + len(x), None]).astype(np.float32))
-    out = stacked(in_order(rows), kept, np.float32)
+    out = stacked(in_order(rows, np.float32), kept)
     basis.destroy()
     shared.destroy()
     return out

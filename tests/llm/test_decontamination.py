@@ -159,3 +159,25 @@ def test_the_last_pass_of_the_fit_meets_no_vocabulary(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{k}" for k in range(60 + i))) for i in range(20)], "doc_id long, text string")
     (index,) = D.build_index(docs, spark.createDataFrame([(1, "w1x1 w2x2 w3x3 none")], "item_id long, text string"))
     assert len(calls) == D.ROUNDS and index.rows.shape == (index.vocabulary.own + D.OTHERS, D.RANK)
+
+
+def test_holders_count_each_document_once_beyond_a_byte():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 40, rng.integers(0, 60)).astype(np.int32) for _ in range(3 * D.COUNTED + 7)]
+    texts += [np.full(500, 41, dtype=np.int32)] * (2 * D.COUNTED)
+    want = [sum(i in set(x.tolist()) for x in texts) for i in range(43)]
+    assert D.holders((x.tobytes() for x in texts), 43).tolist() == want
+    assert D.holders(iter([]), 3).tolist() == [0, 0, 0]
+
+
+def test_the_driver_passes_the_basis_on_in_single_precision_and_in_order(spark):
+    """The tasks compute with single precision: the driver holds no more than they take."""
+    import numpy as np
+
+    slices = [(i * D.SLICE, np.random.default_rng(i).standard_normal((9 - i, 7))) for i in range(5)]
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in slices[::-1]], D.SLICES).repartition(4)
+    found = D.in_order(frame)
+    assert [len(x) for x in found] == [4 * (9 - i) * 7 for i in range(5)]
+    assert (D.stacked(found, 7) == np.concatenate([x for _, x in slices]).astype(np.float32)).all()
