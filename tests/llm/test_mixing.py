@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fieldtrace.llm import common, mixing, sharding
 
 
@@ -98,3 +99,35 @@ def test_texts_are_shuffled_no_more_than_needed(spark, monkeypatch, capsys):
         assert (moves_of_texts(mixing.mixed(docs), capsys), moves_of_texts(sharding.kd_shards(docs, shards=3), capsys)) == (2, 1)
     finally:
         spark.conf.set(limit, before)
+
+
+def test_the_query_sorts_and_writes_whole_documents(spark, monkeypatch, tmp_path):
+    """Its rows come off a table that holds every copy of a document, all its columns, in training order."""
+    monkeypatch.setattr(common, "BUCKET_ROWS", 20)
+    kept, write = [], mixing.settled
+    monkeypatch.setattr(mixing, "settled", lambda *a: kept.append(write(*a)) or kept[-1])
+    many(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op4_curriculum_mix"](spark, str(tmp_path)).collect()
+    whole = [t for t in kept if "doc" in t.columns]
+    assert len(whole) == 1 and whole[0].select("doc.*").columns == docs.columns
+    rows = [r for f in sorted(whole[0].inputFiles()) for r in spark.read.parquet(f).collect()]
+    assert sum(r["_time"] is None for r in rows) == sum(r["copies"] == 0 for r in got) > 0
+    times = [r["_time"] for r in rows if r["_time"] is not None]
+    assert times == sorted(times) and len(times) == sum(r["copies"] for r in got)
+    held = Counter(tuple(r["doc"]) for r in rows if r["_time"] is not None)
+    assert held == Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    columns = ("doc_id", "size", "source_size", "target", "taken", "copies")
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(tuple(r) for r in mixing.plan(docs, carry=False).select(*columns).collect())
+
+
+@pytest.mark.parametrize("sources", [1, 1_000])
+def test_delivered_rows_are_the_plan(spark, monkeypatch, docs, no_docs, sources):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "CUT_SOURCES", sources)
+    for table in (docs, many(spark, 600)):
+        got = mixing.delivered(table)
+        want = mixing.plan(table, carry=False).select(*got.columns)
+        assert got.dtypes == want.dtypes
+        assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in want.collect())
+    assert mixing.delivered(no_docs).count() == 0
